@@ -20,6 +20,42 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_rate")
 
 
+def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import sharding
+
+    docs = _table(spark, sf_dir, "documents")
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    out = sharding.shard_rows(rows)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import media
+
+    out = media.describe(media.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    pairs = F.concat_ws(",", F.transform(F.arrays_zip("times", "codes"), lambda p: F.concat_ws(":", p["times"].cast("string"), p["codes"].cast("string"))))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.lit("pairs"), F.size("codes").cast("string"), F.sha2(pairs.cast("binary"), 256)).alias("feature"),
+    )
+
+
+def op5_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import urls
+
+    out = urls.judged(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "alias")
+
+
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import pii
+
+    out = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import secrets
 
