@@ -49,6 +49,12 @@ def op5_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "alias")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import html
+
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import pii
 
@@ -56,6 +62,15 @@ def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tilewright.llm import packing
+
+    out = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import secrets
 
