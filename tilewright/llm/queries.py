@@ -30,6 +30,12 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import neardup
+
+    return neardup.components(_table(spark, sf_dir, "documents"))
+
+
 def op4_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import media
 
