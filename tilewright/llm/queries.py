@@ -77,6 +77,13 @@ def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import mixing
+
+    out = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import secrets
 
