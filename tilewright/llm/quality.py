@@ -5,7 +5,7 @@ partial sum for each host and task, and the hosts with a bad verdict.
 
 Null, empty or blank text has no words: all measures are 0 and base_failed is true. A null host is no host: such
 documents are judged alone. Repeated rows are judged alike, ties do not matter, an empty table gives an empty result,
-and columns of the input pass through (inner columns are named `_q_*`).
+and columns of the input pass through (inner columns are named `_q_*`; a column with the name of a result is replaced).
 """
 
 from __future__ import annotations
@@ -92,6 +92,7 @@ def judged(measures: DataFrame, rates: DataFrame, host: str = "source", bad_rate
     A host is bad if its shrunk failure rate is at least bad_rate. On a bad host, a document must pass the weaker
     rules too; on others the base rules decide. A clean document is thus kept wherever it comes from.
     """
+    measures = measures.drop("host_rate", "kept")
     bad = rates.where(F.col("host_rate") >= bad_rate).select(F.col(host).alias("_q_host"), F.col("host_rate"))
     n = bad.limit(BROADCAST_HOSTS + 1).count()
     if n == 0:

@@ -96,5 +96,55 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], chr(32)) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM w) WHERE len(ws) >= 8),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(list_sum(list_transform(list_append(ws, ''), lambda x: length(x))) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY 1),
+p AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS w FROM h),
+q AS (SELECT m, least(1000.0, greatest(1.0, m * (1 - m) / greatest(v - m * (1 - m) * w, 1e-9) - 1)) AS s FROM p),
+bad AS (SELECT source, CAST((f + m * s) / (n + s) AS DOUBLE) AS host_rate FROM h, q WHERE (f + m * s) / (n + s) >= 0.6)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (host_rate IS NOT NULL AND (10 * n_symbols > 3 * n_words OR 5 * n_dup_lines > n_words OR word_chars > 14 * n_words OR word_chars < 2 * n_words)) AS kept, source, host_rate
+FROM b LEFT JOIN bad USING (source)
+"""
+
+OP3 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], chr(32))) WHEN len(ws) > 0 THEN [array_to_string(ws, chr(32))] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM r JOIN links l ON r.other = l.a),
+least_other AS (SELECT doc_id, min(other) AS o FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(o, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(o, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_other USING (doc_id)
+"""
+
+#: The given pages name no canonical links or redirects, so here a class is a plain form.
+OP5 = r"""
+WITH a AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path,
+  list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w*|ref|fbclid|gclid)=')) AS q FROM pages),
+b AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
+  CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END AS alias FROM a),
+c AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM b),
+d AS (SELECT alias FROM c WHERE alias IS NOT NULL GROUP BY alias HAVING count(*) FILTER (WHERE own = 'block') > 0 AND count(*) FILTER (WHERE own = 'allow') = 0)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN d.alias IS NOT NULL THEN 'block' END, 'allow') AS verdict, c.alias FROM c LEFT JOIN d ON c.alias = d.alias
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": OP1, "op3_lsh_forest": OP3, "op5_redirect_verdicts": OP5}
