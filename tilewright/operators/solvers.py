@@ -53,6 +53,25 @@ def _tile(blocks: DataFrame, i: int, j: int) -> np.ndarray:
     return Block.of(blocks.where((F.col("bi") == i) & (F.col("bj") == j)).select(B.FIELDS).first()).dense()
 
 
+def _tile_work(blocks: DataFrame, i: int, j: int, f: Callable[[np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+    """Square arrays that f makes of one tile, computed within a task; only they reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for row in t.itertuples():
+                out = f(Block.of(row).dense())
+                yield pd.DataFrame({"at": range(len(out)), "x": [x.ravel() for x in out]})
+
+    rows = blocks.where((F.col("bi") == i) & (F.col("bj") == j)).select(B.FIELDS).mapInPandas(run, "at int, x array<double>").collect()
+    arrays = [np.asarray(r["x"], float) for r in sorted(rows, key=lambda r: r["at"])]
+    return [x.reshape(round(x.size**0.5), -1) for x in arrays]
+
+
+def _lu_parts(a: np.ndarray) -> list[np.ndarray]:
+    low, up = _lu(a)
+    return [low, up, np.linalg.inv(low), np.linalg.inv(up)]
+
+
 def _steps(blocks: DataFrame) -> int:
     return int(blocks.agg(F.max("bi")).first()[0]) + 1
 
@@ -69,8 +88,7 @@ def lu_blocks(a: DataFrame, acc: Acc = TIGHT) -> DataFrame:
     """
     rest, done = durable(a, "lu"), None
     for k in range(_steps(rest)):
-        low, up = _lu(_tile(rest, k, k))
-        inv_low, inv_up = np.linalg.inv(low), np.linalg.inv(up)
+        low, up, inv_low, inv_up = _tile_work(rest, k, k, _lu_parts)
 
         def panel(b: Block, k=k, il=inv_low, iu=inv_up, both=low - np.eye(len(low)) + up) -> list[Block]:
             if b.bi == b.bj:
@@ -130,8 +148,13 @@ def substitute(factors: DataFrame, rhs: DataFrame, lower: bool, transposed: bool
         t = t.T if transposed else t
         if single:
             t = t.astype(np.float32).astype(float)
-        x = np.linalg.solve(t, np.asarray(rest.where(F.col("b") == k).first()["x"], float))
-        own = rest.where(F.col("b") == k).select("b", F.array(*[F.lit(float(v)) for v in x]).alias("x")) if len(x) <= 16 else rest.sparkSession.createDataFrame([(k, x.tolist())], "b int, x array<double>")
+
+        def solve(batches: Iterator[pd.DataFrame], t=t) -> Iterator[pd.DataFrame]:
+            for f in batches:
+                yield pd.DataFrame({"b": f["b"], "x": [np.linalg.solve(t, np.asarray(y, float)) for y in f["x"]]})
+
+        own = durable(rest.where(F.col("b") == k).mapInPandas(solve, "b int, x array<double>"), "segment")
+        x = np.asarray(own.first()["x"], float)
         done = own if done is None else done.unionByName(own)
         side, other = ("bj", "bi") if not transposed else ("bi", "bj")
         touched = factors.where((F.col(side) == k) & ((F.col("bi") > F.col("bj")) if lower else (F.col("bi") < F.col("bj"))))
@@ -160,7 +183,7 @@ def invert(a: DataFrame) -> DataFrame:
     """Inverse by block Gauss-Jordan elimination."""
     now = durable(a, "invert")
     for k in range(_steps(now)):
-        p = np.linalg.inv(_tile(now, k, k))
+        (p,) = _tile_work(now, k, k, lambda a: [np.linalg.inv(a)])
         row = durable(B.each(now.where((F.col("bi") == k) & (F.col("bj") != k)), lambda b, p=p: [b.like(d=p @ b.dense())]), "pivot")
         col = now.where((F.col("bj") == k) & (F.col("bi") != k))
         update = B._paired(col, row, ["bj"], ["bi"], _product)

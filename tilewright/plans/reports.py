@@ -89,7 +89,7 @@ def _raw(spark, d):
         return S.raw_bytes(x)
 
     stored = S.round_trip(slab.select("first", flat("cells").alias("content")), "raw")
-    return X.rounded(S.read_raw_tensor(stored, 8, 8), 2)
+    return X.rounded(S.read_raw_tensor(stored, 8, 8).where("v <> 0"), 2)  # absent entries are stored as zeros
 
 
 query("io6_read_points", f"SELECT id, round(x, 8) + 0.0 AS x, round(y, 8) + 0.0 AS y, round(z, 8) + 0.0 AS z FROM ({X.POINTS})")(lambda s, d: X.rounded(X.points(s, d).select("id", *[F.col("x")[k].alias(n) for k, n in enumerate("xyz")]), 8, "x", "y", "z"))
