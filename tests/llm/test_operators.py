@@ -174,6 +174,10 @@ def test_html(spark, sf):
     assert html.main_text(plain) == " ".join(["long text here"] * 30) + " end."
     assert [html.main_text(x) for x in (None, "", "</p></p>", "<script>if(a<b){}", "&lt;b")] == ["", "", "", "", "<b"]
     assert len(html.main_text("<div>" * 5000 + "deep")) == 4
+    assert html.main_text("<html><head><title>x</title><body><article><p>Head left open.</article>") == "Head left open."
+    assert html.main_text("<body><form>x<main><p>Form around the page.</p></main><p>after</form>") == "Form around the page."
+    assert html.main_text('<div class="page has-sidebar"><p>Words of it.</p><div class="sidebar">s</div></div>') == "Words of it."
+    assert html.main_text('<article><p>Body text.</p></article><article class="comment">by a reader</article>') == "Body text."
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op6_main_text(spark, sf).collect():
         body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]

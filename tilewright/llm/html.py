@@ -22,14 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Elements that hold no article text; elements that can hold a region; inline elements, which do not end a line.
+#: Elements that hold no article text; elements that can hold a region; elements of a head, which any other one ends;
+#: inline elements, which do not end a line.
 SKIP = frozenset("nav footer aside form script style noscript template button select textarea iframe svg canvas dialog menu head title object".split())
 CONTAINERS = frozenset("html body main article section div td table blockquote center".split())
+HEAD = frozenset("head title meta link base style script noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NO_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
     "notification popup promo promoted promotion related reply replies share sharing sidebar skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: First parts of class names that tell of a part elsewhere ("has-sidebar"); class names of articles that are comments.
+MODIFIERS, REMARKS = frozenset("has no with without not".split()), frozenset("comment reply".split())
 WIDTH, SHARE = 1.5, 0.7
 _TOKEN = re.compile(r"[A-Za-z]+")
 
@@ -37,12 +41,13 @@ _TOKEN = re.compile(r"[A-Za-z]+")
 def _no_content(tag: str, attrs: list, in_article: bool) -> bool:
     if tag in SKIP or (tag == "header" and not in_article):
         return True
+    named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower().split()
     if tag in ("html", "body", "main", "article"):
-        return False
-    named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        return tag == "article" and any(x in REMARKS for x in named)
     if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
         return True
-    return bool(named) and any(x in NO_CONTENT for x in _TOKEN.findall(named.lower()))
+    parts = [_TOKEN.findall(x) for x in named]
+    return any(x in NO_CONTENT for p in parts if p and p[0] not in MODIFIERS for x in p)
 
 
 class _Lines(HTMLParser):
@@ -64,6 +69,10 @@ class _Lines(HTMLParser):
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD and self.count.get("head"):  # its end tag may be left out
+            self.handle_endtag("head")
+        if tag in ("article", "main") and self.dark and all(name == "form" for name, _, off in self.open if off):  # a form around the page
+            self.open, self.dark = [(name, at, False) for name, at, _ in self.open], 0
         self.tags += 1
         if tag not in INLINE:
             self.end_line()
