@@ -67,7 +67,8 @@ def test_curve_and_bessel():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = g[np.argsort(dense.hilbert_key(g, 3))]
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
-    x = np.array([0.05, 1.0, 8.0])
+    x = np.array([1e-9, 0.05, 1.0, 8.0, 300.0])
+    assert np.allclose(dense.bessel_k(1.5, x), np.sqrt(np.pi / 2 / x) * np.exp(-x) * (1 + 1 / x), rtol=1e-12)
     assert np.allclose(dense.bessel_k(0.5, x), np.sqrt(np.pi / 2 / x) * np.exp(-x), rtol=1e-9)
 
 

@@ -231,14 +231,17 @@ def interpolate(x: np.ndarray, y: np.ndarray, kernel, order: int, kind: str = "c
     return u, kernel(grid, y).T
 
 
-def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
-    """K_nu(x) = integral over t >= 0 of exp(-x cosh t) cosh(nu t), by the trapezoidal rule."""
-    t = np.linspace(0, 25, 4001)
-    w = np.full(t.size, t[1])
-    w[0] /= 2
-    with np.errstate(over="ignore", under="ignore"):
-        lift = np.minimum(np.cosh(t), 1e300)
-        return (np.exp(-np.asarray(x)[..., None] * lift + nu * t) + np.exp(-np.asarray(x)[..., None] * lift - nu * t)) @ w / 2
+def bessel_k(nu: float, x: np.ndarray, nodes: int = 128) -> np.ndarray:
+    """K_nu(x) = integral over t >= 0 of exp(-x cosh t) cosh(nu t), by the trapezoidal rule.
+
+    Each x has its own step, as the integrand falls below rounding where x (cosh t - 1) is large enough.
+    """
+    x = np.asarray(x, float)[..., None]
+    step = np.arccosh(1 + (45 + 40 * abs(nu)) / x) / nodes
+    t = step * np.arange(nodes + 1)
+    fall = -x * np.cosh(t)
+    both = np.exp(fall + nu * t) + np.exp(fall - nu * t)
+    return (both.sum(axis=-1) - both[..., 0] / 2) * step[..., 0] / 2
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
