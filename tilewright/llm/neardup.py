@@ -5,7 +5,8 @@ hashes. Documents of one set form a class. Each tree sorts the signatures from a
 prefix there form a region. Within a region, candidates are neighbours in the sorted order, whose common prefix is
 longest, and the member nearest to the region's consensus with each other member. Regions above REGION members go
 deeper, STEP values at a time, where their members already have a candidate with a common centre. Confirmed links give components; a second look at each region then
-counts the shared shingles of members that are still apart with all others, so that no link is lost that the forest can see.
+counts the shared shingles of members that are still apart with all others, so that no link is lost that the forest can see. Regions
+above REGION are looked at whole too: members outside the region's largest component meet blocks of all its members.
 
 At a similarity of 0.85 a tree of depth 4 misses a pair with probability 0.48, all 24 with 2e-8. Candidates need 64 of
 96 equal values, which a pair at 0.85 misses with probability 1e-7.
@@ -165,15 +166,17 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("members", F.count("*").over(Window.partitionBy("region"))).where("members > 1")
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(region, cls, n, sig) of each region of 2 to REGION members, and of deeper parts of larger ones, as a durable table.
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(region, cls, deep, sig) of each region of 2 to REGION members, and of deeper parts of larger ones; the centre pairs of larger
+    ones; and (region, cls) of the larger ones themselves (both None if there are none).
 
     Classes meet by prefix with their names alone; signatures join those that share a region.
     """
     light = classes.select("cls", F.explode(F.array(*[F.xxhash64(F.lit(t), _prefix(t, 1)) for t in range(TREES)])).alias("region"))
     met = durable(_counted(light), "regions")
-    done = met.where(F.col("members") <= REGION).select("region", "cls")
+    done = met.where(F.col("members") <= REGION).select("region", "cls", F.lit(False).alias("deep"))
     depth, heavy = 1, met.where(F.col("members") > REGION)
+    whole = None if heavy.isEmpty() else heavy.select("region", "cls")
     centres = None
     while not heavy.isEmpty():
         depth += 1
@@ -186,12 +189,12 @@ def regions(classes: DataFrame) -> DataFrame:
         if depth > LEVELS:  # alike in LEVELS x STEP values: dealt into parts by name, all of them already linked to the centre
             split = full.select("cls", F.xxhash64("region", F.pmod(F.xxhash64("cls"), F.lit(64))).alias("region"))
         met = durable(_counted(split), "regions")
-        done = done.union(met.where(F.col("members") <= REGION).select("region", "cls"))
+        done = done.union(met.where(F.col("members") <= REGION).select("region", "cls", F.lit(True)))
         heavy = met.where(F.col("members") > REGION)
         if depth > LEVELS + 1:
-            done = done.union(heavy.select(F.xxhash64("region", F.pmod(F.xxhash64(F.lit(depth), "cls"), F.lit(4096))).alias("region"), "cls"))
+            done = done.union(heavy.select(F.xxhash64("region", F.pmod(F.xxhash64(F.lit(depth), "cls"), F.lit(4096))).alias("region"), "cls", F.lit(True)))
             break
-    return durable(done.join(classes.select("cls", "sig"), "cls"), "members"), centres
+    return durable(done.join(classes.select("cls", "sig"), "cls").select("region", "cls", "deep", "sig"), "members"), centres, whole
 
 
 def _centre_pairs(full: DataFrame) -> DataFrame:
@@ -294,13 +297,13 @@ def _near(sigs: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
 
 
-def _apart(sigs: np.ndarray, component: list[bytes], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Second look: links between different components, from each member outside the largest one to all others.
+def _apart(sigs: np.ndarray, component: list[bytes], sets: list[np.ndarray], percent: int, asks: list[bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Second look: links between different components, from each member outside the largest one (or that asks) to all others.
 
     Shared shingles are counted by postings within the region; one link for a member and component is enough.
     """
     _, part, count = np.unique(np.array([c.hex() for c in component]), return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(part != count.argmax())
+    outside = np.flatnonzero(part != count.argmax() if asks is None else np.array(asks))
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
@@ -354,6 +357,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
 
 def second_look(members: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Links between components within regions of more than FEW members (smaller ones had all their pairs tested)."""
+    members = members.where("not deep").drop("deep")  # parts of larger regions: whole_look has all their pairs
     looked = members.join(parts, members["cls"] == parts["node"], "left").select("region", "cls", "sig", F.coalesce("component", "cls").alias("component"))
     mixed = looked.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi and n > {FEW}").select("region")
     looked = durable(looked.join(mixed, "region", "left_semi"), "mixed")
@@ -362,12 +366,36 @@ def second_look(members: DataFrame, parts: DataFrame, classes: DataFrame, docs:
     return durable(_pairs_of(looked.join(sets, "cls").select("region", "cls", "sig", "component", "members"), lambda s, c, m: _apart(s, c, m, percent)), "links")
 
 
+def whole_look(whole: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Links between components within regions above REGION, none of whose pairs is left out.
+
+    Of two components one is not the region's largest, so its members ask: in blocks of REGION / 2 they meet each block of the
+    region's members in a cell of its own. Rows grow with askers times blocks, which is much only where a large region is
+    many components.
+    """
+    half = max(1, REGION // 2)
+    looked = durable(whole.join(parts, whole["cls"] == parts["node"], "left").select("region", "cls", F.coalesce("component", "cls").alias("component")), "whole")
+    size = looked.groupBy("region", "component").agg(F.count("*").alias("n"))
+    largest = size.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    largest = largest.where("n > most").select("region", "main", F.ceil(F.col("n") / half).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / half).cast("int").alias("groups"))
+    mixed = durable(looked.join(sized(durable(largest, "largest")), "region"), "mixed")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    ask = mixed.where("component <> main").select("region", "cls", "component", F.lit(True).alias("asks"), mine("groups").alias("g"), all_of("blocks").alias("b"))
+    hear = mixed.select("region", "cls", "component", F.lit(False).alias("asks"), all_of("groups").alias("g"), mine("blocks").alias("b"))
+    cells = ask.union(hear).select(F.xxhash64("region", "g", "b").alias("region"), "cls", "component", "asks")
+    need = mixed.select("cls").distinct().join(classes.select("cls", "doc_id", "text_key"), "cls")
+    data = full_sets(need, docs, key, text).join(classes.select("cls", "sig"), "cls")
+    rows = cells.join(data, "cls").select("region", "cls", "sig", "component", "members", "asks")
+    return durable(_pairs_of(rows, lambda s, c, m, q: _apart(s, c, m, percent, q)), "links")
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     rows = signed(docs, key, text)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "sig")).alias("m"), F.count("*").alias("copies"))
     classes = durable(classes.select("cls", "m.doc_id", "m.text_key", "m.sig", "copies"), "classes")
-    members, centres = regions(classes)
+    members, centres, whole = regions(classes)
     first = _pairs_of(members.select("region", "cls", "sig"), _near)
     if centres is not None:
         first = first.union(centres.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
@@ -375,6 +403,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     parts = connected_components(links)
     links = links.union(second_look(members, parts, classes, docs, key, text, percent))
     parts = connected_components(links)
+    if whole is not None:
+        links = links.union(whole_look(whole, parts, classes, docs, key, text, percent))
+        parts = connected_components(links)
     named = classes.join(parts, classes["cls"] == parts["node"], "left").select("cls", "doc_id", "copies", "component")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "component", "left").where("copies > 1 or component is not null")
