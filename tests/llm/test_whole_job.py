@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from test_operators import components
 from tests_data import prose
 
-from tilewright.llm import neardup
+from tilewright.llm import html, neardup
 
 
 def test_neardup_pairs_in_large_regions(spark, monkeypatch):
@@ -31,3 +31,14 @@ def test_neardup_pairs_in_large_regions(spark, monkeypatch):
     assert len({c for c, _ in want.values()}) > 40
     got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: (x.component_id, x.n_shingles) for x in got} == want
+
+
+def test_html_keeps_every_part_of_the_body():
+    long, short = "many words of the long part " * 12, "words of the short part " * 4
+    menu = "<div><a href=1>Home</a> <a href=2>News</a></div>"
+    two = f"<body>{menu}<section><p>{long}</p><p>{long}</p></section><section><p>{short}</p><p>{short}</p></section></body>"
+    assert html.main_text(two).endswith(" ".join([*long.split(), *long.split(), *short.split(), *short.split()]))
+    quote = f"<body><div><p>{short}</p><blockquote><p>{long}</p><p>{long}</p></blockquote><p>{short}</p></div></body>"
+    assert html.main_text(quote) == " ".join([*short.split(), *long.split(), *long.split(), *short.split()])
+    articles = f"<article><p>{long}</p><p>{long}</p></article>" + "<p><a href=3>x</a></p>" * 12 + "<article><p>Brief.</p></article>"
+    assert html.main_text(articles) == " ".join([*long.split(), *long.split(), "Brief."])

@@ -2,8 +2,8 @@
 
 The standard library's parser streams tags and text. Text between block tags is a line; its ratio is characters by tags
 (plus one). Ratios are smoothed over the page with a Gaussian, and lines above the threshold form the content cluster.
-The cluster selects regions: each article or main element with a line of the cluster, or else the innermost container
-that holds most of the cluster's text. A region gives all its lines in page order, less those inside parts that are no
+The cluster selects regions: every article and main element if one of them has a line of the cluster, or else the innermost
+container that holds all lines of the cluster, less those that are links alone. A region gives all its lines in page order, less those inside parts that are no
 content by their element or class (menus, notices, adverts, forms, comments, scripts), so short lines stay.
 
 Null or empty html gives empty text. Broken markup never fails: unclosed elements end with their parents. Repeated rows
@@ -34,7 +34,7 @@ NO_CONTENT = frozenset(
 )
 #: First parts of class names that tell of a part elsewhere ("has-sidebar"); class names of articles that are comments.
 MODIFIERS, REMARKS = frozenset("has no with without not".split()), frozenset("comment reply".split())
-WIDTH, SHARE = 1.5, 0.7
+WIDTH = 1.5
 _TOKEN = re.compile(r"[A-Za-z]+")
 
 
@@ -51,22 +51,23 @@ def _no_content(tag: str, attrs: list, in_article: bool) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines as (text, tags, container), where containers form a tree of (parent, tag)."""
+    """Lines as (text, tags, container, whether text is outside links), where containers form a tree of (parent, tag)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.tree: list[tuple[int, str]] = [(-1, "page")]
         self.open: list[tuple[str, int, bool]] = []  # tag, container, no content
         self.count: dict[str, int] = {}
         self.dark = self.articles = self.tags = 0
         self.text: list[str] = []
+        self.link = self.prose = False  # in a link of this line; text outside links in this line
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0, self.prose))
+        self.text, self.tags, self.link, self.prose = [], 0, False, False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in HEAD and self.count.get("head"):  # its end tag may be left out
@@ -76,6 +77,9 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.end_line()
+        elif tag == "a":
+            names = {k for k, _ in attrs}
+            self.link = "href" in names or not names & {"id", "name"}
         void = tag in ("br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "embed", "source", "track", "param")
         off = not void and _no_content(tag, attrs, self.articles > 0)
         if tag in CONTAINERS or off:
@@ -100,6 +104,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.end_line()
+        elif tag == "a":
+            self.link = False
         if self.count.get(tag):
             while self.open:
                 name, _, off = self.open.pop()
@@ -112,6 +118,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.dark:
             self.text.append(data)
+            self.prose = self.prose or not (self.link or data.isspace())
 
 
 def content_cluster(ratios: np.ndarray) -> np.ndarray:
@@ -126,6 +133,14 @@ def content_cluster(ratios: np.ndarray) -> np.ndarray:
     return smooth >= min(smooth.std(), smooth.max() / 2)
 
 
+def _inside(tree: list[tuple[int, str]], at: list[int]) -> np.ndarray:
+    """How many of the lines of containers `at` are inside each container."""
+    n = np.bincount(at, minlength=len(tree))
+    for i in range(len(tree) - 1, 0, -1):
+        n[tree[i][0]] += n[i]
+    return n
+
+
 def main_text(html: str | None) -> str:
     p = _Lines()
     p.feed(html or "")
@@ -133,30 +148,21 @@ def main_text(html: str | None) -> str:
     p.end_line()
     if not p.lines:
         return ""
-    cluster = content_cluster(np.array([len(t) / (tags + 1) for t, tags, _ in p.lines]))
-    inside = np.zeros(len(p.tree))
-    for (text, _, at), hit in zip(p.lines, cluster, strict=True):
-        if hit:
-            inside[at] += len(text)
-    for i in range(len(p.tree) - 1, 0, -1):
-        inside[p.tree[i][0]] += inside[i]
-    named = {i for i, (_, tag) in enumerate(p.tree) if tag in ("article", "main") and inside[i] > 0}
-    if not named:
-        at, moved = 0, True
-        sons: dict[int, list[int]] = {}
-        for i in range(1, len(p.tree)):
-            sons.setdefault(p.tree[i][0], []).append(i)
-        while moved:
-            moved = False
-            for s in sons.get(at, []):
-                if inside[s] >= SHARE * inside[0]:
-                    at, moved = s, True
-                    break
+    cluster = content_cluster(np.array([len(t) / (tags + 1) for t, tags, _, _ in p.lines]))
+    hits = [(at, prose) for (_, _, at, prose), hit in zip(p.lines, cluster, strict=True) if hit]
+    inside = _inside(p.tree, [at for at, _ in hits])
+    named = {i for i, (_, tag) in enumerate(p.tree) if tag in ("article", "main")}
+    if not any(inside[i] for i in named):
+        inside = _inside(p.tree, [at for at, prose in hits if prose] or [at for at, _ in hits])
+        at = 0
+        for i in range(1, len(p.tree)):  # parents come before their sons
+            if p.tree[i][0] == at and inside[i] == inside[0]:
+                at = i
         named = {at}
     chosen = np.zeros(len(p.tree), bool)
     for i in range(len(p.tree)):
         chosen[i] = i in named or (i > 0 and chosen[p.tree[i][0]])
-    return " ".join(t for t, _, at in p.lines if chosen[at])
+    return " ".join(t for t, _, at, _ in p.lines if chosen[at])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
