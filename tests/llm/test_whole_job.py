@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from test_operators import components
 from tests_data import prose
 
-from tilewright.llm import html, neardup
+from tilewright.llm import html, neardup, urls
 
 
 def test_neardup_pairs_in_large_regions(spark, monkeypatch):
@@ -42,3 +42,21 @@ def test_html_keeps_every_part_of_the_body():
     assert html.main_text(quote) == " ".join([*short.split(), *long.split(), *long.split(), *short.split()])
     articles = f"<article><p>{long}</p><p>{long}</p></article>" + "<p><a href=3>x</a></p>" * 12 + "<article><p>Brief.</p></article>"
     assert html.main_text(articles) == " ".join([*long.split(), *long.split(), "Brief."])
+
+
+def test_urls_relative_targets(spark):
+    rows = [
+        (1, "http://a.net/d/e/1", '<link rel="canonical" href="/p">', "a.net/p"), (2, "https://a.net/d/e/2", '<link rel=canonical href="//Host.net/p2">', "host.net/p2"),
+        (3, "http://a.net/d/e/3", '<meta http-equiv=refresh content="0;url=../b?x=1&amp;y=2">', "a.net/d/b?x=1&y=2"), (4, "http://a.net/d/e/4", "<link href='c.html' rel=canonical>", "a.net/d/e/c"),
+        (5, "http://a.net/5?old=1", '<link rel="canonical" href="?q=1">', "a.net/5?q=1"), (6, "http://a.net", '<link rel="canonical" href="x&#47;y&#x2f;./z">', "a.net/x/y/z"),
+        (7, "http://a.net/7", '<base href="/far/"><link rel="canonical" href="z">', "a.net/far/z"), (8, "http://a.net/8", '<link rel="canonical" href="mailto:x@a.net">', None),
+        (9, "http://a.net/9", """<meta content="3; URL='/it&amp;amp;s'" http-equiv="refresh">""", "a.net/it&amp;s"), (10, "http://a.net/10", '<link rel="canonical" href="http://a.net/u/../v">', "a.net/v"),
+        (11, "http://a.net/11", '<link rel="canonical" href="">', None), (12, "no url", '<link rel="canonical" href="/p">', None), (13, "http://a.net/13?x", '<link rel="canonical" href="../../w">', "a.net/w"),
+    ]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {(r.a, r.b) for r in urls.alias_edges(pages).collect()}
+    plain = {r.page_id: r.p for r in pages.select("page_id", urls.plain_form(pages["url"]).alias("p")).collect()}
+    assert got == {(plain[r[0]], r[3]) for r in rows if r[3]}
+    more = [(1, "http://c.example.org/es/1", '<link rel="canonical" href="/moved?a=1&amp;b=2">'), (2, "http://c.example.org/moved?b=2&a=1", None)]
+    out = {r.page_id: r for r in urls.judged(spark.createDataFrame(more, "page_id long, url string, html string"), {"example.org/es/": "block"}).collect()}
+    assert out[1].alias == out[2].alias and out[2].verdict == "block"

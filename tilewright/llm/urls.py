@@ -2,7 +2,7 @@
 
 DataFrame functions only. Urls that stand for one page are joined into classes: every url leads to its plain form (as a
 server redirects schemes, `www.`, page suffixes and tracking parameters), and pages name others by canonical links and refresh
-redirects. Classes of plain forms that such edges join are found by distributed connected components. Within a class an
+redirects, absolute or relative to the page's own url or its base element. Classes of plain forms that such edges join are found by distributed connected components. Within a class an
 explicit allow beats a block, and a block reaches each member that no rule of its own decides.
 
 A null url, or one without `://`, has empty host and path, no rule and no alias: it is allowed. A null html names no
@@ -12,6 +12,10 @@ empty results, and columns of the input pass through (inner columns are named `_
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,22 +55,83 @@ def plain_form(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, asked))
 
 
-def named_targets(html: Column) -> Column:
-    """array<string> of the absolute urls that a page's canonical links and refresh redirects name."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value as one variable: a Column that is used many times would be repeated in the expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, quoted or not, with its character references resolved; '' if there is none."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+    return _let(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]), decoded)
+
+
+def decoded(value: Column) -> Column:
+    """value with its character references (&amp; &#38; &#x26;) resolved once; names need their semicolon."""
+    names = F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    pieces = F.regexp_extract_all(value, F.lit(r"(?s)&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), F.lit(0))
+
+    def character(code: Column) -> Column:
+        fits = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(fits, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        return (
+            F.when(p.rlike("^&#[xX]"), character(F.conv(F.regexp_extract(p, "([0-9a-fA-F]+);?$", 1), 16, 10).cast("long")))
+            .when(p.startswith("&#"), character(F.regexp_extract(p, "([0-9]+)", 1).cast("long")))
+            .when(p.rlike("^&.+;$"), F.coalesce(F.try_element_at(names, F.substring(p, 2, 64)), p)).otherwise(p)
+        )
+
+    return F.when(value.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(value)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute url that a target names on a page of this url, without dot segments; null for other schemes or without any url."""
+    return _let(F.regexp_replace(target, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), lambda t: _let(_joined(t, url), _without_dots))
+
+
+def _joined(target: Column, url: Column) -> Column:
+    scheme, root = F.regexp_extract(url, "^([^:/?#]+)://", 1), F.regexp_extract(url, "^([^:/?#]+://[^/?#]*)", 1)
+    path = path_of(url)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(~url.contains("://"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, path, target)).when((target == "") | target.startswith("#"), url)
+        .otherwise(F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/")), target))
+    )
+
+
+def _without_dots(url: Column) -> Column:
     none = F.expr("cast(array() as array<string>)")
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""))
-    refresh = F.filter(tags, lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
-    found = F.concat(
-        F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
-        F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)),
+    steps = F.aggregate(
+        F.split(path_of(url), "/"), none,
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))),
     )
-    return F.when(html.rlike("(?i)canonical|http-equiv"), F.filter(found, lambda u: u.contains("://"))).otherwise(none)
+    plain = F.concat(F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1), F.array_join(steps, "/"), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1))
+    return F.when(path_of(url).rlike(r"/\.\.?(/|$)"), plain).otherwise(url)
+
+
+def named_targets(html: Column, url: Column) -> Column:
+    """array<string> of the absolute urls that the canonical links and refresh redirects of a page of this url name."""
+    none = F.expr("cast(array() as array<string>)")
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
+    canonical = F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""))
+    refresh = F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""))
+    asked = r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^"'].*))"""
+    base = F.filter(tags, lambda t: t.rlike(r"""(?is)^<base\b.*[\s"'/]href\s*="""))
+    page = F.when(F.size(base) > 0, F.coalesce(resolved(_attribute(F.get(base, F.lit(0)), "href"), url), url)).otherwise(url)
+
+    def redirect(t: Column) -> Column:
+        return _let(_attribute(t, "content"), lambda c: F.concat(*[F.regexp_extract(c, asked, k) for k in (1, 2, 3)]))
+
+    found = F.filter(F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(refresh, redirect)), lambda u: u != "")
+    absolute = _let(page, lambda p: F.transform(found, lambda u: resolved(u, p)))
+    return F.when(html.rlike("(?i)canonical|http-equiv"), F.filter(absolute, lambda u: u.isNotNull())).otherwise(none)
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): plain forms that a page's canonical link or redirect joins."""
-    named = pages.select(plain_form(F.col(url)).alias("a"), F.explode(named_targets(F.col(html))).alias("_u_t"))
+    named = pages.select(plain_form(F.col(url)).alias("a"), F.explode(named_targets(F.col(html), F.col(url))).alias("_u_t"))
     return named.select("a", plain_form(F.col("_u_t")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
