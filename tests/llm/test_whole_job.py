@@ -4,11 +4,14 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parent))
 from test_operators import components
 from tests_data import prose
 
-from tilewright.llm import html, neardup, urls
+from tilewright.llm import html, mixing, neardup, urls
 
 
 def test_neardup_pairs_in_large_regions(spark, monkeypatch):
@@ -33,6 +36,24 @@ def test_neardup_pairs_in_large_regions(spark, monkeypatch):
     assert {x.doc_id: (x.component_id, x.n_shingles) for x in got} == want
 
 
+def test_raking_on_spark_ends_by_the_same_rule(spark):
+    """Correlated margins need more than a dozen rounds."""
+    rows = [("a", "x", "t", 400), ("a", "y", "t", 60), ("b", "x", "t", 60), ("b", "y", "t", 400), ("b", "y", "u", 30)]
+    cells = spark.createDataFrame(rows, "_m_source string, _m_lang string, _m_topic string, tokens long")
+    given = {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.3, "y": 0.7}}
+    tokens = {r[:3]: r[3] for r in rows}
+    found = [{tuple(r)[:3]: r.weight for r in mixing.cell_weights(cells, given, max_cells=n).collect()} for n in (100, 0)]
+    for w in found:
+        whole = sum(tokens[k] * v for k, v in w.items())
+        assert abs(sum(tokens[k] * v for k, v in w.items() if k[0] == "a") / whole - 0.7) < 1e-9
+    assert all(abs(found[0][k] - found[1][k]) < 1e-8 for k in tokens)
+
+
+def test_raking_warns_of_targets_out_of_reach():
+    with pytest.warns(RuntimeWarning, match="off their targets"):
+        mixing.rake([("a", "x"), ("b", "y")], np.array([1.0, 1.0]), [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}])
+
+
 def test_html_keeps_every_part_of_the_body():
     long, short = "many words of the long part " * 12, "words of the short part " * 4
     menu = "<div><a href=1>Home</a> <a href=2>News</a></div>"

@@ -5,7 +5,8 @@ and topic meet their targets; a document's probability is its cell's weight over
 tokens of the sample have the target shares in all three margins. A document is sampled if a hash of its id and text, as
 a number in [0, 1), is below its probability.
 
-Cells, not documents, are raked: on the driver up to MAX_CELLS of them, beyond that by the same rounds on Spark. Without
+Cells, not documents, are raked: on the driver up to MAX_CELLS of them, beyond that by the same rounds on Spark. Both end
+when every margin was within CLOSE_TO of its target, and warn if ROUNDS did not suffice for that. Without
 given targets a margin aims at its natural shares raised to TEMPER and scaled to one, which lifts small classes.
 
 Null source or language counts as the class '' (as the empty string does); null or empty text has one token, so that it
@@ -15,6 +16,8 @@ input pass through (inner columns are named `_m_*`; existing topic, tokens, weig
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,19 +75,32 @@ def rake(keys: list[tuple], tokens: np.ndarray, goals: list[dict]) -> np.ndarray
             x = x * factor[code]
         if off < CLOSE_TO:
             break
+    else:
+        _warn(off)
     return x * tokens.sum() / tokens
 
 
-def rake_on_spark(cells: DataFrame, goals: list[DataFrame], rounds: int = 12) -> DataFrame:
-    """As rake, for cells(margins, tokens) too many for the driver; goals are (margin, goal) tables. A fixed number of rounds."""
+def _warn(off: float) -> None:
+    warnings.warn(f"margins are off their targets by up to {off:.1e} after {ROUNDS} rounds; are the targets at odds with the cells?", RuntimeWarning, stacklevel=3)
+
+
+def rake_on_spark(cells: DataFrame, goals: list[DataFrame]) -> DataFrame:
+    """As rake, for cells(margins, tokens) too many for the driver; goals are (margin, goal) tables."""
     total = cells.agg(F.sum("tokens")).first()[0]
     x = cells.withColumn("x", F.col("tokens") / F.lit(total))
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
+        x = x.withColumn("off", F.lit(0.0))
         for m, goal in zip(MARGINS, goals, strict=True):
-            now = x.groupBy(m).agg(F.sum("x").alias("now")).join(goal, m).select(m, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("f"))
-            x = x.join(now, m).withColumn("x", F.col("x") * F.col("f")).drop("f")
+            now = x.groupBy(m).agg(F.sum("x").alias("now")).join(goal, m)
+            now = now.select(m, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("f"), F.abs(F.col("now") - F.col("goal")).alias("d"))
+            x = x.join(now, m).withColumns({"x": F.col("x") * F.col("f"), "off": F.greatest("off", "d")}).drop("f", "d")
         x = durable(x, "rake")
-    return x.withColumn("weight", F.col("x") * F.lit(total) / F.col("tokens")).drop("x")
+        off = x.agg(F.max("off")).first()[0]
+        if off < CLOSE_TO:
+            break
+    else:
+        _warn(off)
+    return x.withColumn("weight", F.col("x") * F.lit(total) / F.col("tokens")).drop("x", "off")
 
 
 def cell_weights(rows: DataFrame, given: dict[str, dict] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
