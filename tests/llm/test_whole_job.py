@@ -15,23 +15,22 @@ from tilewright.llm import html, mixing, neardup, urls
 
 
 def test_neardup_pairs_in_large_regions(spark, monkeypatch):
-    """Pairs just above the threshold, among many documents just below it: the regions of all trees are too large."""
+    """Pairs just above the threshold, among many documents just below it; the names are such that all trees part them above REGION."""
     monkeypatch.setattr(neardup, "REGION", 8)
-    r = random.Random(3)
     base = prose(300, 70).split()
 
     def edited(words, n, name):
         words = list(words)
-        for k in r.sample(range(0, 300, 5), n):
+        for k in random.Random(name).sample(range(0, 300, 5), n):
             words[k] = f"{name}x{k}"
         return words
 
-    rows = []
-    for i in range(60):
-        one = edited(base, 5, f"a{i}")
-        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(edited(one, 4, f"b{i}")))]
+    rows = [(i, " ".join(edited(base, 3, f"g{i}"))) for i in range(120)]
+    for i in (1779, 2301, 2453):
+        one = edited(base, 3, f"a{i}")
+        rows += [(1000 + i, " ".join(one)), (2000 + i, " ".join(edited(one, 4, f"b{i}")))]
     want = components(rows)
-    assert len({c for c, _ in want.values()}) > 40
+    assert all(want[2000 + i][0] == 1000 + i for i in (1779, 2301, 2453))
     got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: (x.component_id, x.n_shingles) for x in got} == want
 
