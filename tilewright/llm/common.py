@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one made here where that is unset (local tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or one made here where that is unset and all runs on this machine."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(root)
     return root
@@ -41,33 +44,59 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,hit>> of the leftmost non-overlapping matches of a Java pattern; code points, end exclusive.
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value as one variable: a Column that is used many times would be computed as often."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    The pieces between matches give the positions: match k starts after pieces 0..k and matches 0..k-1.
+
+def scanned(items: Column, start: Column, step: Callable, emit: Callable, kind: str) -> Column:
+    """Array of emit(state, item) of type kind, with the state before each item: start, then step(state, item).
+
+    Appending to an array copies it, so one loop over n items would cost n^2. Blocks of about sqrt(n) items append within
+    themselves, and the outer loop appends whole blocks: n^1.5 copies of references at most.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    placed = F.aggregate(
-        F.filter(pairs, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("done")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
-            F.concat(
-                acc["done"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(p["gap"])).alias("start"),
-                        (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("end"),
-                        p["hit"].alias("hit"),
-                    )
-                ),
-            ).alias("done"),
-        ),
-        lambda acc: acc["done"],
-    )
-    return F.when(F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) > 0, placed).otherwise(none)
+    none, nested = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def block_of(at: Column, block: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(at.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out")),
+        )
+
+    def whole(all_items: Column, side: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / side).cast("int")), lambda b: F.slice(all_items, b * side + 1, side))
+        return F.flatten(F.aggregate(
+            blocks, F.struct(start.alias("at"), nested.alias("out")),
+            lambda acc, block: let(block_of(acc["at"], block), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))),
+            lambda acc: acc["out"],
+        ))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda side: whole(x, side))).otherwise(none))
+
+
+def match_spans(text: Column, pattern: str, context: int = 0) -> Column:
+    """array<struct<start,end,hit[,left,next]>> of the leftmost non-overlapping matches of a Java pattern; code points, end exclusive.
+
+    The pieces between matches give the positions: match k starts after pieces 0..k and matches 0..k-1. With a context,
+    left has up to so many characters of the piece before, and next the first character of the piece after.
+    """
+    more = ",left:string,next:string" if context else ""
+    kind = f"struct<start:int,end:int,hit:string{more}>"
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def sides(p: Column) -> list[Column]:
+        return [F.right(p["gap"], F.lit(context)).alias("left"), F.substring(F.coalesce(p["after"], F.lit("")), 1, 1).alias("next")] if context else []
+
+    def placed(gaps: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        pairs = F.filter(F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, F.size(gaps)).alias("after"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
+        sized = F.transform(pairs, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("n"), p["hit"].alias("hit"), *sides(p)))
+        return scanned(
+            sized, F.lit(0), lambda at, p: at + p["gap"] + p["n"],
+            lambda at, p: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["n"]).alias("end"), p["hit"].alias("hit"), *[p[c].alias(c) for c in ("left", "next") if context]), kind,
+        )
+
+    return F.when(F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) > 0, let(F.split(text, pattern, -1), placed)).otherwise(none)
 
 
 def spans_text(spans: Column) -> Column:

@@ -13,13 +13,12 @@ empty results, and columns of the input pass through (inner columns are named `_
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import ascii_lower, connected_components
+from tilewright.llm.common import ascii_lower, connected_components, let
 
 #: Fixed values of the contract, by rule (host and path) with its verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -55,15 +54,10 @@ def plain_form(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, asked))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value as one variable: a Column that is used many times would be repeated in the expression."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute, quoted or not, with its character references resolved; '' if there is none."""
     pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
-    return _let(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]), decoded)
+    return let(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]), decoded)
 
 
 def decoded(value: Column) -> Column:
@@ -87,7 +81,7 @@ def decoded(value: Column) -> Column:
 
 def resolved(target: Column, url: Column) -> Column:
     """The absolute url that a target names on a page of this url, without dot segments; null for other schemes or without any url."""
-    return _let(F.regexp_replace(target, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), lambda t: _let(_joined(t, url), _without_dots))
+    return let(F.regexp_replace(target, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), lambda t: let(_joined(t, url), _without_dots))
 
 
 def _joined(target: Column, url: Column) -> Column:
@@ -122,10 +116,10 @@ def named_targets(html: Column, url: Column) -> Column:
     page = F.when(F.size(base) > 0, F.coalesce(resolved(_attribute(F.get(base, F.lit(0)), "href"), url), url)).otherwise(url)
 
     def redirect(t: Column) -> Column:
-        return _let(_attribute(t, "content"), lambda c: F.concat(*[F.regexp_extract(c, asked, k) for k in (1, 2, 3)]))
+        return let(_attribute(t, "content"), lambda c: F.concat(*[F.regexp_extract(c, asked, k) for k in (1, 2, 3)]))
 
     found = F.filter(F.concat(F.transform(canonical, lambda t: _attribute(t, "href")), F.transform(refresh, redirect)), lambda u: u != "")
-    absolute = _let(page, lambda p: F.transform(found, lambda u: resolved(u, p)))
+    absolute = let(page, lambda p: F.transform(found, lambda u: resolved(u, p)))
     return F.when(html.rlike("(?i)canonical|http-equiv"), F.filter(absolute, lambda u: u.isNotNull())).otherwise(none)
 
 
