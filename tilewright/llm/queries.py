@@ -79,8 +79,9 @@ def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import mixing
+    from tilewright.llm.common import durable
 
-    out = mixing.mixed(_table(spark, sf_dir, "documents"))
+    out = mixing.mixed(durable(mixing.measured(_table(spark, sf_dir, "documents")).drop("text"), "measured"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
 
 
