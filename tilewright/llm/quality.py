@@ -1,10 +1,15 @@
 """Host-level quality rules: rule failures by host, rates shrunk with an empirical beta prior, verdicts joined back.
 
 DataFrame functions only. Document measures are higher-order functions within the row; the only rows that move are one
-partial sum for each host and task, and the hosts with a bad verdict.
+partial sum for each host and task, and the hosts' verdicts.
+
+Every host has a shrunk failure rate for each graded rule (repeated words, symbols, repeated lines). Its verdict is how strictly
+the rule is held there: the rate over the prior's mean, between 1 / SWAY and SWAY, and one on a host like the corpus. A document goes
+if it fails the base rules, or if a measure times the strictness of its host is above the rule's limit. A document that has none of
+what a rule measures is kept wherever it comes from.
 
 Null, empty or blank text has no words: all measures are 0 and base_failed is true. A null host is no host: such
-documents are judged alone. Repeated rows are judged alike, ties do not matter, an empty table gives an empty result,
+documents are judged with a strictness of one. Repeated rows are judged alike, ties do not matter, an empty table gives an empty result,
 and columns of the input pass through (inner columns are named `_q_*`; a column with the name of a result is replaced).
 """
 
@@ -16,7 +21,10 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import BLANKS
 
 WINDOW = 8
-#: A broadcast of bad hosts is used up to this many; a shuffle join beyond it.
+#: Graded rules with the measure and its limit for each word.
+GRADED = {"repeats": ("n_repeat_words", 0.3), "symbols": ("n_symbols", 0.3), "lines": ("n_dup_lines", 0.2)}
+SWAY = 2.0
+#: A broadcast of hosts is used up to this many; a shuffle join beyond it.
 BROADCAST_HOSTS = 50_000
 
 
@@ -64,39 +72,38 @@ def _covered(windows: Column) -> Column:
     )
 
 
-def soft_failures() -> Column:
-    """Weaker rules that count only on a host with a bad verdict: many symbols, many repeated lines, odd word lengths."""
-    n = F.col("n_words")
-    return (10 * F.col("n_symbols") > 3 * n) | (5 * F.col("n_dup_lines") > n) | (F.col("word_chars") > 14 * n) | (F.col("word_chars") < 2 * n)
-
-
 def host_rates(measures: DataFrame, host: str = "source") -> DataFrame:
-    """One row for each host: documents, failures, and the failure rate shrunk towards the corpus.
+    """One row for each host: documents, and for `any` rule and each graded one the failures (failed_*), the failure rate shrunk
+    towards the corpus (rate_*, of six digits), and the strictness (strict_*, of four).
 
-    The beta prior is fitted by moments over hosts: with mean m and variance v of the hosts' rates (v less what
+    The beta prior of a rule is fitted by moments over hosts: with mean m and variance v of the hosts' rates (v less what
     sampling of n documents explains), the prior counts are s = m(1-m)/v - 1, a = m s, b = (1-m) s, s held in [1, 1000].
     """
+    fails = {r: F.col(c) > F.lit(limit) * F.col("n_words") for r, (c, limit) in GRADED.items()}
+    any_rule = F.col("base_failed")
+    for f in fails.values():
+        any_rule = any_rule | f
+    fails["any"] = any_rule
     hosts = measures.where(F.col(host).isNotNull()).groupBy(host).agg(
-        F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
+        F.count("*").alias("host_docs"), *[F.sum(f.cast("long")).alias(f"failed_{r}") for r, f in fails.items()]
     )
-    rate = F.col("host_failed") / F.col("host_docs")
-    m, v, w = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("host_docs"))).first()
-    m = m or 0.0
-    s = min(1000.0, max(1.0, m * (1 - m) / max((v or 0.0) - m * (1 - m) * (w or 0.0), 1e-9) - 1))
-    return hosts.withColumn("host_rate", (F.col("host_failed") + F.lit(m * s)) / (F.col("host_docs") + F.lit(s)))
-
-
-def judged(measures: DataFrame, rates: DataFrame, host: str = "source", bad_rate: float = 0.6) -> DataFrame:
-    """measures with host_rate (null: no bad verdict) and kept.
-
-    A host is bad if its shrunk failure rate is at least bad_rate. On a bad host, a document must pass the weaker
-    rules too; on others the base rules decide. A clean document is thus kept wherever it comes from.
-    """
-    measures = measures.drop("host_rate", "kept")
-    bad = rates.where(F.col("host_rate") >= bad_rate).select(F.col(host).alias("_q_host"), F.col("host_rate"))
-    n = bad.limit(BROADCAST_HOSTS + 1).count()
-    if n == 0:
-        joined = measures.withColumn("host_rate", F.lit(None).cast("double"))
-    else:
-        joined = measures.join(F.broadcast(bad) if n <= BROADCAST_HOSTS else bad, F.col(host) == F.col("_q_host"), "left").drop("_q_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rate").isNotNull() & soft_failures()))
+    n = F.col("host_docs")
+    fit = hosts.agg(F.avg(1 / n).alias("w"), *[x for r in fails for x in (F.avg(F.col(f"failed_{r}") / n).alias(f"m_{r}"), F.var_pop(F.col(f"failed_{r}") / n).alias(f"v_{r}"))]).first()
+    out = hosts
+    for r in fails:
+        m = fit[f"m_{r}"] or 0.0
+        s = min(1000.0, max(1.0, m * (1 - m) / max((fit[f"v_{r}"] or 0.0) - m * (1 - m) * (fit["w"] or 0.0), 1e-9) - 1))
+        rate = F.round((F.col(f"failed_{r}") + F.lit(m * s)) / (n + F.lit(s)), 6)
+        strict = F.round(F.least(F.greatest(rate / F.lit(m), F.lit(1 / SWAY)), F.lit(SWAY)), 4) if m > 0 else F.lit(1.0)
+        out = out.withColumns({f"rate_{r}": rate, f"strict_{r}": strict})
+    return out
+
+
+def judged(measures: DataFrame, rates: DataFrame, host: str = "source") -> DataFrame:
+    """measures with host_rate (any rule; null: no host), n_soft (graded rules failed at the host's strictness) and kept."""
+    measures = measures.drop("host_rate", "n_soft", "kept")
+    hosts = rates.select(F.col(host).alias("_q_host"), F.col("rate_any").alias("host_rate"), *[F.col(f"strict_{r}").alias(f"_q_{r}") for r in GRADED])
+    small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    joined = measures.join(F.broadcast(hosts) if small else hosts, F.col(host) == F.col("_q_host"), "left")
+    soft = sum((F.coalesce(F.col(c) * F.coalesce(f"_q_{r}", F.lit(1.0)) > F.lit(limit) * F.col("n_words"), F.lit(False)).cast("int") for r, (c, limit) in GRADED.items()), F.lit(0))
+    return joined.withColumn("n_soft", soft).drop("_q_host", *[f"_q_{r}" for r in GRADED]).withColumn("kept", ~F.col("base_failed") & (F.col("n_soft") == 0))

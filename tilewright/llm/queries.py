@@ -16,8 +16,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     measures = durable(quality.measured(docs.select("doc_id", "source", "text")).drop("text"), "quality")
-    out = quality.judged(measures, quality.host_rates(measures))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_rate")
+    out = quality.judged(measures, durable(quality.host_rates(measures), "hosts"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_rate", "n_soft")
 
 
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +110,15 @@ m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(list_sum(l
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY 1),
-p AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS w FROM h),
-q AS (SELECT m, least(1000.0, greatest(1.0, m * (1 - m) / greatest(v - m * (1 - m) * w, 1e-9) - 1)) AS s FROM p),
-bad AS (SELECT source, CAST((f + m * s) / (n + s) AS DOUBLE) AS host_rate FROM h, q WHERE (f + m * s) / (n + s) >= 0.6)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (host_rate IS NOT NULL AND (10 * n_symbols > 3 * n_words OR 5 * n_dup_lines > n_words OR word_chars > 14 * n_words OR word_chars < 2 * n_words)) AS kept, source, host_rate
-FROM b LEFT JOIN bad USING (source)
+f AS (SELECT *, n_repeat_words > 0.3::DOUBLE * n_words AS fr, n_symbols > 0.3::DOUBLE * n_words AS fs, n_dup_lines > 0.2::DOUBLE * n_words AS fl FROM b),
+u AS (SELECT source, n, unnest(['any', 'repeats', 'symbols', 'lines']) AS rule, unnest([a, r, s, l]) AS f FROM (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR fr OR fs OR fl) AS a,
+  count(*) FILTER (WHERE fr) AS r, count(*) FILTER (WHERE fs) AS s, count(*) FILTER (WHERE fl) AS l FROM f WHERE source IS NOT NULL GROUP BY 1)),
+p AS (SELECT rule, avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS w FROM u GROUP BY 1),
+q AS (SELECT rule, m, least(1000.0::DOUBLE, greatest(1.0::DOUBLE, m * (1 - m) / greatest(v - m * (1 - m) * w, 1e-9) - 1)) AS s FROM p),
+h AS (SELECT source, rule, rate, CASE WHEN m > 0 THEN round(least(greatest(rate / m, 0.5::DOUBLE), 2.0::DOUBLE), 4) ELSE 1.0 END AS strict FROM (SELECT source, rule, m, round((f + m * s) / (n + s), 6) AS rate FROM u JOIN q USING (rule))),
+j AS (SELECT source, max(rate) FILTER (WHERE rule = 'any') AS host_rate, max(strict) FILTER (WHERE rule = 'repeats') AS xr, max(strict) FILTER (WHERE rule = 'symbols') AS xs, max(strict) FILTER (WHERE rule = 'lines') AS xl FROM h GROUP BY 1),
+o AS (SELECT f.*, host_rate, CAST(n_repeat_words * coalesce(xr, 1) > 0.3::DOUBLE * n_words AS INTEGER) + CAST(n_symbols * coalesce(xs, 1) > 0.3::DOUBLE * n_words AS INTEGER) + CAST(n_dup_lines * coalesce(xl, 1) > 0.2::DOUBLE * n_words AS INTEGER) AS n_soft FROM f LEFT JOIN j USING (source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_soft = 0 AS kept, source, host_rate, n_soft FROM o
 """
 
 OP3 = rf"""
