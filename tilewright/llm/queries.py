@@ -52,7 +52,7 @@ def op5_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import urls
 
     out = urls.judged(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return out.select("page_id", "host", "path", "rule", "verdict", "alias")
+    return out.select("page_id", "host", "path", "rule", "verdict", "alias", "via")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(o, w.d
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_other USING (doc_id)
 """
 
-#: The given pages name no canonical links or redirects, so here a class is a plain form.
+#: The given pages name no canonical links or redirects, so here a class is a plain form with the urls that lead to it.
 OP5 = r"""
 WITH a AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path,
@@ -142,10 +142,11 @@ b AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AN
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
-  CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END AS alias FROM a),
+  CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END END AS plain FROM a),
 c AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM b),
-d AS (SELECT alias FROM c WHERE alias IS NOT NULL GROUP BY alias HAVING count(*) FILTER (WHERE own = 'block') > 0 AND count(*) FILTER (WHERE own = 'allow') = 0)
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN d.alias IS NOT NULL THEN 'block' END, 'allow') AS verdict, c.alias FROM c LEFT JOIN d ON c.alias = d.alias
+d AS (SELECT plain, least(plain, min(url)) AS alias, count(*) FILTER (WHERE own = 'block') > 0 AND count(*) FILTER (WHERE own = 'allow') = 0 AS blocked FROM c WHERE plain IS NOT NULL GROUP BY plain)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict, alias, CASE WHEN own IS NOT NULL THEN 'rule' WHEN blocked THEN 'class' ELSE 'default' END AS via
+FROM c LEFT JOIN d ON c.plain = d.plain
 """
 
 

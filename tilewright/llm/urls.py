@@ -1,9 +1,11 @@
 """URL filters by redirect equivalence: block decisions spread over aliases, explicit allow rules come first.
 
-DataFrame functions only. Urls that stand for one page are joined into classes: every url leads to its plain form (as a
-server redirects schemes, `www.`, page suffixes and tracking parameters), and pages name others by canonical links and refresh
-redirects, absolute or relative to the page's own url or its base element. Classes of plain forms that such edges join are found by distributed connected components. Within a class an
-explicit allow beats a block, and a block reaches each member that no rule of its own decides.
+DataFrame functions only. Urls that stand for one page are joined into classes. Edges lead from every url to its plain form (as
+a server redirects schemes, `www.` and `m.` hosts, page suffixes, closing slashes and tracking parameters), and from plain form to
+plain form where a page names another by a canonical link or refresh redirect, absolute or relative to the page's own url or its
+base element. Classes are the connected components of these edges, found on Spark. Within a class an explicit allow beats a
+block, and a block reaches each member that no rule of its own decides; `via` tells whether a verdict came by rule, by class or
+by default.
 
 A null url, or one without `://`, has empty host and path, no rule and no alias: it is allowed. A null html names no
 other url. Repeated rows and ties are judged alike (rules of one length are tried in text order), empty tables give
@@ -45,8 +47,8 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def plain_form(url: Column) -> Column:
-    """What a url redirects to: no scheme, `www.`, fragment, tracking parameter, page suffix or closing slash; else null."""
-    host = F.regexp_replace(host_of(url), r"^www\.", "")
+    """What a url redirects to: no scheme, `www.` or `m.`, fragment, tracking parameter, page suffix or closing slash; else null."""
+    host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"/+$", ""), r"\.html?$", "")
     query = F.regexp_extract(url, r"://[^?#]*\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_\w*|ref|fbclid|gclid)="))
@@ -124,13 +126,15 @@ def named_targets(html: Column, url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): plain forms that a page's canonical link or redirect joins."""
-    named = pages.select(plain_form(F.col(url)).alias("a"), F.explode(named_targets(F.col(html), F.col(url))).alias("_u_t"))
-    return named.select("a", plain_form(F.col("_u_t")).alias("b")).where("a is not null and b is not null and a <> b")
+    """(a, b): each url with its plain form, and plain forms that a page's canonical link or redirect joins."""
+    plain = plain_form(F.col(url))
+    own = pages.select(F.col(url).alias("a"), plain.alias("b")).where("b is not null")
+    named = pages.select(plain.alias("a"), F.explode(named_targets(F.col(html), F.col(url))).alias("_u_t"))
+    return own.union(named.select("a", plain_form(F.col("_u_t")).alias("b")).where("a is not null and b is not null and a <> b"))
 
 
 def judged(pages: DataFrame, rules: dict[str, str] = RULES, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with host, path, rule, alias (its class: the smallest plain form that can be reached) and verdict."""
+    """pages with host, path, rule, alias (its class: the smallest url or plain form that can be reached), verdict and via."""
     classes = connected_components(alias_edges(pages, url, html)).withColumnsRenamed({"node": "_u_plain", "component": "_u_class"})
     host, path = host_of(F.col(url)), path_of(F.col(url))
     step = pages.withColumns({"host": host, "path": path, "_u_plain": plain_form(F.col(url))})
@@ -145,7 +149,8 @@ def judged(pages: DataFrame, rules: dict[str, str] = RULES, url: str = "url", ht
         .where("_u_block = 1 and _u_allow = 0").select("alias", F.lit("block").alias("_u_spread"))
     )
     out = step.join(_sized(spread), "alias", "left")
-    return out.withColumn("verdict", F.coalesce("_u_own", "_u_spread", F.lit("allow"))).drop("_u_own", "_u_spread")
+    via = F.when(F.col("_u_own").isNotNull(), "rule").when(F.col("_u_spread").isNotNull(), "class").otherwise("default")
+    return out.withColumns({"verdict": F.coalesce("_u_own", "_u_spread", F.lit("allow")), "via": via}).drop("_u_own", "_u_spread")
 
 
 def _sized(small: DataFrame) -> DataFrame:
