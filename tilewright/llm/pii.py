@@ -5,9 +5,11 @@ their format and context. Equal feature vectors form a cell; cells are counted o
 most MAX_CELLS of them by construction, the counts alone go to the driver, where trees are boosted on them. The trees
 return to the rows as nested CASE expressions.
 
-What the base formats find always stays. The trees learn from candidates which formats and contexts go with a valid
-check (Luhn, octets, digit counts), half of the documents fit them, the other half calibrates their scores, and each
-kind's threshold is the least score from which on calibrated precision is PRECISION.
+What the base formats find always stays. The trees learn from the base formats' candidates, valid or not, which formats and
+contexts go with valid data. What makes one valid (Luhn, octets, digit counts, an address's labels) is no feature, nor do
+features tell it. Half of the documents fit the trees, the other half calibrates their scores, and each kind's threshold is
+the least score from which on calibrated precision is PRECISION. Candidates of further formats above it are added where no
+base span is; of two such in a row that overlap, the one with the higher score stays.
 
 Null text is the empty text, without spans. Ties between candidates go to the earlier start, then the kind listed
 first. Repeated rows are judged alike, an empty table or one without candidates gives no model and so no added spans.
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import ascii_lower, match_spans, spans_text
+from tilewright.llm.common import ascii_lower, let, match_spans, scanned, spans_text
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -45,8 +47,10 @@ MORE = {
 }
 CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|host|server|addr", "card": "card|visa|credit|pay", "phone": "phone|tel|call|fax|mobil"}
 #: Features and how many values each takes; their product bounds the cells.
-FEATURES = {"kind": 4, "digits": 6, "split": 6, "checked": 3, "before": 4, "after": 4, "words": 2, "form": 2}
+FEATURES = {"kind": 4, "split": 6, "groups": 5, "letters": 3, "before": 4, "after": 4, "words": 2}
 MAX_CELLS = int(np.prod(list(FEATURES.values())))
+NEAR = 24
+FOUND = "array<struct<start:int,end:int,hit:string,left:string,next:string>>"
 PRECISION = 0.95
 
 
@@ -62,6 +66,7 @@ def luhn(digits: Column) -> Column:
 
 
 def _valid(kind: str, hit: Column) -> Column:
+    """The contract's check of a base match."""
     n = F.length(_digits(hit))
     return {
         "email": F.lit(True),
@@ -71,19 +76,27 @@ def _valid(kind: str, hit: Column) -> Column:
     }[kind]
 
 
+def _plausible(kind: str, hit: Column) -> Column:
+    """The label of a base candidate: its check, and for an address labels that a host can have and a name of letters at the end."""
+    if kind != "email":
+        return _valid(kind, hit)
+    odd = hit.contains("..") | hit.contains(".@") | hit.contains("@-") | hit.contains("-.") | hit.contains(".-") | hit.startswith(".")
+    return ~odd & hit.rlike(r"\.[A-Za-z]{2,24}$")  # flat patterns: repeated groups recurse and could end the JVM's stack
+
+
 def _flat(text: Column, kind: str) -> Column:
     """text for the base pattern of a kind, null where a plain search shows that nothing can match."""
     if kind == "email":
         return F.when(text.contains("@"), F.regexp_replace(text, r"\.(?![A-Za-z0-9-])", "%"))
     if kind == "card":
-        return F.when(text.rlike(r"[0-9][0-9\x20-]{12}"), F.regexp_replace(text, r"[\x20-](?![0-9])", "x"))
+        return F.when(text.rlike(r"[0-9][0-9\x20-]{12}"), F.regexp_replace(text, r"[\x20-](?![0-9])", "\t"))
     if kind == "phone":
         return F.when(text.contains("+"), text)
     return F.when(text.rlike(r"[0-9]\.[0-9]"), text)
 
 
 def _found(text: Column, kind: str) -> Column:
-    return F.coalesce(match_spans(_flat(text, kind), BASE[kind]), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)"))
+    return F.coalesce(match_spans(_flat(text, kind), BASE[kind], NEAR), F.expr(f"cast(array() as {FOUND})"))
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -111,36 +124,40 @@ def _side(c: Column) -> Column:
     return F.when((c == "") | c.rlike(r"\s"), 0).when(c.rlike(r"\p{L}"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
 
 
-def _candidate(text: Column, kind: str, s: Column, form: int) -> Column:
-    hit, digits = s["hit"], _digits(s["hit"])
-    n = F.length(digits)
-    before = F.when(s["start"] > 0, F.substring(text, s["start"], 1)).otherwise("")
-    left = ascii_lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
-    octets = hit.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$") | hit.rlike("^[0-9A-Fa-f:]+:[0-9A-Fa-f]+$")
-    checked = {"email": F.lit(2), "ip": F.when(octets, 1).otherwise(0), "card": F.when(luhn(digits), 1).otherwise(0), "phone": F.when(n.between(10, 15), 1).otherwise(0)}[kind]
-    split = F.when(hit.rlike(r"\("), 5).when(hit.contains("-"), 1).when(hit.contains(" "), 2).when(hit.rlike(r"[0-9][./_:][0-9]"), 3).when(n > 0, 4).otherwise(0)
+def _candidate(kind: str, s: Column) -> Column:
+    hit, left = s["hit"], ascii_lower(s["left"])
+    split = F.when(hit.contains("("), 5).when(hit.contains("-"), 1).when(hit.contains(" "), 2).when(hit.rlike(r"[0-9][./_:][0-9]"), 3).when(hit.rlike("[0-9]"), 4).otherwise(0)
     return F.struct(
         s["start"], s["end"],
-        F.lit(KINDS.index(kind)).alias("kind"),
-        F.when(n == 0, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 16, 4).otherwise(5).alias("digits"),
-        split.alias("split"), checked.alias("checked"), _side(before).alias("before"),
-        _side(F.substring(text, s["end"] + 1, 1)).alias("after"),
-        F.when((s["start"] > 0) & left.rlike(CONTEXT[kind]), 1).otherwise(0).alias("words"), F.lit(form).alias("form"),
+        F.lit(KINDS.index(kind)).alias("kind"), split.alias("split"),
+        F.least(F.regexp_count(hit, F.lit("[^A-Za-z0-9]+")), F.lit(4)).alias("groups"),
+        F.when(~hit.rlike("[A-Za-z]"), 0).when(hit.rlike("[A-Z]"), 2).otherwise(1).alias("letters"),
+        _side(F.right(left, F.lit(1))).alias("before"), _side(s["next"]).alias("after"),
+        F.when(left.rlike(CONTEXT[kind]), 1).otherwise(0).alias("words"),
     )
 
 
-def _former(text: Column, kind: str, form: int):
-    return lambda s: _candidate(text, kind, s, form)
+def _former(kind: str):
+    return lambda s: _candidate(kind, s)
+
+
+def _good(kind: str):
+    return lambda s: F.struct(_plausible(kind, s["hit"]).alias("good"), _candidate(kind, s).alias("c"))
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start,end,FEATURES>> of all generators; form 0: a base format, 1: a further form."""
+def examples() -> Column:
+    """array<struct<good,c>> of the base formats' candidates, valid or not."""
+    return F.concat(*[F.transform(F.col(f"_p_all_{k}"), _good(k)) for k in KINDS])
+
+
+def further(text: Column) -> Column:
+    """array<struct<start,end,FEATURES>> of the further formats; card numbers must pass the Luhn check."""
     parts = []
     for k in KINDS:
-        parts.append(F.transform(F.col(f"_p_all_{k}"), _former(text, k, 0)))
         hint = text.contains("at)") | text.contains("at]") if k == "email" else text.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]" if k == "ip" else r"[0-9][0-9]{2}")
-        more = F.coalesce(F.when(hint, match_spans(text, MORE[k])), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)"))
-        parts.append(F.transform(more, _former(text, k, 1)))
+        more = F.coalesce(F.when(hint, match_spans(text, MORE[k], NEAR)), F.expr(f"cast(array() as {FOUND})"))
+        more = F.filter(more, lambda s: luhn(_digits(s["hit"]))) if k == "card" else more
+        parts.append(F.transform(more, _former(k)))
     return F.concat(*parts)
 
 
@@ -233,32 +250,50 @@ def fit(cells: list[tuple], rounds: int = 24, rate: float = 0.4) -> Model | None
 
 def trained(step: DataFrame, text: str = "text") -> Model | None:
     """The model of all documents of with_spans(): cells are counted on Spark, trees are boosted from the counts."""
-    good = " or ".join(f"(c.kind = {i} and exists(_p_{k}, s -> s.start = c.start and s.end = c.end))" for i, k in enumerate(KINDS))
     half = F.pmod(F.xxhash64("_p_text"), F.lit(2)).cast("int")
-    each = step.select("*", half.alias("_p_half"), F.explode(candidates(F.col("_p_text"))).alias("c")).where("c.form = 0")
-    cells = each.select(*[F.col(f"c.{f}").alias(f) for f in FEATURES], "_p_half", F.expr(f"cast({good} as int)").alias("good"))
+    each = step.select(half.alias("_p_half"), F.explode(examples()).alias("e"))
+    cells = each.select(*[F.col(f"e.c.{f}").alias(f) for f in FEATURES], "_p_half", F.col("e.good").cast("int").alias("good"))
     counted = cells.groupBy(*FEATURES, "_p_half", "good").count()
     return fit([tuple(r) for r in counted.collect()])  # at most 4 x MAX_CELLS rows
 
 
+def apart(base: Column, cand: Column) -> Column:
+    """Elements of cand(start, end, score, rank, kind) that overlap no base span, and of those in a row that overlap the best one.
+
+    Three passes in the order of places, none of which compares all with all: what ends before the base spans so far,
+    what starts behind it, and a sweep over the rest.
+    """
+    whole = "struct<start:int,end:int,score:double,rank:int,kind:string,free:boolean>"
+    empty = F.expr(f"cast(array() as array<{whole}>)")
+
+    def row(x: Column, score: Column, free: Column) -> Column:
+        return F.struct(x["start"], x["end"], score.alias("score"), x["rank"], x["kind"], free.alias("free"))
+
+    both = F.concat(F.transform(base, lambda b: row(b, F.lit(None).cast("double"), F.lit(False))), F.transform(cand, lambda c: row(c, c["score"], F.lit(True))))
+    is_base = lambda x: x["score"].isNull()
+    # nulls come first in array_sort's structs of one start and end; a base span of the same start must be seen before
+    by_start = F.transform(F.array_sort(F.transform(both, lambda x: F.struct(x["start"], (~is_base(x)).alias("late"), x.alias("x")))), lambda p: p["x"])
+    seen = scanned(by_start, F.lit(0), lambda at, x: F.when(is_base(x), F.greatest(at, x["end"])).otherwise(at), lambda at, x: row(x, x["score"], x["free"] & (x["start"] >= at)), whole)
+    far = F.lit(2**31 - 1)
+    left = scanned(F.reverse(seen), far, lambda at, x: F.when(is_base(x), F.least(at, x["start"])).otherwise(at), lambda at, x: row(x, x["score"], x["free"] & (x["end"] <= at)), whole)
+    free = F.reverse(F.filter(left, lambda x: x["free"]))
+    nothing = F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit("").alias("kind"), F.lit(False).alias("free"))
+    # the state is the span that may still lose to the next one; it is let go when the next one starts behind it
+    winner = lambda at, x: F.when(at["start"].isNull() | (x["start"] >= at["end"]) | (x["score"] > at["score"]), x).otherwise(at)
+    closed = F.concat(free, F.when(F.size(free) > 0, F.array(row(F.struct(far.alias("start"), far.alias("end"), F.lit(0).alias("rank"), F.lit("").alias("kind")), F.lit(0.0), F.lit(False)))).otherwise(empty))
+    out = scanned(closed, nothing, winner, lambda at, x: F.when(x["start"] >= at["end"], at).otherwise(nothing), whole)
+    return F.filter(out, lambda x: x["start"].isNotNull())
+
+
 def judged(step: DataFrame, model: Model | None) -> DataFrame:
     """step with `_p_spans`: base spans, and further candidates above their kind's threshold that overlap none."""
-    base = base_spans()
     if model is None or not model.cuts:
-        return step.withColumn("_p_spans", base)
-    step = step.withColumns({"_p_base": base, "_p_cand": F.filter(candidates(F.col("_p_text")), lambda c: c["form"] == 1)})
-    cut = F.create_map(*[x for k, v in model.cuts.items() for x in (F.lit(KINDS.index(k)), F.lit(v))])
-    chosen = F.filter("_p_cand", lambda c: model.column(c) >= F.coalesce(F.element_at(cut, c["kind"]), F.lit(float("inf"))))
-    free = F.filter(chosen, lambda c: ~F.exists("_p_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    ordered = F.array_sort(F.transform(free, lambda c: F.struct((-model.column(c)).alias("less"), c["start"], c["kind"], c["end"])))
+        return step.withColumn("_p_spans", base_spans())
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    added = F.aggregate(
-        ordered,
-        F.expr(f"cast(array() as {SPAN})"),
-        lambda acc, c: F.when(F.exists(acc, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), acc).otherwise(
-            F.concat(acc, F.array(F.struct(c["start"], c["kind"].alias("rank"), c["end"], F.element_at(kinds, c["kind"] + 1).alias("kind"))))
-        ),
-    )
+    cut = F.create_map(*[x for k, v in model.cuts.items() for x in (F.lit(KINDS.index(k)), F.lit(v))])
+    rated = F.transform(further(F.col("_p_text")), lambda c: F.struct(c["start"], c["end"], model.column(c).alias("score"), c["kind"].alias("rank"), F.element_at(kinds, c["kind"] + 1).alias("kind")))
+    step = step.withColumns({"_p_base": base_spans(), "_p_cand": F.filter(rated, lambda c: c["score"] >= F.coalesce(F.element_at(cut, c["rank"]), F.lit(float("inf"))))})
+    added = F.transform(apart(F.col("_p_base"), F.col("_p_cand")), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))
     return step.withColumn("_p_spans", F.concat("_p_base", F.when(F.size("_p_cand") > 0, added).otherwise(F.expr(f"cast(array() as {SPAN})"))))
 
 
@@ -273,13 +308,11 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs whose text has [EMAIL], [IP], [CARD] or [PHONE] for each span; where spans overlap, the first names the gap."""
     out = detect(docs.select("*", F.col(text).alias("_r_text")), "_r_text").drop("n_email", "n_ip", "n_card", "n_phone", "base", "spans")
-    ordered = F.array_sort("pii_spans")
-    body = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("_r_text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("_r_text"), acc["at"] + 1, F.length("_r_text"))),
-    )
+    def pieces(spans: Column) -> Column:
+        end = F.struct(F.length("_r_text").alias("start"), F.lit(0).alias("rank"), F.length("_r_text").alias("end"), F.lit(None).cast("string").alias("kind"))
+        tag = lambda s: F.coalesce(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")), F.lit(""))
+        cut = lambda at, s: F.concat(F.substring(F.col("_r_text"), at + 1, s["start"] - at), tag(s))
+        return scanned(F.concat(spans, F.array(end)), F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.when(s["start"] < at, "").otherwise(cut(at, s)), "string")
+
+    body = F.array_join(pieces(F.array_sort("pii_spans")), "")
     return out.withColumn(text, F.when(F.size("pii_spans") > 0, body).otherwise(F.col("_r_text"))).drop("_r_text", "pii_spans")
