@@ -4,12 +4,14 @@ Every document becomes the set of its distinct five-word shingles (64-bit hashes
 hashes. Documents of one set form a class. Each tree sorts the signatures from another place on; classes that share a
 prefix there form a region. Within a region, candidates are neighbours in the sorted order, whose common prefix is
 longest, and the member nearest to the region's consensus with each other member. Regions above REGION members go
-deeper, STEP values at a time, where their members already have a candidate with a common centre. Confirmed links give components; a second look at each region then
-counts the shared shingles of members that are still apart with all others, so that no link is lost that the forest can see. Regions
-above REGION are looked at whole too: members outside the region's largest component meet blocks of all its members.
+deeper, to the DEPTHS in turn, where their members already have a candidate with a common centre. Confirmed links give components; a second
+look at each region then counts the shared shingles of members that are still apart with all others, so that no link is lost
+that the forest can see. Regions above REGION are looked at whole too, whatever their depth: members outside the region's largest
+component meet blocks of all its members.
 
-At a similarity of 0.85 a tree of depth 4 misses a pair with probability 0.48, all 24 with 2e-8. Candidates need 64 of
-96 equal values, which a pair at 0.85 misses with probability 1e-7.
+At a similarity of 0.85 a tree of depth 4 misses a pair with probability 0.48, all 24 with 2e-8; at 0.8 with 0.59 and 3e-6.
+Candidates need as many equal values of the 96 as a pair at the threshold has but with a probability of some 1e-6 (64 for 0.85,
+57 for 0.8).
 
 A null, empty or blank text has an empty set and is linked with nothing. With fewer than five words the whole sequence
 is the one shingle. Repeated rows share class and component; ties cannot matter, as a component's id is its smallest
@@ -25,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tilewright.llm.common import connected_components, durable
 
-SHINGLE, TREES, STEP, LEVELS = 5, 24, 4, 6
+SHINGLE, TREES, STEP = 5, 24, 4
+#: Depths of the trees in steps of STEP values; only regions above REGION go beyond the first.
+DEPTHS = (1, 3, 6)
 VALUES = TREES * STEP
-LEAST_EQUAL = 64
-REGION, FEW = 4096, 8
+REGION, FEW = 512, 8
+SAMPLE = 512
 BROADCAST_KEYS = 200_000
 #: Bytes of text that are hashed at once; longer texts are hashed in parts that end with a word.
 BLOCK = 1 << 22
@@ -47,6 +50,12 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def least_equal(percent: int) -> int:
+    """Equal values that a pair at the threshold has, less 4.9 standard deviations."""
+    p = min(percent, 100) / 100
+    return max(1, int(VALUES * p - 4.9 * (VALUES * p * (1 - p)) ** 0.5))
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -163,7 +172,9 @@ def _prefix(tree: int, depth: int):
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("members", F.count("*").over(Window.partitionBy("region"))).where("members > 1")
+    """rows of regions with two members or more, with their number: counts are made map-side, so a large region is no single task."""
+    many = durable(rows.groupBy("region").agg(F.count("*").alias("members")).where("members > 1"), "counted")
+    return rows.join(sized(many), "region")
 
 
 def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -175,24 +186,20 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame
     light = classes.select("cls", F.explode(F.array(*[F.xxhash64(F.lit(t), _prefix(t, 1)) for t in range(TREES)])).alias("region"))
     met = durable(_counted(light), "regions")
     done = met.where(F.col("members") <= REGION).select("region", "cls", F.lit(False).alias("deep"))
-    depth, heavy = 1, met.where(F.col("members") > REGION)
+    heavy = met.where(F.col("members") > REGION)
     whole = None if heavy.isEmpty() else heavy.select("region", "cls")
-    centres = None
-    while not heavy.isEmpty():
-        depth += 1
-        full = heavy.select("region", "cls").join(classes.select("cls", "sig"), "cls")
+    centres, rounds = None, list(zip(DEPTHS, DEPTHS[1:], strict=False)) if whole is not None else []
+    for shallow, deep in rounds:
+        full = durable(heavy.select("region", "cls", "members").join(classes.select("cls", "sig"), "cls"), "heavy")
         near = _centre_pairs(full)
         centres = near if centres is None else centres.union(near)
-        # the tree of a region is the one whose prefix gives it
-        trees = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), _prefix(t, depth - 1)).alias("was"), F.xxhash64(F.lit(t), F.lit(depth), _prefix(t, depth)).alias("now"), F.xxhash64(F.lit(t), F.lit(depth - 1), _prefix(t, depth - 1)).alias("deep")) for t in range(TREES)]), lambda x: (x["was"] == F.col("region")) | (x["deep"] == F.col("region")))
-        split = full.select("cls", trees[0]["now"].alias("region"))
-        if depth > LEVELS:  # alike in LEVELS x STEP values: dealt into parts by name, all of them already linked to the centre
-            split = full.select("cls", F.xxhash64("region", F.pmod(F.xxhash64("cls"), F.lit(64))).alias("region"))
-        met = durable(_counted(split), "regions")
+        # the tree of a region is the one whose prefix gives its name
+        named = lambda t, depth: F.xxhash64(F.lit(t), _prefix(t, depth)) if depth == 1 else F.xxhash64(F.lit(t), F.lit(depth), _prefix(t, depth))
+        trees = F.filter(F.array(*[F.struct(named(t, shallow).alias("was"), named(t, deep).alias("now")) for t in range(TREES)]), lambda x: x["was"] == F.col("region"))
+        met = durable(_counted(full.select("cls", trees[0]["now"].alias("region"))), "regions")
         done = done.union(met.where(F.col("members") <= REGION).select("region", "cls", F.lit(True)))
         heavy = met.where(F.col("members") > REGION)
-        if depth > LEVELS + 1:
-            done = done.union(heavy.select(F.xxhash64("region", F.pmod(F.xxhash64(F.lit(depth), "cls"), F.lit(4096))).alias("region"), "cls", F.lit(True)))
+        if heavy.isEmpty():
             break
     return durable(done.join(classes.select("cls", "sig"), "cls").select("region", "cls", "deep", "sig"), "members"), centres, whole
 
@@ -200,9 +207,9 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame
 def _centre_pairs(full: DataFrame) -> DataFrame:
     """(a, b): each member of a large region with the member nearest to the region's consensus.
 
-    The consensus is the commonest value at each place among 512 members (a bounded sample that only picks the centre).
+    The consensus is the commonest value at each place among some SAMPLE members (chosen by hash; they only pick the centre).
     """
-    pick = full.withColumn("at", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("cls")))).where("at <= 512")
+    pick = full.where(F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / SAMPLE)) == 0)
 
     def consensus(pdf):
         import pandas as pd
@@ -210,7 +217,7 @@ def _centre_pairs(full: DataFrame) -> DataFrame:
         sigs = np.stack([np.frombuffer(s, "<u2") for s in pdf["sig"]])
         return pd.DataFrame({"region": [pdf["region"].iloc[0]], "mode": [_modes(sigs).astype("<u2").tobytes()]})
 
-    modes = pick.select("region", "sig").groupBy("region").applyInPandas(consensus, "region long, mode binary")
+    modes = durable(pick.select("region", "sig").groupBy("region").applyInPandas(consensus, "region long, mode binary"), "modes")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,7 +290,7 @@ def _pairs_of(members: DataFrame, chooser) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary").where("a <> b").distinct()
 
 
-def _near(sigs: np.ndarray) -> list[tuple[int, int]]:
+def _near(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
     """First look: all pairs of few members; else neighbours in sorted order and the centre with each."""
     n = len(sigs)
     if n <= FEW:
@@ -293,7 +300,7 @@ def _near(sigs: np.ndarray) -> list[tuple[int, int]]:
         order = np.lexsort(sigs.T[::-1])
         i = np.concatenate((order[:-1], np.full(n - 1, centre)))
         j = np.concatenate((order[1:], np.delete(np.arange(n), centre)))
-    ok = (sigs[i] == sigs[j]).sum(axis=1) >= LEAST_EQUAL
+    ok = (sigs[i] == sigs[j]).sum(axis=1) >= least
     return list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
 
 
@@ -303,6 +310,7 @@ def _apart(sigs: np.ndarray, component: list[bytes], sets: list[np.ndarray], per
     Shared shingles are counted by postings within the region; one link for a member and component is enough.
     """
     _, part, count = np.unique(np.array([c.hex() for c in component]), return_inverse=True, return_counts=True)
+    least = least_equal(percent)
     outside = np.flatnonzero(part != count.argmax() if asks is None else np.array(asks))
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -311,7 +319,7 @@ def _apart(sigs: np.ndarray, component: list[bytes], sets: list[np.ndarray], per
     posted, ptr = owner[order], np.concatenate(([0], np.cumsum(np.bincount(term))))
     first = np.concatenate(([0], np.cumsum(sizes)))
     for x in outside:
-        if not ((part != part[x]) & ((sigs == sigs[x]).sum(axis=1) >= LEAST_EQUAL)).any():
+        if not ((part != part[x]) & ((sigs == sigs[x]).sum(axis=1) >= least)).any():
             continue
         mine = term[first[x] : first[x + 1]]
         lengths = ptr[mine + 1] - ptr[mine]
@@ -396,16 +404,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "sig")).alias("m"), F.count("*").alias("copies"))
     classes = durable(classes.select("cls", "m.doc_id", "m.text_key", "m.sig", "copies"), "classes")
     members, centres, whole = regions(classes)
-    first = _pairs_of(members.select("region", "cls", "sig"), _near)
+    first = _pairs_of(members.select("region", "cls", "sig"), lambda s: _near(s, least_equal(percent)))
     if centres is not None:
         first = first.union(centres.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     links = confirmed(durable(first, "pairs"), classes, docs, key, text, percent)
-    parts = connected_components(links)
-    links = links.union(second_look(members, parts, classes, docs, key, text, percent))
-    parts = connected_components(links)
+    parts = durable(connected_components(links), "parts")
+    more = second_look(members, parts, classes, docs, key, text, percent)
     if whole is not None:
-        links = links.union(whole_look(whole, parts, classes, docs, key, text, percent))
-        parts = connected_components(links)
+        more = more.union(whole_look(whole, parts, classes, docs, key, text, percent))
+    if not more.isEmpty():
+        parts = connected_components(links.union(more))
     named = classes.join(parts, classes["cls"] == parts["node"], "left").select("cls", "doc_id", "copies", "component")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "component", "left").where("copies > 1 or component is not null")
