@@ -6,7 +6,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as pipeline
-from test_operators import components, measures, personal
+from test_operators import components, personal, verdicts
 
 from tilewright.llm import mixing
 from tilewright.llm.common import durable
@@ -20,8 +20,9 @@ def test_stages(spark, sf):
     for table in seen[1:-1]:
         assert table.columns == docs.columns
     given, clean, single, private, mixed, packed = [t.collect() for t in seen]
-    assert {r.doc_id for r in clean} == {r.doc_id for r in given if not measures(r.text)[-1]}
-    want = components([(r.doc_id, r.text) for r in clean])
+    kept, _ = verdicts([(r.source, r.text) for r in given])
+    assert {r.doc_id for r in clean} == {r.doc_id for r, k in zip(given, kept, strict=True) if k}
+    want = components([(r.doc_id, r.text) for r in clean], 80)
     assert {r.doc_id for r in single} == {d for d, (c, _) in want.items() if d == c}
     assert len(private) == len(single)
     texts = {r.doc_id: r.text for r in single}
@@ -29,7 +30,7 @@ def test_stages(spark, sf):
         if sum(personal(texts[r.doc_id])[:4]) == 0 and "[" not in r.text:
             assert r.text == texts[r.doc_id]
         assert sum(personal(r.text)[:4]) == 0 and r.n_chars == len(r.text)
-    chosen = {r.doc_id for r in mixing.mixed(seen[3]).where("sampled").collect()}
+    chosen = {r.doc_id for r in mixing.mixed(mixing.measured(seen[3])).where("sampled").collect()}
     assert {r.doc_id for r in mixed} == chosen
     assert {r.doc_id for r in packed} == chosen
     assert pipeline.run(spark, sf).count() == len(packed)

@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import re
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -64,6 +66,39 @@ def test_html_keeps_every_part_of_the_body():
     assert html.main_text(articles) == " ".join([*long.split(), *long.split(), "Brief."])
 
 
+def test_html_takes_any_markup_at_a_cost_like_its_length():
+    start = time.monotonic()
+    cases = {
+        "<![x[a]]> text": "text", "<a " * 20_000 + "end": None, "<!--" * 40_000: "", "<" * 100_000: "<" * 100_000, '<a b="' * 40_001 + ">": "", "<div>" * 20_000 + "x": "x", "<script>" * 30_000: "",
+        "</" * 50_000: "", "<form><article>" * 20_000 + "x": "x", "<a b='>" * 30_000 + "x": None, "<p>a<!-->b<!-- c --> d": "ab d", "<p>1 < 2 <3": "1 < 2 <3", "<!DOCTYPE x [<!ENTITY y>]><p>z": None,
+    }
+    for page, want in cases.items():
+        got = html.main_text(page)
+        assert want is None or got == want
+    assert time.monotonic() - start < 30
+
+
+def test_html_ratios_choose_the_region(monkeypatch):
+    """A page without any element or class that tells of content: the ratios decide, and with every line taken for content the result is another."""
+    menu = "<div>" + "".join(f"<span><a href={k}>item {k}</a></span><br>" for k in range(9)) + "</div>"
+    body = "<div><h2>Head</h2>" + "<p>" + "many words of the long part " * 9 + "</p><p>Brief.</p>" + "<p>" + "more words of another part " * 9 + "</p></div>"
+    page = f"<body>{menu}{body}<div><small>rights</small><br><small>imprint</small></div></body>"
+    want = " ".join(["Head", *("many words of the long part " * 9).split(), "Brief.", *("more words of another part " * 9).split()])
+    assert html.main_text(page) == want
+    monkeypatch.setattr(html, "margins", lambda r: np.ones(len(r)))
+    assert html.main_text(page) != want
+
+
+def test_html_ratios_alone_find_most_of_the_given_texts(spark, sf):
+    """Elements and class names that tell of content or none are taken out of the given pages."""
+    found = n = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        bare = re.sub(r"<(/?)(article|nav|footer|aside|header|form|main|section)\b", r"<\1div", re.sub(r'\sclass="[^"]*"', "", r.html))
+        found += html.main_text(bare, hints=False) == html.main_text(r.html)
+        n += 1
+    assert found >= 0.9 * n
+
+
 def test_urls_relative_targets(spark):
     rows = [
         (1, "http://a.net/d/e/1", '<link rel="canonical" href="/p">', "a.net/p"), (2, "https://a.net/d/e/2", '<link rel=canonical href="//Host.net/p2">', "host.net/p2"),
@@ -76,7 +111,7 @@ def test_urls_relative_targets(spark):
     pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
     got = {(r.a, r.b) for r in urls.alias_edges(pages).collect()}
     plain = {r.page_id: r.p for r in pages.select("page_id", urls.plain_form(pages["url"]).alias("p")).collect()}
-    assert got == {(plain[r[0]], r[3]) for r in rows if r[3]}
+    assert got == {(plain[r[0]], r[3]) for r in rows if r[3]} | {(r[1], plain[r[0]]) for r in rows if plain[r[0]]}
     more = [(1, "http://c.example.org/es/1", '<link rel="canonical" href="/moved?a=1&amp;b=2">'), (2, "http://c.example.org/moved?b=2&a=1", None)]
     out = {r.page_id: r for r in urls.judged(spark.createDataFrame(more, "page_id long, url string, html string"), {"example.org/es/": "block"}).collect()}
     assert out[1].alias == out[2].alias and out[2].verdict == "block"
