@@ -12,14 +12,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their host's verdict reject go."""
+    """Documents go that fail the base rules, or a graded rule as strictly as their host's verdict holds it."""
     measures = durable(quality.measured(docs), "quality")  # measured once, for hosts and for documents
-    return quality.judged(measures, quality.host_rates(measures)).where("kept").select(COLUMNS)
+    return quality.judged(measures, durable(quality.host_rates(measures), "hosts")).where("kept").select(COLUMNS)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one whose id names the group."""
-    gone = neardup.components(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = neardup.components(docs, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(neardup.sized(gone), docs["doc_id"] == F.col("gone"), "left_anti").select(COLUMNS)
 
 
@@ -30,7 +30,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled towards the target shares of sources, languages and topics."""
-    return mixing.mixed(docs).where("sampled").select(COLUMNS)
+    return mixing.mixed(durable(mixing.measured(docs), "measured")).where("sampled").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
