@@ -99,3 +99,27 @@ def test_owner_needs_a_product(spark):
     blocks = spark.createDataFrame([(0, 0)], "bi int, bj int")
     with pytest.raises(ValueError):
         C.owners(blocks, 7, "cyclic2d")
+
+
+def test_triplets_with_one_number_in_the_midst_fail(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    for bad in ("a,1", "5", "1,2,3,4"):
+        path.write_text(f"row,col,value\n3\n1,1,2.5\n{bad}\n")
+        with pytest.raises(Exception, match="not three fields"):
+            storage.read_triplets(spark, str(path)).collect()
+
+
+def test_raw_tensor_files(spark, tmp_path):
+    x = np.arange(24.0).reshape(4, 3, 2)
+    (tmp_path / "t.bin").write_bytes(storage.raw_bytes(x))
+    got = {(r.i0, r.i1, r.i2): r.v for r in storage.read_raw_files(spark, str(tmp_path / "t.bin"), 4, 3, 2).collect()}
+    assert got == {i: x[i] for i in np.ndindex(4, 3, 2)}
+    with pytest.raises(Exception, match="wrong length"):
+        storage.read_raw_files(spark, str(tmp_path / "t.bin"), 4, 3, 3).collect()
+
+
+def test_half_precision(spark):
+    values_ = [0.0, 1.0, -1.1, 65504.0, 65519.0, 65520.0, -1e6, 6e-8, 1e-8, 3.3e-5, 2049.0, 2051.0]
+    rows = coo.to_half(spark.createDataFrame([(i, 0, v) for i, v in enumerate(values_)], "i long, j long, v double")).collect()
+    with np.errstate(over="ignore"):
+        assert {r.i: r.v for r in rows} == {i: float(np.float16(v)) for i, v in enumerate(values_)}

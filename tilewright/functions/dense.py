@@ -5,6 +5,7 @@ A low-rank block is a pair (U, V) with block = U V^T; U has the block's rows, V
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,6 +130,40 @@ def aca(a: np.ndarray, acc: Acc, pivot: str = "max") -> tuple[np.ndarray, np.nda
     return np.array(us).T.reshape(n, k), np.array(vs).T.reshape(m, k)
 
 
+def cross(row: Callable[[int], np.ndarray], col: Callable[[int], np.ndarray], n: int, m: int, acc: Acc, pivot: str = "max") -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """Cross approximation of an n x m block that is never formed, from its rows and columns: pivot rows, pivot columns, U, V.
+
+    Ends when a term is below the tolerance of the whole (norms are those of the terms) and so are a few other rows, taken by lot; else the
+    worst of those is the next pivot, which finds parts of a block that the terms so far do not touch.
+    """
+    us, vs, rows, cols = np.zeros((n, 0)), np.zeros((m, 0)), [], []
+    free, at, total, rng = np.ones(n, bool), 0, 0.0, np.random.default_rng(7)
+    while free.any() and len(rows) < min(n, m) and (acc.rank is None or len(rows) < acc.rank):
+        if not free[at]:
+            at = int(np.flatnonzero(free)[0])
+        free[at] = False
+        v = row(at) - vs @ us[at]
+        j = int(np.abs(v).argmax())
+        if abs(v[j]) <= 1e-300:
+            continue
+        u = (col(j) - us @ vs[j]) / v[j]
+        us, vs = np.column_stack([us, u]), np.column_stack([vs, v])
+        rows.append(at)
+        cols.append(j)
+        term = np.linalg.norm(u) * np.linalg.norm(v)
+        total = np.hypot(total, term)
+        limit = max(acc.rel * total, acc.abs)
+        left = np.where(free, np.abs(u), -1)
+        at = int(left.argmax()) if pivot == "max" and left.max() > 0 else at
+        if acc.rank is None and term <= limit and free.any():
+            some = rng.choice(np.flatnonzero(free), min(12, int(free.sum())), replace=False)
+            rest = np.array([np.linalg.norm(row(int(i)) - vs @ us[i]) for i in some])
+            if rest.max() * np.sqrt(n) <= limit:
+                break
+            at = int(some[rest.argmax()])
+    return rows, cols, us, vs
+
+
 def _seeded(a: np.ndarray, seed: int) -> np.random.Generator:
     return np.random.default_rng([seed, *a.shape])
 
@@ -202,8 +237,17 @@ APPROX = {
 }
 
 
-def column_basis(a: np.ndarray, acc: Acc) -> tuple[np.ndarray, np.ndarray]:
-    """Orthonormal basis of the columns with its singular values."""
+def column_basis(a: np.ndarray, acc: Acc, how: str = "svd") -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal basis of the columns with its singular values: by SVD, by pivoted QR ('rrqr') or by a random range ('randsvd')."""
+    if how == "rrqr":
+        q, v = rrqr(a, acc)
+        u, s, _ = np.linalg.svd(np.linalg.qr(q)[0].T @ a, full_matrices=False)
+        return np.linalg.qr(q)[0] @ u[:, : q.shape[1]], s[: q.shape[1]]
+    if how == "randsvd":
+        u, _ = randsvd(a, acc)
+        q = np.linalg.qr(u)[0]
+        w, s, _ = np.linalg.svd(q.T @ a, full_matrices=False)
+        return q @ w, s
     u, s, _ = np.linalg.svd(a, full_matrices=False)
     k = trunc_rank(s, acc)
     return u[:, :k], s[:k]
@@ -220,15 +264,48 @@ def chebyshev(order: int, lo: float, hi: float, kind: str = "cheb") -> np.ndarra
     return (lo + hi) / 2 + (hi - lo) / 2 * t
 
 
-def interpolate(x: np.ndarray, y: np.ndarray, kernel, order: int, kind: str = "cheb") -> tuple[np.ndarray, np.ndarray]:
-    """Kernel block by tensor interpolation on the rows' bounding box: U holds Lagrange values, V the kernel at grid points."""
-    axes = [chebyshev(order, float(x[:, d].min()), float(x[:, d].max()), kind) for d in range(x.shape[1])]
+def grid_axes(low: np.ndarray, high: np.ndarray, order: int, kind: str = "cheb") -> list[np.ndarray]:
+    """Points of each axis of a box: fewer than `order` on shorter axes, by the square root of their share of the longest."""
+    side = np.asarray(high, float) - np.asarray(low, float)
+    longest = side.max() if len(side) else 0.0
+    count = [int(np.ceil(order * np.sqrt(s / longest) - 1e-9)) if s > 0 else 1 for s in side]
+    return [chebyshev(n if order == 1 else max(n, 2) if s > 0 else 1, float(lo), float(hi), kind) for n, s, lo, hi in zip(count, side, low, high, strict=True)]
+
+
+def fitting_grids(kernel, rows: tuple, cols: tuple, acc: Acc, order: int, most: int = 15) -> tuple[list, list, float]:
+    """Axes on two boxes (low, high) between which the kernel interpolates to the accuracy, and the relative error seen on test points.
+
+    The order grows from the given one until the error is a fourth of the tolerance or `most` is reached.
+    """
+    rng = np.random.default_rng(1)
+    tests = [np.asarray(lo, float) + rng.random((12, len(lo))) * (np.asarray(hi, float) - np.asarray(lo, float)) for lo, hi in (rows, cols)]
+    want = kernel(*tests)
+    scale = np.abs(want).max() or 1.0
+    while True:
+        a, b = grid_axes(*rows, order), grid_axes(*cols, order)
+        off = max(np.abs(lagrange(tests[0], a) @ kernel(grid_points(a), tests[1]) - want).max(), np.abs(kernel(tests[0], grid_points(b)) @ lagrange(tests[1], b).T - want).max()) / scale
+        if order >= most or acc.rank is not None or 4 * off <= max(acc.rel, 1e-14):
+            return a, b, float(off)
+        order += 2
+
+
+def grid_points(axes: list[np.ndarray]) -> np.ndarray:
+    return np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, len(axes))
+
+
+def lagrange(x: np.ndarray, axes: list[np.ndarray]) -> np.ndarray:
+    """Values at x of the tensor Lagrange polynomials of a grid."""
     u = np.ones((len(x), 1))
     for d, p in enumerate(axes):
         values = np.stack([np.prod([(x[:, d] - q) / (p[j] - q) for i, q in enumerate(p) if i != j], axis=0) * np.ones(len(x)) for j in range(len(p))], axis=1)
         u = (u[:, :, None] * values[:, None, :]).reshape(len(x), -1)
-    grid = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, x.shape[1])
-    return u, kernel(grid, y).T
+    return u
+
+
+def interpolate(x: np.ndarray, y: np.ndarray, kernel, order: int, kind: str = "cheb") -> tuple[np.ndarray, np.ndarray]:
+    """Kernel block by tensor interpolation on the rows' bounding box: U holds Lagrange values, V the kernel at grid points."""
+    axes = grid_axes(x.min(axis=0), x.max(axis=0), order, kind)
+    return lagrange(x, axes), kernel(grid_points(axes), y).T
 
 
 def bessel_k(nu: float, x: np.ndarray, nodes: int = 128) -> np.ndarray:

@@ -36,16 +36,23 @@ def column(kernel: str, r: Column, eps: float = 1.0, alpha: float = 1.0, length:
     }[kernel]()
 
 
-def array(kernel: str, x: np.ndarray, y: np.ndarray, eps: float = 1.0) -> np.ndarray:
-    """Kernel block between two point sets for the kernels that the block jobs use."""
+def array(kernel: str, x: np.ndarray, y: np.ndarray, eps: float = 1.0, alpha: float = 1.0, length: float = 1.0, kappa: float = 1.0, sigma: float = 1.0) -> np.ndarray:
+    """Kernel block between two point sets."""
     r = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0))
-    if kernel == "newton":
-        return np.divide(1.0, r, out=np.zeros_like(r), where=r > NEAR)
-    if kernel == "gaussian":
-        return np.exp(-eps * r * r)
-    if kernel == "exponential":
-        return np.exp(-eps * r)
-    raise ValueError(f"unknown kernel {kernel}")
+    far = r > NEAR
+    safe = np.where(far, r, 1.0)
+    return {
+        "logarithmic": lambda: np.where(far, np.log(safe), 0.0),
+        "newton": lambda: np.where(far, 1 / safe, 0.0),
+        "exponential": lambda: np.exp(-eps * r),
+        "gaussian": lambda: np.exp(-eps * r * r),
+        "multiquadric": lambda: np.sqrt(1 + (eps * r) ** 2),
+        "inverse_multiquadric": lambda: 1 / np.sqrt(1 + (eps * r) ** 2),
+        "thin_plate": lambda: np.where(far, (eps * r) ** 2 * np.log(eps * safe), 0.0),
+        "rational_quadratic": lambda: (1 + r * r / (2 * alpha * length * length)) ** -alpha,
+        "helmholtz": lambda: np.where(far, np.cos(kappa * safe) / safe, 0.0),
+        "matern_half": lambda: sigma * sigma * np.exp(-r / length),
+    }[kernel]()
 
 
 def distance(x: Column, y: Column) -> Column:
@@ -58,28 +65,56 @@ def tiles(points: DataFrame, side: int = 1024) -> DataFrame:
     return points.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("t")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("x")).alias("xs"), F.first(F.size("x")).alias("dim"))
 
 
+def _pairs(points: DataFrame, side: int) -> DataFrame:
+    """Pairs of tiles (ids, xs, dim, jds, ys)."""
+    t = tiles(points, side)
+    return t.join(t.select(F.col("ids").alias("jds"), F.col("xs").alias("ys")), how="cross")
+
+
+def _points(row) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.asarray(z, float).reshape(-1, row.dim) for z in (row.xs, row.ys))
+
+
 def entries(points: DataFrame, kernel, params: dict) -> DataFrame:
-    """coo of k(|x_i - x_j|) for all pairs, which is this operator's result: tiles of points meet, then their rows.
+    """coo of k(|x_i - x_j|) for all pairs, which is this operator's result: tiles of points meet, and each pair of tiles is one array.
 
-    kernel is a name or any function of a distance column.
+    kernel is a name, or any function of a distance column; the latter is taken row by row.
     """
-    make = kernel if callable(kernel) else (lambda r: column(kernel, r, **params))
-    a = points.select(F.col("id").alias("i"), F.col("x").alias("xi"))
-    b = points.select(F.col("id").alias("j"), F.col("x").alias("xj"))
-    return a.join(b, how="cross").select("i", "j", make(distance(F.col("xi"), F.col("xj"))).alias("v"))
+    if callable(kernel):
+        a = points.select(F.col("id").alias("i"), F.col("x").alias("xi"))
+        b = points.select(F.col("id").alias("j"), F.col("x").alias("xj"))
+        return a.join(b, how="cross").select("i", "j", kernel(distance(F.col("xi"), F.col("xj"))).alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for row in t.itertuples():
+                v = array(kernel, *_points(row), **params)
+                yield pd.DataFrame({"i": np.repeat(np.asarray(row.ids), v.shape[1]), "j": np.tile(np.asarray(row.jds), v.shape[0]), "v": v.ravel()})
+
+    return _pairs(points, 256).mapInPandas(run, "i long, j long, v double")
+
+
+def sums(points: DataFrame, kernel: str, params: dict) -> DataFrame:
+    """vec(i, v): row sums of a kernel over all points, summed within pairs of tiles first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for row in t.itertuples():
+                yield pd.DataFrame({"i": np.asarray(row.ids), "v": array(kernel, *_points(row), **params).sum(axis=1)})
+
+    return _pairs(points, 512).mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
 
 
 def matern_sums(points: DataFrame, nu: float, length: float, sigma: float) -> DataFrame:
     """Row sums of the Matern kernel, whose Bessel function is taken by quadrature inside blocks."""
     from math import gamma
 
-    left, right = tiles(points, 256), tiles(points, 256)
-    pairs = left.select("ids", "xs", "dim").join(right.select(F.col("xs").alias("ys")), how="cross")
+    pairs = _pairs(points, 256)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples():
-                x, y = (np.asarray(z, float).reshape(-1, row.dim) for z in (row.xs, row.ys))
+                x, y = _points(row)
                 r = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
                 z = np.sqrt(2 * nu) * r / length
                 some, index = np.unique(np.round(z, 12), return_inverse=True)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import codecs
 from tilewright.functions.dense import APPROX, TIGHT, Acc, column_basis, lowrank_singular_values, sum_lowrank, sum_lowrank_pairwise, svd_lowrank, truncate
+from tilewright.operators import tall
+from tilewright.sources.storage import durable
 
 TILE = 4096
 SCHEMA = "bi int, bj int, r0 long, c0 long, nr int, nc int, kind string, k int, d array<double>, u array<double>, v array<double>"
@@ -332,19 +334,23 @@ def top_down(whole: DataFrame, acc: Acc, max_rank: int, min_side: int, additive:
 
 
 def shared_bases(blocks: DataFrame, acc: Acc, side: str) -> DataFrame:
-    """(b, rank, basis): an orthonormal basis for each block row ('row') or column of the low-rank blocks; factors are condensed first."""
-    key = "bi" if side == "row" else "bj"
+    """(b, rank, basis): an orthonormal basis for each block row ('row') or column of the low-rank blocks.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for r in pdf.itertuples():
-            b = Block.of(r)
-            x, y = (b.u, b.v) if side == "row" else (b.v, b.u)
-            parts.append(x @ np.linalg.qr(y)[1].T)
-        w, _ = column_basis(np.hstack(parts), acc)
-        return pd.DataFrame({"b": [int(pdf[key].iloc[0])], "rank": [w.shape[1]], "basis": [w.ravel()]})
+    Factors are condensed block by block; the condensed ones of a row or column are one tall matrix, whose QR factors are stacked
+    over tasks, so no task sees a whole row of blocks.
+    """
 
-    return blocks.where("kind = 'R'").groupBy(key).applyInPandas(run, "b int, rank int, basis array<double>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = []
+            for r in t.itertuples():
+                b = Block.of(r)
+                x, y = (b.u, b.v) if side == "row" else (b.v, b.u)
+                out.append((b.bi if side == "row" else b.bj, len(x), (np.linalg.qr(y)[1] @ x.T).ravel()))
+            yield pd.DataFrame(out, columns=["b", "m", "x"])
+
+    rows = blocks.where("kind = 'R'").select(FIELDS).mapInPandas(run, "b int, m int, x array<double>")
+    return tall.singular(rows, ["b"], acc).select("b", F.col("k").alias("rank"), F.col("w").alias("basis"))
 
 
 def to_uniform(blocks: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
@@ -381,6 +387,88 @@ def matvec_uniform(couplings: DataFrame, rows: DataFrame, cols: DataFrame, x: Da
     return _applied(rows.join(middle, "b"), lambda r: (r.b, np.asarray(r.basis).reshape(-1, r.rank) @ np.asarray(r.x)))
 
 
+def separated(couplings: DataFrame, acc: Acc) -> DataFrame:
+    """(bi, bj, kr, kc, k, sr, sc): couplings as s = sr sc^T, both kept apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = []
+            for r in t.itertuples():
+                u, v = svd_lowrank(np.asarray(r.s, float).reshape(r.kr, r.kc), acc)
+                out.append((r.bi, r.bj, r.kr, r.kc, u.shape[1], u.ravel(), v.ravel()))
+            yield pd.DataFrame(out, columns=["bi", "bj", "kr", "kc", "k", "sr", "sc"])
+
+    return couplings.mapInPandas(run, "bi int, bj int, kr int, kc int, k int, sr array<double>, sc array<double>")
+
+
+def joined(separate: DataFrame) -> DataFrame:
+    """Couplings from separated ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            out = [(r.bi, r.bj, r.kr, r.kc, (np.asarray(r.sr, float).reshape(r.kr, r.k) @ np.asarray(r.sc, float).reshape(r.kc, r.k).T).ravel()) for r in t.itertuples()]
+            yield pd.DataFrame(out, columns=["bi", "bj", "kr", "kc", "s"])
+
+    return separate.mapInPandas(run, "bi int, bj int, kr int, kc int, s array<double>")
+
+
+def scale_rows(segs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """D A for a diagonal D in segments: of low-rank blocks only U changes."""
+    return _scaled(blocks, segs, "bi", lambda b, x: b.like(d=x[:, None] * b.d) if b.d is not None else b.like(u=x[:, None] * b.u, v=b.v))
+
+
+def scale_columns(blocks: DataFrame, segs: DataFrame) -> DataFrame:
+    """A D for a diagonal D in segments: of low-rank blocks only V changes."""
+    return _scaled(blocks, segs, "bj", lambda b, x: b.like(d=b.d * x[None]) if b.d is not None else b.like(u=b.u, v=x[:, None] * b.v))
+
+
+def _scaled(blocks: DataFrame, segs: DataFrame, key: str, f: Callable) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            if len(t):
+                yield frame([f(Block.of(r), np.asarray(r.x, float)) for r in t.itertuples()])
+
+    return blocks.select(FIELDS).join(segs.select(F.col("b").alias(key), "x"), key).mapInPandas(run, SCHEMA)
+
+
+def matmul_block_diagonal(a: DataFrame, diagonal: DataFrame, b: DataFrame, acc: Acc = TIGHT) -> DataFrame:
+    """A D B for a block diagonal D: each block of A meets one tile of D, and the result meets B."""
+
+    def product(x: Block, y: Block) -> Block:
+        return x.like(d=x.d @ y.dense()) if x.d is not None else x.like(u=x.u, v=y.dense().T @ x.v)
+
+    return matmul(_paired(a, diagonal.where("bi = bj"), ["bj"], ["bi"], product), b, acc)
+
+
+def diagonal(blocks: DataFrame) -> DataFrame:
+    """vec(i, v) of the diagonal; of low-rank blocks by products of rows of U and V."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for row in t[FIELDS].itertuples():
+                b = Block.of(row)
+                lo, hi = max(b.r0, b.c0), min(b.r0 + b.nr, b.c0 + b.nc)
+                i = np.arange(lo, max(lo, hi))
+                v = b.d[i - b.r0, i - b.c0] if b.d is not None else np.einsum("ik,ik->i", b.u[i - b.r0], b.v[i - b.c0])
+                yield pd.DataFrame({"i": i, "v": v})
+
+    meets = (F.col("r0") < F.col("c0") + F.col("nc")) & (F.col("c0") < F.col("r0") + F.col("nr"))
+    return blocks.where(meets).select(FIELDS).mapInPandas(run, "i long, v double")
+
+
+def restrict(blocks: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Blocks of the index ranges (ends included), cut where they reach over; of low-rank blocks factor rows are cut. Offsets stay those of the whole."""
+
+    def cut(b: Block) -> list[Block]:
+        r = slice(max(0, rows[0] - b.r0), max(0, min(b.nr, rows[1] + 1 - b.r0)))
+        c = slice(max(0, cols[0] - b.c0), max(0, min(b.nc, cols[1] + 1 - b.c0)))
+        d, u, v = (b.d[r, c], None, None) if b.d is not None else (None, b.u[r], b.v[c])
+        return [Block(b.bi, b.bj, b.r0 + r.start, b.c0 + c.start, r.stop - r.start, c.stop - c.start, d, u, v)]
+
+    inside = (F.col("r0") <= rows[1]) & (F.col("r0") + F.col("nr") > rows[0]) & (F.col("c0") <= cols[1]) & (F.col("c0") + F.col("nc") > cols[0])
+    return each(blocks.where(inside), cut)
+
+
 def from_uniform(couplings: DataFrame, rows: DataFrame, cols: DataFrame, tile_r: int, tile_c: int) -> DataFrame:
     r = rows.select(F.col("b").alias("bi"), F.col("basis").alias("w"))
     c = cols.select(F.col("b").alias("bj"), F.col("basis").alias("x"))
@@ -438,3 +526,61 @@ def quantized_adaptive(blocks: DataFrame, delta: float) -> DataFrame:
         return b.bi, b.bj, size, float(np.linalg.norm(b.dense() - y, 2) / s.sum())
 
     return measured(blocks, run, "bi int, bj int, bytes long, error double")
+
+
+def matvec_nested(t: DataFrame, x: DataFrame, acc: Acc) -> DataFrame:
+    """Product with nested bases of two levels: leaf bases, transfers to pairs of leaves, couplings between the pairs.
+
+    Up: coefficients of leaf bases, then of their parents. Couple at the parents. Down: to the leaves and the rows.
+    """
+    rows, cols = durable(shared_bases(t, acc, "row"), "bases"), durable(shared_bases(t, acc, "col"), "bases")
+    s = to_uniform(t, rows, cols)
+
+    def parent_basis(bases: DataFrame, key: str, other: str) -> DataFrame:
+        """(p, sons, ranks, transfer): an orthonormal basis of the stacked couplings of two neighbouring leaves."""
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            sons = sorted(set(pdf[key]))
+            ranks = [int(pdf.loc[pdf[key] == b, "kr" if key == "bi" else "kc"].iloc[0]) for b in sons]
+            parts = []
+            for o in sorted(set(pdf[other])):
+                stack = []
+                wide = None
+                for b, k in zip(sons, ranks, strict=True):
+                    hit = pdf[(pdf[key] == b) & (pdf[other] == o)]
+                    if len(hit):
+                        m = np.asarray(hit["s"].iloc[0]).reshape(int(hit["kr"].iloc[0]), int(hit["kc"].iloc[0]))
+                        m = m if key == "bi" else m.T
+                        wide = m.shape[1]
+                        stack.append(m)
+                    else:
+                        stack.append((k,))
+                parts.append(np.vstack([m if isinstance(m, np.ndarray) else np.zeros((m[0], wide)) for m in stack]))
+            e, _ = column_basis(np.hstack(parts), acc)
+            return pd.DataFrame({"p": [int(sons[0]) >> 1], "sons": [sons], "ranks": [ranks], "k": [e.shape[1]], "e": [e.ravel()]})
+
+        return s.groupBy(F.shiftright(key, 1)).applyInPandas(run, "p int, sons array<int>, ranks array<int>, k int, e array<double>")
+
+    up, down = durable(parent_basis(cols, "bj", "bi"), "transfer"), durable(parent_basis(rows, "bi", "bj"), "transfer")
+
+    def cut(table: DataFrame) -> DataFrame:
+        """Transfers by son: (b, p, k, e)."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in batches:
+                out = []
+                for r in f.itertuples():
+                    e, at = np.asarray(r.e).reshape(-1, r.k), 0
+                    for b, n in zip(r.sons, r.ranks, strict=True):
+                        out.append((b, r.p, r.k, e[at : at + n].ravel()))
+                        at += n
+                yield pd.DataFrame(out, columns=["b", "p", "k", "e"])
+
+        return table.mapInPandas(run, "b int, p int, k int, e array<double>")
+
+    er, ec = cut(down), cut(up)
+    coefs = _applied(cols.join(x, "b"), lambda r: (r.b, np.asarray(r.basis).reshape(-1, r.rank).T @ np.asarray(r.x)))
+    lifted = sum_segments(_applied(ec.join(coefs, "b"), lambda r: (r.p, np.asarray(r.e).reshape(-1, r.k).T @ np.asarray(r.x))))
+    met = s.join(er.select(F.col("b").alias("bi"), F.col("p").alias("rp"), F.col("k").alias("rk"), F.col("e").alias("re")), "bi").join(ec.select(F.col("b").alias("bj"), F.col("p").alias("cp"), F.col("k").alias("ck"), F.col("e").alias("ce")), "bj")
+    coupled = met.join(lifted.select(F.col("b").alias("cp"), "x"), "cp")
+    mid = sum_segments(_applied(coupled, lambda r: (r.rp, np.asarray(r.re).reshape(r.kr, r.rk).T @ (np.asarray(r.s).reshape(r.kr, r.kc) @ (np.asarray(r.ce).reshape(r.kc, r.ck) @ np.asarray(r.x))))))
+    leaf = _applied(er.join(mid.select(F.col("b").alias("p"), "x"), "p"), lambda r: (r.b, np.asarray(r.e).reshape(-1, r.k) @ np.asarray(r.x)))
+    return _applied(rows.join(leaf, "b"), lambda r: (r.b, np.asarray(r.basis).reshape(-1, r.rank) @ np.asarray(r.x)))

@@ -153,6 +153,25 @@ def ancestors(leaves: DataFrame, level: int) -> DataFrame:
     return leaves.withColumn("top", F.when(depth > level, F.floor(F.col("cid") / F.pow(F.lit(2.0), (depth - level).cast("double"))).cast("long")).otherwise(F.col("cid")))
 
 
+def collapsed(tree: DataFrame, levels: list[int]) -> DataFrame:
+    """(level, cid, top, n, leaf): the clusters of some levels and all leaves, each with its nearest ancestor among them.
+
+    One level and the leaves are a flat or Tile-H form, several levels a multi-level block low-rank one.
+    """
+    kept = tree.where(F.col("level").isin(levels) | F.col("leaf"))
+    above = F.filter(F.sequence(F.lit(1), F.col("level")), lambda up: F.array_contains(F.array(*[F.lit(x) for x in levels]), F.col("level") - up))
+    up = F.when(F.col("level") > 0, F.get(above, F.lit(0)))
+    return kept.select("level", "cid", F.call_function("shiftright", F.col("cid"), up).alias("top"), "n", "leaf")
+
+
+def overlaps(parts: DataFrame) -> DataFrame:
+    """Blocks (rcid, ccid) of one level pair that lie inside another block of the table."""
+    deep = F.least(*[F.floor(F.log2(F.col(c).cast("double")) + 1e-9).cast("int") for c in ("rcid", "ccid")])
+    up = parts.where("rcid > 1 and ccid > 1").select("rcid", "ccid", F.explode(F.sequence(F.lit(1), deep)).alias("k"))
+    above = up.select(F.col("rcid").alias("r"), F.col("ccid").alias("c"), F.call_function("shiftright", F.col("rcid"), F.col("k")).alias("rcid"), F.call_function("shiftright", F.col("ccid"), F.col("k")).alias("ccid"))
+    return above.join(parts.select("rcid", "ccid"), ["rcid", "ccid"], "left_semi").select(F.col("r").alias("rcid"), F.col("c").alias("ccid"))
+
+
 def cluster_table(leaves: DataFrame, dim: int = 3) -> DataFrame:
     """clusters(level, cid, parent, lo, hi, n, bbmin, bbmax, leaf) of all levels from points with leaf paths.
 
@@ -222,7 +241,7 @@ def pairs(clusters: DataFrame, rule: Column) -> DataFrame:
 def block_partition(clusters: DataFrame, rule: Column) -> DataFrame:
     """Leaves (level, rcid, ccid, adm) of the block cluster tree: level by level, only inadmissible pairs go to sons x sons."""
     clusters = durable(clusters, "clusters")
-    info = [clusters.select(F.col("cid").alias(f"{s}cid"), F.col("bbmin").alias(f"{s}min"), F.col("bbmax").alias(f"{s}max"), F.col("leaf").alias(f"{s}leaf")) for s in "rc"]
+    info = [clusters.select(F.col("cid").alias(f"{s}cid"), F.col("bbmin").alias(f"{s}min"), F.col("bbmax").alias(f"{s}max"), F.col("n").alias(f"{s}n"), F.col("leaf").alias(f"{s}leaf")) for s in "rc"]
     sons = [clusters.where("level > 0").select(F.col("parent").alias(f"{s}p"), F.col("cid").alias(f"{s}cid")) for s in "rc"]
     level, done = 0, None
     now = clusters.where("level = 0").select(F.col("cid").alias("rcid"), F.col("cid").alias("ccid"))

@@ -101,6 +101,14 @@ def to_float(a: DataFrame) -> DataFrame:
     return a.withColumn("v", F.col("v").cast("float").cast("double"))
 
 
+def to_half(a: DataFrame) -> DataFrame:
+    """Through half precision and back: 11 significant bits, steps of 2^-24 below 2^-14, infinite from 65520 on; ties to even."""
+    size = F.abs("v")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
+    kept = F.when(F.col("v") == 0, F.col("v")).when(size >= 65520, F.signum("v") * float("inf")).otherwise(F.rint(F.col("v") / step) * step)
+    return a.withColumn("v", kept)
+
+
 def bad_entries(a: DataFrame) -> DataFrame:
     """Entries that are null, not a number or infinite."""
     return a.where(F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf")))
@@ -183,21 +191,21 @@ def zero_extended(a: DataFrame, rows: int, cols: int) -> DataFrame:
     return a.select((F.col("i") + rows).alias("i"), (F.col("j") + cols).alias("j"), "v")
 
 
-def running_before(counts: DataFrame, key: str, value: str, out: str, parts: int = 64) -> DataFrame:
+def running_before(counts: DataFrame, key: str, value: str, out: str, parts: int = 64, kind: str = "long") -> DataFrame:
     """Exclusive prefix sum of value by key order, without one task for all rows.
 
     Keys are ranged into parts; each part sums alone, and a table of at most `parts` sums gives its start.
     """
     lo, hi = counts.agg(F.min(key), F.max(key)).first()
     if lo is None:
-        return counts.withColumn(out, F.lit(None).cast("long"))
+        return counts.withColumn(out, F.lit(None).cast(kind))
     part = F.least(F.floor((F.col(key) - lo) * parts / F.lit(hi - lo + 1)), F.lit(parts - 1)).cast("int")
     cut = counts.withColumn("_rb_part", part)
     starts = cut.groupBy("_rb_part").agg(F.sum(value).alias("_rb_sum"))
     before = Window.orderBy("_rb_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("_rb_part", F.coalesce(F.sum("_rb_sum").over(before), F.lit(0)).alias("_rb_start"))  # at most `parts` rows
     within = Window.partitionBy("_rb_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(F.broadcast(starts), "_rb_part").withColumn(out, (F.col("_rb_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long")).drop("_rb_part", "_rb_start")
+    return cut.join(F.broadcast(starts), "_rb_part").withColumn(out, (F.col("_rb_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast(kind)).drop("_rb_part", "_rb_start")
 
 
 def csr_row_ptr(a: DataFrame) -> DataFrame:

@@ -1,223 +1,507 @@
-"""Hierarchical kernel matrices over clusters of points, and tall matrices by distributed QR."""
+"""Hierarchical kernel matrices over clusters of points: build, product, conversion, factorisation.
+
+Points are held by leaf (at most ntile of them to a row), and so are the factors of a far block: a row for each block, side and
+leaf, with the leaf's rows of U or V. No task sees a whole high cluster. Far blocks come from points on the clusters' boxes
+(cross pivots, interpolation), so that they are never formed, or from kernel rows and columns of clusters up to SMALL points.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import dense, kernels
 from tilewright.operators import blocks as B
 from tilewright.operators import clusters as C
+from tilewright.operators import tall
 from tilewright.sources.storage import durable
 
-HBLOCK = "rcid long, ccid long, kind string, nr int, nc int, k int, rids array<long>, y array<double>"
+#: Far blocks of more points on a side are not made from their own rows and columns; such pairs are split first.
+SMALL = 2048
+PIECE = "rcid long, ccid long, side string, leaf long, n int, k int, f array<double>"
+NEARBY = "rleaf long, cleaf long, nr int, nc int, d array<double>"
+
+
+@dataclass(frozen=True)
+class HMatrix:
+    """leaves(leaf, ids, xs, dim): points by leaf, in the order of all arrays; far(rcid, ccid, side r|c, leaf, n, k, f): factor rows;
+    near(rleaf, cleaf, nr, nc, d): dense blocks of leaves; parts(rcid, ccid, adm, nr, nc): the block partition; tree: its clusters."""
+
+    leaves: DataFrame
+    far: DataFrame
+    near: DataFrame
+    parts: DataFrame
+    tree: DataFrame
+
+
+def _mapped(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """Rows of f(row), which yields tuples."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield pd.DataFrame([x for r in t.itertuples() for x in f(r)], columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def _array(x, *shape: int) -> np.ndarray:
+    return np.asarray(x, float).reshape(shape)
+
+
+def _depth(c: Column) -> Column:
+    return F.floor(F.log2(c.cast("double")) + 1e-9).cast("int")
 
 
-def build(leaves: DataFrame, rule: Column, acc: dense.Acc = dense.Acc(rel=1e-10), kernel: Callable | None = None, far: str = "aca_max", ranks: bool = False) -> DataFrame:
-    """H-matrix of a kernel over points with leaf paths: near blocks dense, far ones low-rank (or interpolated, then truncated).
+def paths(leaves: DataFrame) -> DataFrame:
+    """(leaf, cid) for each leaf and every cluster that holds it."""
+    up = F.transform(F.sequence(F.lit(0), _depth(F.col("leaf"))), lambda d: F.call_function("shiftright", F.col("leaf"), d))
+    return leaves.select("leaf", F.explode(up).alias("cid"))
 
-    Returns (rcid, ccid, kind, nr, nc, k, rids, y): the block's row ids and its product with a vector of ones, computed
-    where the block is made, so that block data need not move. Points are gathered once for each cluster; pairs go to
-    tasks by a hash of both names, which spreads a cluster that meets many others. ranks: near blocks tell theirs too.
+
+def build(leaves: DataFrame, rule: Column, acc: dense.Acc = dense.Acc(rel=1e-10), kernel: Callable | None = None, far: str = "hca", order: int = 4, dim: int = 3) -> HMatrix:
+    """H-matrix of a kernel f(x, y) -> |x| x |y| array over points (id, x, cid) with leaf paths.
+
+    far: 'hca' picks pivots on Chebyshev grids of both boxes, whose order grows from the given one with the accuracy, and then takes
+    kernel values at points and pivots alone;
+    'interpolation' compresses the kernel between the grids; 'aca', or a name of dense.APPROX, works on the points of clusters
+    up to SMALL, the former by entries alone.
     """
     f = kernel or (lambda x, y: kernels.array("gaussian", x, y, 1.0))
     leaves = durable(leaves, "leaves")
-    tree = durable(C.cluster_table(leaves), "tree")
-    parts = C.block_partition(tree, rule)
-    depth = F.floor(F.log2(F.col("cid").cast("double")) + 1e-9).cast("int")
-    used = parts.select(F.explode(F.array("rcid", "ccid")).alias("cid")).distinct()
-    up = leaves.withColumn("_d", depth).select("id", "x", F.explode(F.transform(F.sequence(F.lit(0), F.col("_d")), lambda l: F.floor(F.col("cid") / F.pow(F.lit(2.0), l.cast("double"))).cast("long"))).alias("cid"))
-    rows = up.join(used, "cid").groupBy("cid").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("x")).alias("xs"), F.first(F.size("x")).alias("dim"))
-    rows = durable(rows, "gathered")
-    r = rows.select(F.col("cid").alias("rcid"), F.col("ids").alias("rids"), F.col("xs").alias("rx"), "dim")
-    c = rows.select(F.col("cid").alias("ccid"), F.col("xs").alias("cx"))
-    both = parts.join(r, "rcid").join(c, "ccid").repartition(F.xxhash64("rcid", "ccid"))
+    tree = durable(C.cluster_table(leaves, dim), "tree")
+    by_points = far not in ("hca", "interpolation")
+    parts = C.block_partition(tree, rule & (F.col("rn") <= SMALL) & (F.col("cn") <= SMALL) if by_points else rule)
+    size = tree.select("cid", "n")
+    parts = parts.join(size.select(F.col("cid").alias("rcid"), F.col("n").alias("nr")), "rcid").join(size.select(F.col("cid").alias("ccid"), F.col("n").alias("nc")), "ccid")
+    parts = durable(parts.select("rcid", "ccid", "adm", "nr", "nc"), "parts")
+    table = leaves.groupBy(F.col("cid").alias("leaf")).agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("p"), F.first(F.size("x")).alias("dim"))
+    table = durable(table.select("leaf", F.transform("p", lambda s: s["id"]).alias("ids"), F.flatten(F.transform("p", lambda s: s["x"])).alias("xs"), "dim"), "points")
+    up = durable(paths(table), "paths")
+    pieces = (_far_by_points if by_points else _far_by_boxes)(parts.where("adm"), table, up, tree, f, acc, far, order)
+    return HMatrix(table, durable(pieces, "far"), durable(_near(parts.where("not adm"), table, up, f), "near"), parts, tree)
+
+
+def _near(pairs: DataFrame, table: DataFrame, up: DataFrame, f: Callable) -> DataFrame:
+    """Dense blocks between the leaves of pairs that are not admissible (one of them may be no leaf)."""
+    r = up.join(table, "leaf").select(F.col("cid").alias("rcid"), F.col("leaf").alias("rleaf"), F.col("xs").alias("rx"), "dim")
+    c = up.join(table, "leaf").select(F.col("cid").alias("ccid"), F.col("leaf").alias("cleaf"), F.col("xs").alias("cx"))
+
+    def entries(row) -> Iterator[tuple]:
+        d = f(_array(row.rx, -1, row.dim), _array(row.cx, -1, row.dim))
+        yield row.rleaf, row.cleaf, *d.shape, d.ravel()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            out = []
-            for row in t.itertuples():
-                x, y = np.asarray(row.rx, float).reshape(-1, row.dim), np.asarray(row.cx, float).reshape(-1, row.dim)
-                if row.adm:
-                    if far == "interpolation":
-                        u, v = dense.truncate(*dense.interpolate(x, y, f, 7), acc)
-                    else:
-                        u, v = dense.APPROX[far](f(x, y), acc)
-                    out.append((row.rcid, row.ccid, "R", len(x), len(y), u.shape[1], row.rids, u @ v.sum(axis=0)))
-                else:
-                    k = dense.svd_lowrank(f(x, y), acc)[0].shape[1] if ranks else 0
-                    out.append((row.rcid, row.ccid, "D", len(x), len(y), k, row.rids, f(x, y).sum(axis=1)))
-            yield pd.DataFrame(out, columns=["rcid", "ccid", "kind", "nr", "nc", "k", "rids", "y"])
+    return _mapped(pairs.join(r, "rcid").join(c, "ccid").repartition(F.xxhash64("rleaf", "cleaf")), entries, NEARBY)
 
-    return both.mapInPandas(run, HBLOCK)
+
+def _flat(axes: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
+    return [len(a) for a in axes], np.concatenate(axes)
 
 
-def matvec_ones(h: DataFrame) -> DataFrame:
-    """vec(i, v) of the H-matrix times ones."""
-    return h.select(F.explode(F.arrays_zip("rids", "y")).alias("e")).groupBy(F.col("e.rids").alias("i")).agg(F.sum("e.y").alias("v"))
+def _pivots(f: Callable, rows: tuple, cols: tuple, acc: dense.Acc, order: int) -> tuple:
+    """Grids on two boxes and a cross approximation between them, no tighter than the grids interpolate (tighter pivots would be noise)."""
+    a, b, off = dense.fitting_grids(f, rows, cols, acc, order)
+    gr, gc = dense.grid_points(a), dense.grid_points(b)
+    held = acc if acc.rank is not None else replace(acc, rel=max(acc.rel, 4 * off))
+    found = dense.cross(lambda i: f(gr[i : i + 1], gc)[0], lambda j: f(gr, gc[j : j + 1])[:, 0], len(gr), len(gc), held)
+    return gr, gc, *found, (a, b)
 
 
-def memory_report(h: DataFrame, points: DataFrame) -> DataFrame:
-    size = F.when(F.col("kind") == "D", 8 * F.col("nr") * F.col("nc")).otherwise(8 * F.col("k") * (F.col("nr") + F.col("nc"))).cast("long")
-    full = points.agg((8 * F.count("*") * F.count("*")).cast("long").alias("full_bytes"))
-    return h.agg(F.sum(size).alias("bytes")).join(full).select("full_bytes", (F.col("bytes") < F.col("full_bytes")).alias("smaller"))  # one row each
+def _far_by_boxes(pairs: DataFrame, table: DataFrame, up: DataFrame, tree: DataFrame, f: Callable, acc: dense.Acc, far: str, order: int) -> DataFrame:
+    info = [C.boxes(tree, s).drop(f"{s}n") for s in "rc"]
 
+    def pivots(row) -> Iterator[tuple]:
+        gr, gc, rows, cols, u, v, orders = _pivots(f, (row.rmin, row.rmax), (row.cmin, row.cmax), acc, order)
+        if not rows:
+            return
+        if far == "hca":
+            core = f(gr[rows], gc[cols])
+            yield row.rcid, row.ccid, "r", len(rows), gc[cols].ravel(), core.ravel(), None, None
+            yield row.rcid, row.ccid, "c", len(rows), gr[rows].ravel(), None, None, None
+        else:
+            yield row.rcid, row.ccid, "r", len(rows), None, u.ravel(), *_flat(orders[0])
+            yield row.rcid, row.ccid, "c", len(rows), None, v.ravel(), *_flat(orders[1])
 
-def from_sparse(a: DataFrame, tile: int, acc: dense.Acc) -> DataFrame:
-    """coo of a block matrix from sparse entries: off-diagonal tiles low-rank where that is smaller, empty ones absent."""
-    rows, cols = (int(x) + 1 for x in a.agg(F.max("i"), F.max("j")).first())
-    return B.to_coo(B.each(B.to_blocks(a, rows, cols, tile, tile), lambda b: [b] if b.bi == b.bj else [b.smaller(acc)]))
+    found = _mapped(pairs.select("rcid", "ccid").join(info[0], "rcid").join(info[1], "ccid"), pivots, "rcid long, ccid long, side string, k int, p array<double>, m array<double>, counts array<int>, axes array<double>")
+    found = durable(found, "pivots")
+    held = found.withColumn("cid", F.when(F.col("side") == "r", F.col("rcid")).otherwise(F.col("ccid"))).join(up, "cid").join(table, "leaf")
 
+    def factors(row) -> Iterator[tuple]:
+        x = _array(row.xs, -1, row.dim)
+        if far == "interpolation":
+            axes = np.split(np.asarray(row.axes, float), np.cumsum(row.counts)[:-1])
+            part = dense.lagrange(x, axes) @ _array(row.m, -1, row.k)
+        elif row.side == "r":
+            part = np.linalg.solve(_array(row.m, row.k, row.k).T, f(x, _array(row.p, row.k, row.dim)).T).T
+        else:
+            part = f(_array(row.p, row.k, row.dim), x).T
+        yield row.rcid, row.ccid, row.side, row.leaf, len(x), row.k, part.ravel()
 
-def rank_report(h: DataFrame) -> DataFrame:
-    """Entries covered, and whether numerical ranks by block side are lower in far blocks than in near ones (h built with ranks)."""
-    share = F.col("k") / F.least("nr", "nc")
-    far, near = F.avg(F.when(F.col("kind") == "R", share)), F.avg(F.when(F.col("kind") == "D", share))
-    return h.agg(F.sum(F.col("nr").cast("long") * F.col("nc")).alias("area"), F.coalesce(far <= near, F.lit(True)).alias("falls"))
+    return _mapped(held, factors, PIECE)
 
 
-def _rows_of(a: DataFrame, n: int) -> DataFrame:
-    """(i, x): rows of a tall matrix of n columns."""
-    return a.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("x"))
+def _far_by_points(pairs: DataFrame, table: DataFrame, up: DataFrame, tree: DataFrame, f: Callable, acc: dense.Acc, far: str, order: int) -> DataFrame:
+    used = pairs.select(F.explode(F.array("rcid", "ccid")).alias("cid")).distinct()
+    held = up.join(used, "cid").join(table, "leaf").groupBy("cid").agg(F.collect_list(F.struct("leaf", "xs", "dim")).alias("of"))  # at most SMALL points each
+    held = durable(held, "gathered")
+    both = pairs.join(held.select(F.col("cid").alias("rcid"), F.col("of").alias("rof")), "rcid").join(held.select(F.col("cid").alias("ccid"), F.col("of").alias("cof")), "ccid").repartition(F.xxhash64("rcid", "ccid"))
 
+    def factors(row) -> Iterator[tuple]:
+        dim = row.rof[0]["dim"]
+        sides = [[(p["leaf"], _array(p["xs"], -1, dim)) for p in of] for of in (row.rof, row.cof)]
+        x, y = (np.vstack([p for _, p in s]) for s in sides)
+        if far == "aca":
+            _, _, u, v = dense.cross(lambda i: f(x[i : i + 1], y)[0], lambda j: f(x, y[j : j + 1])[:, 0], len(x), len(y), acc)
+            u, v = dense.truncate(u, v, acc)
+        else:
+            u, v = dense.APPROX[far](f(x, y), acc)
+        for side, whole, leaves in (("r", u, sides[0]), ("c", v, sides[1])):
+            at = 0
+            for leaf, p in leaves:
+                if whole.shape[1]:
+                    yield row.rcid, row.ccid, side, leaf, len(p), whole.shape[1], whole[at : at + len(p)].ravel()
+                at += len(p)
 
-def tsqr(a: DataFrame, n: int, fan: int = 64) -> np.ndarray:
-    """R (n x n) of a tall matrix: QR in each partition, then of stacked R factors in groups of `fan`, until one is left."""
+    return _mapped(both, factors, PIECE)
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = np.zeros((0, n))
-        for t in batches:
-            if len(t):
-                r = np.linalg.qr(np.vstack([r, np.array(t["x"].tolist())]), mode="r")
-        if len(r):
-            yield pd.DataFrame({"r": [r.ravel()]})
 
-    parts = durable(_rows_of(a, n).select("x").mapInPandas(local, "r array<double>"), "tsqr")
-    while (m := parts.count()) > 1:
-        def stack(pdf: pd.DataFrame) -> pd.DataFrame:
-            r = np.vstack([np.asarray(x).reshape(-1, n) for x in pdf["r"]])
-            return pd.DataFrame({"r": [np.linalg.qr(r, mode="r").ravel()]})
+def add_identity(h: HMatrix, value: float = 1.0) -> HMatrix:
+    def run(r) -> Iterator[tuple]:
+        d = _array(r.d, r.nr, r.nc)
+        yield r.rleaf, r.cleaf, r.nr, r.nc, (d + value * np.eye(r.nr) if r.rleaf == r.cleaf else d).ravel()
 
-        groups = max(1, -(-m // fan))
-        parts = durable(parts.withColumn("g", F.pmod(F.xxhash64("r"), F.lit(groups))).groupBy("g").applyInPandas(stack, "r array<double>"), "tsqr")
-    r = np.asarray(parts.first()["r"]).reshape(-1, n)
-    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+    return replace(h, near=_mapped(h.near, run, NEARBY))
 
 
-def gram_of_r(spark: SparkSession, r: np.ndarray) -> DataFrame:
-    g = r.T @ r
-    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(len(g)) for j in range(len(g))], "i long, j long, v double")
+def transpose(h: HMatrix) -> HMatrix:
+    far = h.far.select(F.col("ccid").alias("rcid"), F.col("rcid").alias("ccid"), F.when(F.col("side") == "r", "c").otherwise("r").alias("side"), "leaf", "n", "k", "f")
+    near = _mapped(h.near, lambda r: [(r.cleaf, r.rleaf, r.nc, r.nr, _array(r.d, r.nr, r.nc).T.ravel())], NEARBY)
+    parts = h.parts.select(F.col("ccid").alias("rcid"), F.col("rcid").alias("ccid"), "adm", F.col("nc").alias("nr"), F.col("nr").alias("nc"))
+    return HMatrix(h.leaves, far, near, parts, h.tree)
 
 
-def tsqr_q(a: DataFrame, n: int) -> DataFrame:
-    """(i, x): rows of Q = A R^-1, with a second pass for orthogonality."""
-    rows = _rows_of(a, n)
-    for _ in range(2):
-        inverse = np.linalg.inv(tsqr(rows.select("i", F.posexplode("x").alias("j", "v")), n))
+def nearfield(h: HMatrix) -> HMatrix:
+    return replace(h, far=h.far.where(F.lit(False)))
 
-        def back(batches: Iterator[pd.DataFrame], m: np.ndarray = inverse) -> Iterator[pd.DataFrame]:
-            for t in batches:
-                yield pd.DataFrame({"i": t["i"], "x": list(np.array(t["x"].tolist()).reshape(-1, n) @ m)})
 
-        rows = rows.mapInPandas(back, "i long, x array<double>")
-    return rows
+def farfield(h: HMatrix) -> HMatrix:
+    return replace(h, near=h.near.where(F.lit(False)))
 
 
-def orthonormal_report(q: DataFrame, n: int) -> DataFrame:
-    pairs = q.select("i", F.posexplode("x").alias("a", "u"), "x").select("i", "a", "u", F.posexplode("x").alias("b", "w"))
-    gram = pairs.groupBy("a", "b").agg(F.sum(F.col("u") * F.col("w")).alias("g"))
-    off = gram.agg((F.max(F.abs(F.col("g") - F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0))) < 1e-9).alias("ok"))
-    return q.agg(F.count("*").alias("rows")).join(off)  # one row each
+# Segments: (leaf, m, x) with m columns for the points of a leaf, row by row.
+SEGMENT = "leaf long, m int, x array<double>"
 
 
-def truncated_tall(a: DataFrame, n: int, acc: dense.Acc) -> DataFrame:
-    """coo of the truncated product U V^T for U = [A A] (tall) and V = [I I]: QR of both, a small SVD, a map over rows."""
-    ru = tsqr(a, n)
-    core = np.block([[ru, ru]]) @ np.vstack([np.eye(n), np.eye(n)])
-    w, s, zt = np.linalg.svd(core)
-    k = dense.trunc_rank(s, acc)
-    right = np.linalg.solve(ru, w[:, :k] * s[:k]) @ zt[:k]
+def segments(h: HMatrix, x: DataFrame) -> DataFrame:
+    """Segments of vec(i, v); missing values are 0."""
+    rows = h.leaves.select("leaf", F.posexplode("ids").alias("at", "i")).join(x, "i", "left")
+    held = rows.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("v", F.lit(0.0)).alias("v")))).alias("s"))
+    return held.select("leaf", F.lit(1).alias("m"), F.transform("s", lambda s: s["v"]).alias("x"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            yield pd.DataFrame({"i": t["i"], "x": list(np.array(t["x"].tolist()).reshape(-1, n) @ right)})
 
-    return _rows_of(a, n).mapInPandas(run, "i long, x array<double>").select("i", F.posexplode("x").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
+def vector(h: HMatrix, segs: DataFrame) -> DataFrame:
+    return h.leaves.join(segs, "leaf").select(F.explode(F.arrays_zip("ids", "x")).alias("e")).select(F.col("e.ids").alias("i"), F.col("e.x").alias("v"))
 
 
-def randsvd_report(a: DataFrame, n: int, acc: dense.Acc, seed: int = 5) -> DataFrame:
-    """Norm, cells and whether Q Q^T A is A: randomised range of a distributed matrix by products with rows only."""
-    omega = np.random.default_rng(seed).standard_normal((n, n))
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of arrays x by key: within partitions first, then by key and place."""
+    part = rows.select(*keys, F.posexplode("x").alias("_at", "_v")).groupBy(*keys, "_at").agg(F.sum("_v").alias("_v"))
+    held = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_s"))
+    return held.select(*keys, F.transform("_s", lambda s: s["_v"]).alias("x"))
+
+
+def apply_segments(h: HMatrix, segs: DataFrame) -> DataFrame:
+    """Segments of H X for segments of X: coefficients of far blocks are summed over their leaves, then spread over the other side's."""
+    near = _mapped(h.near.join(segs.withColumnRenamed("leaf", "cleaf"), "cleaf"), lambda r: [(r.rleaf, r.m, (_array(r.d, r.nr, r.nc) @ _array(r.x, r.nc, r.m)).ravel())], SEGMENT)
+    down = h.far.where("side = 'c'").join(segs, "leaf")
+    coef = _summed(_mapped(down, lambda r: [(r.rcid, r.ccid, r.m, (_array(r.f, r.n, r.k).T @ _array(r.x, r.n, r.m)).ravel())], "rcid long, ccid long, m int, x array<double>"), ["rcid", "ccid", "m"])
+    up = h.far.where("side = 'r'").join(coef, ["rcid", "ccid"])
+    far = _mapped(up, lambda r: [(r.leaf, r.m, (_array(r.f, r.n, r.k) @ _array(r.x, r.k, r.m)).ravel())], SEGMENT)
+    return _summed(near.unionByName(far), ["leaf", "m"])
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            yield pd.DataFrame({"i": t["i"], "x": list(np.array(t["x"].tolist()).reshape(-1, n) @ omega)})
 
-    q = tsqr_q(_rows_of(a, n).mapInPandas(sample, "i long, x array<double>").select("i", F.posexplode("x").alias("j", "v")), n).select("i", F.posexplode("x").alias("k", "q"))
-    b = durable(q.join(a, "i").groupBy("k", "j").agg(F.sum(F.col("q") * F.col("v")).alias("w")), "range")
-    back = q.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("q") * F.col("w")).alias("w"))
-    both = a.join(back, ["i", "j"], "left")
-    rel = F.sqrt(F.sum(F.pow(F.col("v") - F.coalesce("w", F.lit(0.0)), 2)) / F.sum(F.col("v") * F.col("v")))
-    return both.agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 5).alias("norm"), F.count("*").alias("cells"), (rel < 1e-8).alias("ok"))
+def matvec(h: HMatrix, x: DataFrame, transposed: bool = False) -> DataFrame:
+    """vec(i, v) of H x or H^T x."""
+    return vector(h, apply_segments(transpose(h) if transposed else h, segments(h, x)))
 
 
-def matvec_nested(t: DataFrame, x: DataFrame, acc: dense.Acc) -> DataFrame:
-    """Product with nested bases of two levels: leaf bases, transfers to pairs of leaves, couplings between the pairs.
+def ones(h: HMatrix) -> DataFrame:
+    return h.leaves.select(F.explode("ids").alias("i"), F.lit(1.0).alias("v"))
 
-    Up: coefficients of leaf bases, then of their parents. Couple at the parents. Down: to the leaves and the rows.
+
+def memory_report(h: HMatrix) -> DataFrame:
+    """One row: bytes of a dense matrix of all points, of the near blocks and of the factors, and entries that the partition covers."""
+    near = h.near.agg(F.coalesce(F.sum(8 * F.col("nr").cast("long") * F.col("nc")), F.lit(0)).alias("near_bytes"))
+    far = h.far.agg(F.coalesce(F.sum(8 * F.col("n").cast("long") * F.col("k")), F.lit(0)).alias("far_bytes"))
+    whole = h.leaves.agg(F.sum(F.size("ids")).alias("points")).select((8 * F.col("points") * F.col("points")).alias("full_bytes"))
+    area = h.parts.agg(F.sum(F.col("nr") * F.col("nc")).alias("area"))
+    return whole.join(near).join(far).join(area)  # one row each
+
+
+def memory_plan(leaves: DataFrame, rule: Column, acc: dense.Acc, kernel: Callable | None = None, order: int = 4, dim: int = 3) -> DataFrame:
+    """(level, rcid, ccid, adm, k, bytes) of each block that build() would make, from boxes and counts alone: no point meets another."""
+    f = kernel or (lambda x, y: kernels.array("gaussian", x, y, 1.0))
+    tree = durable(C.cluster_table(leaves, dim), "tree")
+    parts = durable(C.block_partition(tree, rule), "parts")
+    both = parts.join(C.boxes(tree, "r"), "rcid").join(C.boxes(tree, "c"), "ccid")
+
+    def size(r) -> Iterator[tuple]:
+        k = 0
+        if r.adm:
+            k = len(_pivots(f, (r.rmin, r.rmax), (r.cmin, r.cmax), acc, order)[2])
+        yield r.level, r.rcid, r.ccid, r.adm, k, 8 * (k * (r.rn + r.cn) if r.adm else r.rn * r.cn)
+
+    return _mapped(both, size, "level int, rcid long, ccid long, adm boolean, k int, bytes long")
+
+
+# Conversion to other partitions.
+
+
+def _target(r: str, c: str) -> tuple[Column, Column]:
+    """The off-diagonal pair of sons that holds a pair of clusters: where their paths part."""
+    depth = F.least(_depth(F.col(r)), _depth(F.col(c)))
+    cut = [F.call_function("shiftright", F.col(x), _depth(F.col(x)) - depth) for x in (r, c)]
+    apart = F.floor(F.log2(cut[0].bitwiseXOR(cut[1]).cast("double")) + 1e-9).cast("int")
+    return tuple(F.call_function("shiftright", x, apart) for x in cut)
+
+
+def _compressed(leaves: DataFrame, near: DataFrame, far: DataFrame, rank: int, acc: dense.Acc, over: int = 10, seed: int = 3) -> DataFrame:
+    """Factor pieces of new low-rank blocks (tr, tc), each the sum of the near and far blocks that name it.
+
+    Ranges of all new blocks are found at once by products of the old blocks with random segments; their orthonormal bases come
+    from QR factors stacked over leaves, and the bases' products with the old blocks, truncated, give the other factors.
+    """
+    width = rank + over
+    keys = "tr long, tc long, leaf long, m int, x array<double>"
+
+    def product(segs: DataFrame, into: str, out: str, by: list[str]) -> DataFrame:
+        """(tr, tc, leaf, m, x): old blocks times segments of side `into`; by: how segments meet them."""
+        flip = into == "r"
+        met = near.withColumnsRenamed({"rleaf": "leaf", "cleaf": "to"} if flip else {"cleaf": "leaf", "rleaf": "to"}).join(segs, by)
+        a = _mapped(met, lambda r: [(r.tr, r.tc, r.to, r.m, ((_array(r.d, r.nr, r.nc).T if flip else _array(r.d, r.nr, r.nc)) @ _array(r.x, -1, r.m)).ravel())], keys)
+        down = _mapped(far.where(F.col("side") == into).join(segs, by), lambda r: [(r.tr, r.tc, r.rcid, r.ccid, r.m, (_array(r.f, r.n, r.k).T @ _array(r.x, r.n, r.m)).ravel())], "tr long, tc long, rcid long, ccid long, m int, x array<double>")
+        coef = _summed(down, ["rcid", "ccid", "m"])
+        b = _mapped(far.where(F.col("side") == out).join(coef, ["rcid", "ccid"]), lambda r: [(r.tr, r.tc, r.leaf, r.m, (_array(r.f, r.n, r.k) @ _array(r.x, r.k, r.m)).ravel())], keys)
+        return durable(_summed(a.unionByName(b), ["tr", "tc", "leaf", "m"]), "range")
+
+    sample = _mapped(leaves, lambda r: [(r.leaf, width, np.random.default_rng([seed, r.leaf]).standard_normal((len(r.ids), width)).ravel())], SEGMENT)
+    y = product(sample, "c", "r", ["leaf"])
+    for _ in range(2):  # the second pass makes the basis orthonormal to rounding
+        y = tall.orthonormal(y, ["tr", "tc"])
+    z = product(y.select("tr", "tc", "leaf", "m", "x"), "r", "c", ["tr", "tc", "leaf"])
+    small = tall.singular(z, ["tr", "tc"], acc, rank)
+
+    def turned(t: DataFrame, side: str) -> DataFrame:
+        met = t.join(small, ["tr", "tc"])
+        return _mapped(met, lambda r: [(r.tr, r.tc, side, r.leaf, len(r.x) // r.m, r.k, (_array(r.x, -1, r.m) @ _array(r.w, r.m, r.k)).ravel())] if r.k else [], PIECE)
+
+    return durable(turned(y, "r").unionByName(turned(z, "c")), "far")
+
+
+def _parts_of(pieces: DataFrame, near: DataFrame) -> DataFrame:
+    size = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+    far = pieces.groupBy("rcid", "ccid").agg(F.lit(True).alias("adm"), size("r").alias("nr"), size("c").alias("nc"))
+    return far.unionByName(near.select(F.col("rleaf").alias("rcid"), F.col("cleaf").alias("ccid"), F.lit(False).alias("adm"), F.col("nr").cast("long").alias("nr"), F.col("nc").cast("long").alias("nc")))
+
+
+def converted(h: HMatrix, rank: int, acc: dense.Acc, whole: bool = False) -> HMatrix:
+    """HODLR form (every pair of sibling clusters low-rank, leaves of the diagonal dense), or, if whole, one low-rank block."""
+    diag = F.col("rleaf") == F.col("cleaf")
+    one = F.lit(1).cast("long")
+    place = (lambda r, c: (one, one)) if whole else _target
+    (fr, fc), (nr, nc) = place("rcid", "ccid"), place("rleaf", "cleaf")
+    far = durable(h.far.withColumns({"tr": fr, "tc": fc}), "placed")
+    near = durable((h.near if whole else h.near.where(~diag)).withColumns({"tr": nr, "tc": nc}), "placed")
+    pieces = _compressed(h.leaves, near, far, rank, acc)
+    rest = h.near.where(F.lit(False) if whole else diag)
+    return HMatrix(h.leaves, pieces, rest, _parts_of(pieces, rest), h.tree)
+
+
+def from_entries(a: DataFrame, leaves: DataFrame, rule: Column, rank: int, acc: dense.Acc, dim: int = 1) -> HMatrix:
+    """H-matrix of sparse coo(i, j, v) over clusters of its indices (points id with leaf paths): entries become tiles of leaves, tiles of
+    admissible blocks one low-rank block, the others stay dense; tiles without entries are absent."""
+    leaves = durable(leaves, "leaves")
+    tree = durable(C.cluster_table(leaves, dim), "tree")
+    parts = durable(C.block_partition(tree, rule).select("rcid", "ccid", "adm"), "parts")
+    table = leaves.groupBy(F.col("cid").alias("leaf")).agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("p"), F.first(F.size("x")).alias("dim"))
+    table = durable(table.select("leaf", F.transform("p", lambda s: s["id"]).alias("ids"), F.flatten(F.transform("p", lambda s: s["x"])).alias("xs"), "dim"), "points")
+    at = table.select("leaf", F.size("ids").alias("n"), F.posexplode("ids").alias("p", "id"))
+    row = at.select(F.col("id").alias("i"), F.col("leaf").alias("rleaf"), F.col("p"), F.col("n").alias("nr"))
+    col = at.select(F.col("id").alias("j"), F.col("leaf").alias("cleaf"), F.col("p").alias("q"), F.col("n").alias("nc"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        d = np.zeros((int(first["nr"]), int(first["nc"])))
+        np.add.at(d, (pdf["p"].to_numpy(), pdf["q"].to_numpy()), pdf["v"].to_numpy(float))
+        return pd.DataFrame([(first["rleaf"], first["cleaf"], *d.shape, d.ravel())], columns=["rleaf", "cleaf", "nr", "nc", "d"])
+
+    tiles = durable(a.join(row, "i").join(col, "j").groupBy("rleaf", "cleaf").applyInPandas(fill, NEARBY), "tiles")
+    up = lambda c: F.call_function("shiftright", F.col(c), _depth(F.col(c)) - F.col("level"))
+    levels = tiles.select("rleaf", "cleaf", F.explode(F.sequence(F.lit(0), F.least(_depth(F.col("rleaf")), _depth(F.col("cleaf"))))).alias("level"))
+    found = levels.select("rleaf", "cleaf", up("rleaf").alias("rcid"), up("cleaf").alias("ccid")).join(parts, ["rcid", "ccid"])
+    placed = durable(tiles.join(found, ["rleaf", "cleaf"]), "placed")
+    far = placed.where("adm").withColumnsRenamed({"rcid": "tr", "ccid": "tc"}).drop("adm")
+    none = a.sparkSession.createDataFrame([], PIECE + ", tr long, tc long")
+    pieces, near = _compressed(table, far, none, rank, acc), placed.where("not adm").select("rleaf", "cleaf", "nr", "nc", "d")
+    return HMatrix(table, pieces, near, _parts_of(pieces, near), tree)
+
+
+# Factorisation of a HODLR form.
+
+
+@dataclass(frozen=True)
+class HodlrFactors:
+    """inverse(leaf, n, d): inverses of the diagonal leaves; levels, the deepest first: (rows, cols, core), where rows(p, half, leaf, n, k, f)
+    are the left factors with the levels below already solved, cols(p, half, ...) the right factors that meet them, and core(p, k0, k1, s) the
+    inverse of the small system of node p."""
+
+    h: HMatrix
+    inverse: DataFrame
+    levels: tuple
+
+
+def hodlr_factors(h: HMatrix) -> HodlrFactors:
+    """Product form of a HODLR matrix by 2 x 2 recursion: [A, U V^T; X Y^T, B] is diag(A, B) times a low-rank change of the identity.
+
+    Levels are done from the leaves up, all nodes of a level at once; each step solves what is below for the factors above
+    (the low-rank Schur update) by joins on leaves and sums by node.
+    """
+    inverse = durable(_mapped(h.near, lambda r: [(r.rleaf, r.nr, np.linalg.inv(_array(r.d, r.nr, r.nc)).ravel())], "leaf long, n int, d array<double>"), "inverse")
+    far = h.far.withColumns({"p": F.shiftright("rcid", 1), "half": (F.col("rcid") % 2).cast("int"), "depth": _depth(F.shiftright("rcid", 1))})
+    rows = far.where("side = 'r'").select("p", "half", "depth", "leaf", F.col("k").alias("m"), F.col("f").alias("x"))
+    rows = durable(_leaf_solved(rows, inverse), "solved")
+    deepest = rows.agg(F.max("depth")).first()[0]
+    levels = []
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        own = durable(rows.where(F.col("depth") == depth).select("p", "half", "leaf", F.col("m").alias("k"), F.col("x").alias("f")), "own")
+        cols = durable(far.where((F.col("side") == "c") & (F.col("depth") == depth)).select("p", "half", "leaf", "k", "f"), "cols")
+        core = durable(_core(own, cols), "core")
+        level = (own, cols, core)
+        levels.append(level)
+        rest = rows.where(F.col("depth") < depth)
+        if depth:
+            rows = durable(_changed(rest.withColumnsRenamed({"p": "q", "half": "h"}), level, ["q", "h", "depth"]).withColumnsRenamed({"q": "p", "h": "half"}), "changed")
+    return HodlrFactors(h, inverse, tuple(levels))
+
+
+def _leaf_solved(rows: DataFrame, inverse: DataFrame) -> DataFrame:
+    keep = [c for c in rows.columns if c not in ("leaf", "m", "x")]
+    schema = ", ".join([*(f"{c} {dict(rows.dtypes)[c].replace('bigint', 'long')}" for c in keep), SEGMENT])
+    return _mapped(rows.join(inverse, "leaf"), lambda r: [(*(getattr(r, c) for c in keep), r.leaf, r.m, (_array(r.d, r.n, r.n) @ _array(r.x, r.n, r.m)).ravel())], schema)
+
+
+def _core(own: DataFrame, cols: DataFrame) -> DataFrame:
+    """(p, k0, k1, s): inverse of [I, V0^T W1; V1^T W0, I], where W0, W1 are the left factors on the first and second son."""
+    met = cols.select("p", "half", "leaf", "k", "f").join(own.select("p", "leaf", F.col("half").alias("other"), F.col("k").alias("m"), F.col("f").alias("x")), ["p", "leaf"])
+    got = _summed(_mapped(met, lambda r: [(r.p, r.half, r.k, r.m, (_array(r.f, -1, r.k).T @ _array(r.x, -1, r.m)).ravel())], "p long, half int, k int, m int, x array<double>"), ["p", "half", "k", "m"])
+    sizes = own.groupBy("p").agg(F.coalesce(F.max(F.when(F.col("half") == 0, F.col("k"))), F.lit(0)).alias("k0"), F.coalesce(F.max(F.when(F.col("half") == 1, F.col("k"))), F.lit(0)).alias("k1"))
+    held = sizes.join(got.groupBy("p").agg(F.collect_list(F.struct("half", "x")).alias("of")), "p", "left")
+
+    def solve(r) -> Iterator[tuple]:
+        s = np.eye(r.k0 + r.k1)
+        for part in r.of if r.of is not None else []:
+            if part["half"] == 0:
+                s[: r.k0, r.k0 :] = _array(part["x"], r.k0, r.k1)
+            else:
+                s[r.k0 :, : r.k0] = _array(part["x"], r.k1, r.k0)
+        yield r.p, r.k0, r.k1, np.linalg.inv(s).ravel()
+
+    return _mapped(held, solve, "p long, k0 int, k1 int, s array<double>")
+
+
+def _changed(rows: DataFrame, level: tuple, keys: list[str]) -> DataFrame:
+    """rows(keys, leaf, m, x) less W S^-1 V^T rows of the level's nodes; leaves below no node of the level stay as they are."""
+    own, cols, core = level
+    kind = ", ".join(f"{c} {dict(rows.dtypes)[c].replace('bigint', 'long')}" for c in keys)
+    seen = _mapped(cols.join(rows, "leaf"), lambda r: [(r.p, r.half, r.k, *(getattr(r, c) for c in keys), r.m, (_array(r.f, -1, r.k).T @ _array(r.x, -1, r.m)).ravel())], f"p long, half int, k int, {kind}, m int, x array<double>")
+    seen = _summed(seen, ["p", "half", "k", *keys, "m"]).groupBy("p", *keys, "m").agg(F.collect_list(F.struct("half", "x")).alias("of"))
+
+    def solve(r) -> Iterator[tuple]:
+        y = np.zeros((r.k0 + r.k1, r.m))
+        for part in r.of:
+            at = slice(0, r.k0) if part["half"] == 0 else slice(r.k0, None)
+            y[at] = _array(part["x"], -1, r.m)
+        c = _array(r.s, len(y), len(y)) @ y
+        for half, at in ((0, slice(0, r.k0)), (1, slice(r.k0, None))):
+            if c[at].size:
+                yield r.p, half, *(getattr(r, k) for k in keys), c[at].ravel()
+
+    coef = _mapped(seen.join(core, "p"), solve, f"p long, half int, {kind}, c array<double>")
+    met = own.join(coef, ["p", "half"])
+    less = _mapped(met, lambda r: [(*(getattr(r, k) for k in keys), r.leaf, len(r.c) // r.k, -(_array(r.f, -1, r.k) @ _array(r.c, r.k, -1)).ravel())], f"{kind}, {SEGMENT}")
+    return _summed(rows.select(*keys, "leaf", "m", "x").unionByName(less), [*keys, "leaf", "m"])
+
+
+def hodlr_solve(factors: HodlrFactors, b: DataFrame) -> DataFrame:
+    """vec(i, v) of A^-1 b."""
+    x = durable(_leaf_solved(segments(factors.h, b).withColumn("one", F.lit(1)), factors.inverse), "solved")
+    for level in factors.levels:
+        x = durable(_changed(x, level, ["one"]), "changed")
+    return vector(factors.h, x)
+
+
+# Nested bases of any depth.
+
+
+def matvec_nested(leaves: DataFrame, rule: Column, x: DataFrame, kernel: Callable | None = None, order: int = 6, dim: int = 3) -> DataFrame:
+    """vec(i, v) of a kernel matrix times x with nested bases: interpolation at leaves, transfers from sons to parents, couplings of boxes.
+
+    Up, level by level: a parent's coefficients are its sons' through Lagrange values of its grid at theirs. Couplings are kernel values between
+    grids; down again the same way. Every cluster holds at most order^dim numbers, whatever its size.
     """
-    rows, cols = durable(B.shared_bases(t, acc, "row"), "bases"), durable(B.shared_bases(t, acc, "col"), "bases")
-    s = B.to_uniform(t, rows, cols)
-
-    def parent_basis(bases: DataFrame, key: str, other: str) -> DataFrame:
-        """(p, sons, ranks, transfer): an orthonormal basis of the stacked couplings of two neighbouring leaves."""
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            sons = sorted(set(pdf[key]))
-            ranks = [int(pdf.loc[pdf[key] == b, "kr" if key == "bi" else "kc"].iloc[0]) for b in sons]
-            parts = []
-            for o in sorted(set(pdf[other])):
-                stack = []
-                wide = None
-                for b, k in zip(sons, ranks, strict=True):
-                    hit = pdf[(pdf[key] == b) & (pdf[other] == o)]
-                    if len(hit):
-                        m = np.asarray(hit["s"].iloc[0]).reshape(int(hit["kr"].iloc[0]), int(hit["kc"].iloc[0]))
-                        m = m if key == "bi" else m.T
-                        wide = m.shape[1]
-                        stack.append(m)
-                    else:
-                        stack.append((k,))
-                parts.append(np.vstack([m if isinstance(m, np.ndarray) else np.zeros((m[0], wide)) for m in stack]))
-            e, _ = dense.column_basis(np.hstack(parts), acc)
-            return pd.DataFrame({"p": [int(sons[0]) >> 1], "sons": [sons], "ranks": [ranks], "k": [e.shape[1]], "e": [e.ravel()]})
-
-        return s.groupBy(F.shiftright(key, 1)).applyInPandas(run, "p int, sons array<int>, ranks array<int>, k int, e array<double>")
-
-    up, down = durable(parent_basis(cols, "bj", "bi"), "transfer"), durable(parent_basis(rows, "bi", "bj"), "transfer")
-
-    def cut(table: DataFrame) -> DataFrame:
-        """Transfers by son: (b, p, k, e)."""
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in batches:
-                out = []
-                for r in f.itertuples():
-                    e, at = np.asarray(r.e).reshape(-1, r.k), 0
-                    for b, n in zip(r.sons, r.ranks, strict=True):
-                        out.append((b, r.p, r.k, e[at : at + n].ravel()))
-                        at += n
-                yield pd.DataFrame(out, columns=["b", "p", "k", "e"])
-
-        return table.mapInPandas(run, "b int, p int, k int, e array<double>")
-
-    er, ec = cut(down), cut(up)
-    coefs = B._applied(cols.join(x, "b"), lambda r: (r.b, np.asarray(r.basis).reshape(-1, r.rank).T @ np.asarray(r.x)))
-    lifted = B.sum_segments(B._applied(ec.join(coefs, "b"), lambda r: (r.p, np.asarray(r.e).reshape(-1, r.k).T @ np.asarray(r.x))))
-    met = s.join(er.select(F.col("b").alias("bi"), F.col("p").alias("rp"), F.col("k").alias("rk"), F.col("e").alias("re")), "bi").join(ec.select(F.col("b").alias("bj"), F.col("p").alias("cp"), F.col("k").alias("ck"), F.col("e").alias("ce")), "bj")
-    coupled = met.join(lifted.select(F.col("b").alias("cp"), "x"), "cp")
-    mid = B.sum_segments(B._applied(coupled, lambda r: (r.rp, np.asarray(r.re).reshape(r.kr, r.rk).T @ (np.asarray(r.s).reshape(r.kr, r.kc) @ (np.asarray(r.ce).reshape(r.kc, r.ck) @ np.asarray(r.x))))))
-    leaf = B._applied(er.join(mid.select(F.col("b").alias("p"), "x"), "p"), lambda r: (r.b, np.asarray(r.e).reshape(-1, r.k) @ np.asarray(r.x)))
-    return B._applied(rows.join(leaf, "b"), lambda r: (r.b, np.asarray(r.basis).reshape(-1, r.rank) @ np.asarray(r.x)))
+    f = kernel or (lambda a, b: kernels.array("gaussian", a, b, 1.0))
+    h = build(leaves, rule, dense.Acc(rank=0), kernel, "hca", 2, dim)  # near blocks and the partition; no factors
+    tree = h.tree.select("level", "cid", "parent", "leaf", "bbmin", "bbmax")
+    grid = lambda lo, hi: dense.grid_axes(np.asarray(lo), np.asarray(hi), order)
+    segs = durable(segments(h, x), "segments")
+    points = h.leaves.join(tree.select(F.col("cid").alias("leaf"), "bbmin", "bbmax", "level"), "leaf")
+    now = _mapped(points.join(segs, "leaf"), lambda r: [(r.level, r.leaf, (dense.lagrange(_array(r.xs, -1, r.dim), grid(r.bbmin, r.bbmax)).T @ np.asarray(r.x)).ravel())], "level int, cid long, x array<double>")
+    now = durable(now, "up")
+    deepest = tree.agg(F.max("level")).first()[0] or 0
+    every, family = now, tree.join(tree.select(F.col("cid").alias("parent"), F.col("bbmin").alias("pmin"), F.col("bbmax").alias("pmax")), "parent")
+    for level in range(deepest, 0, -1):
+        sons = every.where(F.col("level") == level).select("cid", "x").join(family, "cid")
+        lifted = _mapped(sons, lambda r: [(r.level - 1, r.parent, (dense.lagrange(dense.grid_points(grid(r.bbmin, r.bbmax)), grid(r.pmin, r.pmax)).T @ np.asarray(r.x)).ravel())], "level int, cid long, x array<double>")
+        every = durable(every.unionByName(_summed(lifted, ["level", "cid"])), "up")
+    far = h.parts.where("adm").join(C.boxes(h.tree, "r"), "rcid").join(C.boxes(h.tree, "c"), "ccid").join(every.select(F.col("cid").alias("ccid"), "x"), "ccid")
+    met = _mapped(far, lambda r: [(r.rcid, (f(dense.grid_points(grid(r.rmin, r.rmax)), dense.grid_points(grid(r.cmin, r.cmax))) @ np.asarray(r.x)).ravel())], "cid long, x array<double>")
+    down = durable(_summed(met, ["cid"]).join(tree.select("cid", "level"), "cid").select("level", "cid", "x"), "down")
+    for level in range(1, deepest + 1):
+        parents = down.where(F.col("level") == level - 1).select(F.col("cid").alias("parent"), "x").join(family, "parent")
+        lowered = _mapped(parents, lambda r: [(r.level, r.cid, (dense.lagrange(dense.grid_points(grid(r.bbmin, r.bbmax)), grid(r.pmin, r.pmax)) @ np.asarray(r.x)).ravel())], "level int, cid long, x array<double>")
+        down = durable(_summed(down.unionByName(lowered), ["level", "cid"]), "down")
+    out = _mapped(points.join(down.select(F.col("cid").alias("leaf"), "x"), "leaf"), lambda r: [(r.leaf, 1, (dense.lagrange(_array(r.xs, -1, r.dim), grid(r.bbmin, r.bbmax)) @ np.asarray(r.x)).ravel())], SEGMENT)
+    return vector(h, _summed(apply_segments(h, segs).unionByName(out), ["leaf", "m"]))
+
+
+# Sparse matrices and geometry studies.
+
+
+def from_sparse(a: DataFrame, tile: int, acc: dense.Acc) -> DataFrame:
+    """coo of a block matrix from sparse entries: off-diagonal tiles low-rank where that is smaller, empty ones absent."""
+    rows, cols = (int(x) + 1 for x in a.agg(F.max("i"), F.max("j")).first())
+    return B.to_coo(B.each(B.to_blocks(a, rows, cols, tile, tile), lambda b: [b] if b.bi == b.bj else [b.smaller(acc)]))
+
+
+#: Where the second of two unit cubes lies to the first.
+CONTACT = {"face": (1.0, 0.0, 0.0), "edge": (1.0, 1.0, 0.0), "vertex": (1.0, 1.0, 1.0), "apart": (2.0, 0.0, 0.0)}
+
+
+def rank_study(points: DataFrame, tile: int, kernel: Callable, acc: dense.Acc) -> DataFrame:
+    """(tile, geometry, norm, k): norm from the singular values, and the numerical rank, of the kernel between each tile of points (ids) in a unit
+    cube and the same points in a cube that shares a face, an edge or a vertex with it, or lies apart."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["x"].tolist(), float)
+        out = []
+        for name, shift in CONTACT.items():
+            s = np.linalg.svd(kernel(x, x + np.array(shift)[: x.shape[1]]), compute_uv=False)
+            out.append((int(pdf["tile"].iloc[0]), name, float(np.sqrt((s**2).sum())), dense.trunc_rank(s, acc)))
+        return pd.DataFrame(out, columns=["tile", "geometry", "norm", "k"])
+
+    return points.withColumn("tile", F.floor(F.col("id") / tile).cast("long")).groupBy("tile").applyInPandas(run, "tile long, geometry string, norm double, k int")

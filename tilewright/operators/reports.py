@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.operators.clusters import global_rank
+from tilewright.operators.coo import running_before
+
 
 def block_bytes() -> Column:
     k = F.coalesce("k", F.lit(0))
@@ -70,11 +73,12 @@ def trunc_ranks(sigmas: DataFrame, rel: float) -> DataFrame:
 def greedy_ranks(sigmas: DataFrame, rel: float) -> DataFrame:
     """Ranks by mode b that take singular values in falling order over all modes until the squares left are at most (rel * whole)^2.
 
-    Each mode keeps at least one. There are as many rows as mode sizes add up to, so one task may order them.
+    Each mode keeps at least one. Rows are ranked and summed in parts of the order, not in one task.
     """
-    up = Window.orderBy("s", F.desc("b"), F.desc("k"))
-    rows = sigmas.withColumn("tail", F.sum(F.col("s") * F.col("s")).over(up)).withColumn("whole", F.sum(F.col("s") * F.col("s")).over(Window.partitionBy()))
-    return rows.groupBy("b").agg(F.count(F.when((F.col("k") == 0) | (F.col("tail") > rel * rel * F.col("whole")), 1)).alias("rank"))
+    ranked = global_rank(sigmas, "s", F.desc("b"), F.desc("k")).withColumn("_sq", F.col("s") * F.col("s"))
+    whole = ranked.agg(F.sum("_sq").alias("whole"))
+    rows = running_before(ranked, "rank", "_sq", "_before", kind="double").join(F.broadcast(whole), how="cross")  # one row
+    return rows.groupBy("b").agg(F.count(F.when((F.col("k") == 0) | (F.col("_before") + F.col("_sq") > rel * rel * F.col("whole")), 1)).alias("rank"))
 
 
 def tensor_cube(spark: SparkSession, n: int) -> DataFrame:
@@ -113,6 +117,14 @@ def points_inside(points: DataFrame, shape: str) -> DataFrame:
     return points.agg(F.count("*").alias("n"), F.min(rule).alias("inside"))
 
 
+CP_RANK = 3
+
+
+def random_factor(mode: int, i: Column, r: int) -> Column:
+    """Entry of a CP factor in [0, 1): a linear congruence of mode, index and term, the same on every run."""
+    return F.pmod(i * 7919 + 104729 * r + 1299709 * mode + 31, F.lit(10007)) / 10007
+
+
 def made_tensor(spark: SparkSession, kind: str, n: int) -> DataFrame:
     """ten3 of side n by a formula in its indices."""
     k = F.col("id")
@@ -122,6 +134,6 @@ def made_tensor(spark: SparkSession, kind: str, n: int) -> DataFrame:
         "iota": (a + n * b + n * n * c).cast("double"),
         "coulomb": 1 / F.sqrt(F.pow(a + 1.0, 2) + F.pow(b + 1.0, 2) + F.pow(c + 1.0, 2)),
         "sincos": F.sin(a + 1.0) * F.cos(b + 2.0) + F.sin(c * 0.5),
-        "cp": F.cos(a * 0.3) * F.cos(b * 0.5) * F.cos(c * 0.7) + F.sin(a + 0.1) * F.sin(b + 0.2) * F.sin(c + 0.3),
+        "cp": sum((random_factor(0, a, r) * random_factor(1, b, r) * random_factor(2, c, r) for r in range(CP_RANK)), F.lit(0.0)),
     }[kind]
     return base.select("i0", "i1", "i2", value.alias("v"))

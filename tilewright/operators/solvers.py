@@ -1,11 +1,13 @@
 """Factorisations, solves, norms and eigenvalues of block matrices.
 
-Loops run on the driver over block steps; each step's tables are written to the shared folder, so lineage stays short and a
-lost executor costs one step. Only one diagonal tile or vector segment is ever on the driver.
+Loops run on the driver over block steps; each step's table is written to the shared folder, so lineage stays short and a
+lost executor costs one step. The driver sees counts, norms and block names only: pivots meet the blocks they change by joins.
+Loops that end without their tolerance warn.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.dense import TIGHT, Acc
 from tilewright.operators import blocks as B
 from tilewright.operators.blocks import Block
-from tilewright.sources.storage import durable
+from tilewright.sources.storage import durable, forget
 
 
 def kernel_system(points: DataFrame, tile: int, entry: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -49,69 +51,75 @@ def _lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, np.triu(u)
 
 
-def _tile(blocks: DataFrame, i: int, j: int) -> np.ndarray:
-    return Block.of(blocks.where((F.col("bi") == i) & (F.col("bj") == j)).select(B.FIELDS).first()).dense()
-
+def _steps(blocks: DataFrame) -> int:
+    return int(blocks.agg(F.max("bi")).first()[0]) + 1
 
-def _tile_work(blocks: DataFrame, i: int, j: int, f: Callable[[np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
-    """Square arrays that f makes of one tile, computed within a task; only they reach the driver."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            for row in t.itertuples():
-                out = f(Block.of(row).dense())
-                yield pd.DataFrame({"at": range(len(out)), "x": [x.ravel() for x in out]})
+def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(B.each(b, lambda x: [x.like(d=None if x.d is None else -x.d, u=None if x.u is None else -x.u, v=x.v)]))
 
-    rows = blocks.where((F.col("bi") == i) & (F.col("bj") == j)).select(B.FIELDS).mapInPandas(run, "at int, x array<double>").collect()
-    arrays = [np.asarray(r["x"], float) for r in sorted(rows, key=lambda r: r["at"])]
-    return [x.reshape(round(x.size**0.5), -1) for x in arrays]
 
+def _beside(blocks: DataFrame, pivot: DataFrame, f: Callable[[Block, Block], list[Block]]) -> DataFrame:
+    """f of each block and the one pivot tile, which goes to every task."""
+    right = pivot.select(*[F.col(c).alias(f"o_{c}") for c in B.FIELDS])
 
-def _lu_parts(a: np.ndarray) -> list[np.ndarray]:
-    low, up = _lu(a)
-    return [low, up, np.linalg.inv(low), np.linalg.inv(up)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            mine, other = t[B.FIELDS], t[[f"o_{c}" for c in B.FIELDS]].set_axis(B.FIELDS, axis=1)
+            out = [z for x, y in zip(mine.itertuples(), other.itertuples(), strict=True) for z in f(Block.of(x), Block.of(y))]
+            if out:
+                yield B.frame(out)
 
+    return blocks.select(B.FIELDS).join(F.broadcast(right), how="cross").mapInPandas(run, B.SCHEMA)  # one tile, at most TILE x TILE
 
-def _steps(blocks: DataFrame) -> int:
-    return int(blocks.agg(F.max("bi")).first()[0]) + 1
 
+def _rounded(single: bool) -> Callable[[np.ndarray], np.ndarray]:
+    return (lambda x: x.astype(np.float32)) if single else (lambda x: x)
 
-def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(B.each(b, lambda x: [x.like(d=None if x.d is None else -x.d, u=None if x.u is None else -x.u, v=x.v)]))
 
-
-def lu_blocks(a: DataFrame, acc: Acc = TIGHT) -> DataFrame:
+def lu_blocks(a: DataFrame, acc: Acc = TIGHT, single: bool = False) -> DataFrame:
     """Right-looking block LU of dense or low-rank blocks: strictly lower blocks hold L, others U; diagonal tiles hold both parts.
 
-    Step k: the diagonal tile is factorised, its panels are solved in a map, and the trailing blocks meet the panel products
-    by their names. The part that is done leaves the loop.
+    Step k: the diagonal tile is factorised in a task, its panels are solved in a map, and the trailing blocks meet the panel
+    products by their names. The part that is done leaves the loop. single: all arithmetic in single precision.
     """
-    rest, done = durable(a, "lu"), None
-    for k in range(_steps(rest)):
-        low, up, inv_low, inv_up = _tile_work(rest, k, k, _lu_parts)
+    rest, done, cast = durable(a, "lu"), None, _rounded(single)
+
+    def pivot(b: Block) -> list[Block]:
+        low, up = _lu(cast(b.dense()))
+        return [b.like(d=(low - np.eye(len(low)) + up).astype(float))]
 
-        def panel(b: Block, k=k, il=inv_low, iu=inv_up, both=low - np.eye(len(low)) + up) -> list[Block]:
-            if b.bi == b.bj:
-                return [b.like(d=both)]
-            if b.bj == k:
-                return [b.like(d=b.d @ iu) if b.d is not None else b.like(u=b.u, v=iu.T @ b.v)]
-            return [b.like(d=il @ b.d) if b.d is not None else b.like(u=il @ b.u, v=b.v)]
+    def panel(b: Block, p: Block, k: int) -> list[Block]:
+        if b.bj == k:  # X U = B
+            up = cast(np.triu(p.d)).T
+            return [b.like(d=np.linalg.solve(up, cast(b.d).T).T.astype(float)) if b.d is not None else b.like(u=b.u, v=np.linalg.solve(up, cast(b.v)).astype(float))]
+        low = cast(np.tril(p.d, -1) + np.eye(p.nr))
+        return [b.like(d=np.linalg.solve(low, cast(b.d)).astype(float)) if b.d is not None else b.like(u=np.linalg.solve(low, cast(b.u)).astype(float), v=b.v)]
 
-        ready = durable(B.each(rest.where((F.col("bi") == k) | (F.col("bj") == k)), panel), "panel")
-        done = ready if done is None else done.unionByName(ready)
+    for k in range(_steps(rest)):
+        own = durable(B.each(rest.where((F.col("bi") == k) & (F.col("bj") == k)), pivot), "pivot")
+        sides = rest.where(((F.col("bi") == k) | (F.col("bj") == k)) & (F.col("bi") != F.col("bj")))
+        ready = durable(_beside(sides, own, lambda b, p, k=k: panel(b, p, k)), "panel")
+        done = own.unionByName(ready) if done is None else done.unionByName(own).unionByName(ready)
         trailing = rest.where((F.col("bi") > k) & (F.col("bj") > k))
-        update = B._paired(ready.where(F.col("bi") > k), ready.where(F.col("bj") > k), ["bj"], ["bi"], _product)
-        rest = durable(B.grouped(_minus(trailing, update), ["bi", "bj"], lambda bs: [B._sum(bs, acc)]), "lu")
+        update = B._paired(ready.where(F.col("bi") > k), ready.where(F.col("bj") > k), ["bj"], ["bi"], lambda x, y: _product(x, y, cast))
+        old, rest = rest, durable(B.grouped(_minus(trailing, update), ["bi", "bj"], lambda bs: [_summed(bs, acc, cast)]), "lu")
+        forget(old)
     return durable(done, "factors")
 
 
-def _product(x: Block, y: Block) -> Block:
+def _summed(bs: list[Block], acc: Acc, cast: Callable) -> Block:
+    out = B._sum(bs, acc)
+    return out.like(d=None if out.d is None else cast(out.d).astype(float), u=None if out.u is None else cast(out.u).astype(float), v=None if out.v is None else cast(out.v).astype(float))
+
+
+def _product(x: Block, y: Block, cast: Callable = lambda m: m) -> Block:
     at = Block(x.bi, y.bj, x.r0, y.c0, x.nr, y.nc)
     if x.d is not None and y.d is not None:
-        return at.like(d=x.d @ y.d)
+        return at.like(d=(cast(x.d) @ cast(y.d)).astype(float))
     if x.d is None:
-        return at.like(u=x.u, v=y.dense().T @ x.v)
-    return at.like(u=x.d @ y.u, v=y.v)
+        return at.like(u=x.u, v=(cast(y.dense()).T @ cast(x.v)).astype(float))
+    return at.like(u=(cast(x.d) @ cast(y.u)).astype(float), v=y.v)
 
 
 def ldu_blocks(a: DataFrame, acc: Acc = TIGHT) -> tuple[DataFrame, DataFrame]:
@@ -133,67 +141,107 @@ def ldu_blocks(a: DataFrame, acc: Acc = TIGHT) -> tuple[DataFrame, DataFrame]:
     return durable(lower.unionByName(upper), "ldu"), durable(diag, "diag")
 
 
+def _triangle(d: np.ndarray, lower: bool, unit: bool) -> np.ndarray:
+    if lower:
+        return np.tril(d, -1) + np.eye(len(d)) if unit else np.tril(d)
+    return np.triu(d, 1) + np.eye(len(d)) if unit else np.triu(d)
+
+
 def substitute(factors: DataFrame, rhs: DataFrame, lower: bool, transposed: bool = False, unit: bool | None = None, single: bool = False) -> DataFrame:
-    """Segments of T^-1 b for a triangle T of factors (or its transpose), block after block.
+    """Segments of T^-1 b for a triangle T of factors (or its transpose), block after block; one table a step.
 
-    unit: the triangle's diagonal is one (so for L by default). single: tiles are rounded to single precision first.
+    unit: the triangle's diagonal is one (so for L by default). single: solves in single precision.
     """
     unit = lower if unit is None else unit
-    n = _steps(factors)
-    forward = lower != transposed
-    rest, done = durable(rhs, "rhs"), None
-    for k in range(n) if forward else range(n - 1, -1, -1):
-        t = _tile(factors, k, k)
-        t = np.tril(t, -1) + np.eye(len(t)) if lower and unit else np.tril(t) if lower else np.triu(t, 1) + np.eye(len(t)) if unit else np.triu(t)
-        t = t.T if transposed else t
-        if single:
-            t = t.astype(np.float32).astype(float)
-
-        def solve(batches: Iterator[pd.DataFrame], t=t) -> Iterator[pd.DataFrame]:
-            for f in batches:
-                yield pd.DataFrame({"b": f["b"], "x": [np.linalg.solve(t, np.asarray(y, float)) for y in f["x"]]})
-
-        own = durable(rest.where(F.col("b") == k).mapInPandas(solve, "b int, x array<double>"), "segment")
-        x = np.asarray(own.first()["x"], float)
-        done = own if done is None else done.unionByName(own)
-        side, other = ("bj", "bi") if not transposed else ("bi", "bj")
+    n, cast = _steps(factors), _rounded(single)
+    side, other = ("bj", "bi") if not transposed else ("bi", "bj")
+    rest = durable(rhs.select("b", "x", F.lit(False).alias("done")), "rhs")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out = []
+            for r in f.itertuples():
+                t = _triangle(Block.of(r).dense(), lower, unit)
+                out.append((r.b, np.linalg.solve(cast(t.T if transposed else t), cast(np.asarray(r.x, float))).astype(float)))
+            yield pd.DataFrame(out, columns=["b", "x"])
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out = []
+            for r in f.itertuples():
+                m = cast(Block.of(r).dense())
+                out.append((getattr(r, other), -((m.T if transposed else m) @ cast(np.asarray(r.x, float))).astype(float)))
+            yield pd.DataFrame(out, columns=["b", "x"])
+
+    for k in range(n) if lower != transposed else range(n - 1, -1, -1):
+        tile = factors.where((F.col("bi") == k) & (F.col("bj") == k)).select(*B.FIELDS, F.lit(k).alias("b"))
+        own = rest.where(F.col("b") == k).join(tile, "b").select(*B.FIELDS, "b", "x").mapInPandas(solve, "b int, x array<double>")
         touched = factors.where((F.col(side) == k) & ((F.col("bi") > F.col("bj")) if lower else (F.col("bi") < F.col("bj"))))
+        met = touched.select(*B.FIELDS).join(own.select(F.col("b").alias(side), "x"), side)
+        changed = B.sum_segments(rest.where((F.col("b") != k) & ~F.col("done")).select("b", "x").unionByName(met.select(*B.FIELDS, "x").mapInPandas(apply, "b int, x array<double>")))
+        old, rest = rest, durable(rest.where("done").unionByName(own.withColumn("done", F.lit(True))).unionByName(changed.withColumn("done", F.lit(False))), "rhs")
+        forget(old)
+    return rest.select("b", "x")
+
 
-        def apply(batches: Iterator[pd.DataFrame], x=x, other=other) -> Iterator[pd.DataFrame]:
-            for f in batches:
-                out = []
-                for r in f[B.FIELDS].itertuples():
-                    m = Block.of(r).dense()
-                    m = m.astype(np.float32).astype(float) if single else m
-                    out.append((getattr(r, other), -((m.T if transposed else m) @ x)))
-                yield pd.DataFrame(out, columns=["b", "x"])
-
-        parts = rest.where(F.col("b") != k).unionByName(touched.select(B.FIELDS).mapInPandas(apply, "b int, x array<double>"))
-        rest = durable(B.sum_segments(parts), "rhs")
+def substitute_blocks(factors: DataFrame, rhs: DataFrame, lower: bool, transposed: bool = False, unit: bool | None = None) -> DataFrame:
+    """Blocks of T^-1 B (or T^-T B) for a triangle T of factors and any block table B."""
+    unit = lower if unit is None else unit
+    tri = factors.where("bi >= bj" if lower else "bi <= bj")
+    tri = B.each(tri, lambda b: [b.like(d=_triangle(b.dense(), lower, unit))] if b.bi == b.bj else [b])
+    tri = durable(B.transpose(tri) if transposed else tri, "triangle")
+    rest, done = durable(rhs, "rhs"), None
+    order = range(_steps(factors))
+    for k in order if lower != transposed else reversed(order):
+        tile = tri.where((F.col("bi") == k) & (F.col("bj") == k))
+        own = durable(_beside(rest.where(F.col("bi") == k), tile, lambda b, p: [b.like(d=np.linalg.solve(p.dense(), b.d))] if b.d is not None else [b.like(u=np.linalg.solve(p.dense(), b.u), v=b.v)]), "own")
+        done = own if done is None else done.unionByName(own)
+        update = B._paired(tri.where((F.col("bj") == k) & (F.col("bi") != k)), own, ["bj"], ["bi"], _product)
+        rest = durable(B.grouped(_minus(rest.where(F.col("bi") != k), update), ["bi", "bj"], lambda bs: [B._sum(bs, TIGHT)]), "rhs")
     return durable(done, "solved")
 
 
+def substitute_right(factors: DataFrame, rhs: DataFrame, lower: bool, transposed: bool = False, unit: bool | None = None) -> DataFrame:
+    """Blocks of B T^-1 (or B T^-T): the solve from the left of the transposed system."""
+    unit = lower if unit is None else unit
+    return B.transpose(substitute_blocks(factors, B.transpose(rhs), lower, not transposed, unit))
+
+
 def lu_solve(factors: DataFrame, rhs: DataFrame, transposed: bool = False, single: bool = False) -> DataFrame:
     if transposed:
         return substitute(factors, substitute(factors, rhs, lower=False, transposed=True, single=single), lower=True, transposed=True, single=single)
     return substitute(factors, substitute(factors, rhs, lower=True, single=single), lower=False, single=single)
 
 
+def ldu_solve(factors: DataFrame, diagonal: DataFrame, rhs: DataFrame, transposed: bool = False) -> DataFrame:
+    """Segments of (L D U)^-1 b, or of its transpose, for unit block triangles and diagonal tiles of ldu_blocks()."""
+    eye = B.each(diagonal, lambda b: [b.like(d=np.eye(b.nr))])
+    both = durable(factors.unionByName(eye), "unit")
+    inverse = B.each(diagonal, lambda b: [b.like(d=np.linalg.inv(b.d.T if transposed else b.d))])
+    x = substitute(both, rhs, lower=not transposed, transposed=transposed, unit=True)
+    return substitute(both, durable(B.matvec(inverse, x), "scaled"), lower=transposed, transposed=transposed, unit=True)
+
+
 def invert(a: DataFrame) -> DataFrame:
     """Inverse by block Gauss-Jordan elimination."""
     now = durable(a, "invert")
     for k in range(_steps(now)):
-        (p,) = _tile_work(now, k, k, lambda a: [np.linalg.inv(a)])
-        row = durable(B.each(now.where((F.col("bi") == k) & (F.col("bj") != k)), lambda b, p=p: [b.like(d=p @ b.dense())]), "pivot")
+        at = (F.col("bi") == k) & (F.col("bj") == k)
+        own = durable(B.each(now.where(at), lambda b: [b.like(d=np.linalg.inv(b.dense()))]), "pivot")
+        row = durable(_beside(now.where((F.col("bi") == k) & (F.col("bj") != k)), own, lambda b, p: [b.like(d=p.d @ b.dense())]), "row")
         col = now.where((F.col("bj") == k) & (F.col("bi") != k))
         update = B._paired(col, row, ["bj"], ["bi"], _product)
         inner = B.grouped(_minus(now.where((F.col("bi") != k) & (F.col("bj") != k)), update), ["bi", "bj"], lambda bs: [B._sum(bs, TIGHT)])
-        own = B.each(now.where((F.col("bi") == k) & (F.col("bj") == k)), lambda b, p=p: [b.like(d=p)])
-        left = B.each(col, lambda b, p=p: [b.like(d=-b.dense() @ p)])
-        now = durable(inner.unionByName(row).unionByName(own).unionByName(left), "invert")
+        left = _beside(col, own, lambda b, p: [b.like(d=-b.dense() @ p.d)])
+        old, now = now, durable(inner.unionByName(row).unionByName(own).unionByName(left), "invert")
+        forget(old)
     return now
 
 
+def _unconverged(what: str, value: float, steps: int) -> None:
+    warnings.warn(f"{what} has not met its tolerance after {steps} steps (at {value:.1e})", RuntimeWarning, stacklevel=3)
+
+
 def dot(x: DataFrame, y: DataFrame) -> float:
     both = x.join(y.select("b", F.col("x").alias("y")), "b")
     return float(both.agg(F.sum(F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t))).first()[0] or 0.0)
@@ -206,7 +254,7 @@ def combine(alpha: float, x: DataFrame, beta: float, y: DataFrame) -> DataFrame:
 
 def spectral_norm(op: Callable[[DataFrame], DataFrame], adjoint: Callable[[DataFrame], DataFrame], start: DataFrame, tol: float = 1e-3, maxit: int = 50) -> float:
     """Largest singular value of any operator on segments, by power iteration on its normal operator; stops on relative change."""
-    x, before = start, 0.0
+    x, before, change = start, 0.0, 0.0
     for _ in range(maxit):
         size = dot(x, x) ** 0.5
         if size == 0:
@@ -216,7 +264,8 @@ def spectral_norm(op: Callable[[DataFrame], DataFrame], adjoint: Callable[[DataF
         now = dot(y, y) ** 0.5
         if abs(now - before) <= tol * now:
             return now
-        before, x = now, durable(adjoint(y), "power")
+        before, x, change = now, durable(adjoint(y), "power"), abs(now - before) / now if now else 0.0
+    _unconverged("power iteration", change, maxit)
     return before
 
 
@@ -230,6 +279,8 @@ def refine(op: Callable[[DataFrame], DataFrame], solve: Callable[[DataFrame], Da
             break
         c = solve(r)
         x = durable(combine(-1.0, c, 0.0, c) if x is None else combine(1.0, x, -1.0, c), "refine")
+    else:
+        _unconverged("refinement", sizes[-1] / target if target else 0.0, maxit)
     return x, sizes
 
 
@@ -245,6 +296,17 @@ def eigen_batched(blocks: DataFrame) -> DataFrame:
     return B.measured(blocks, run, "bi int, bj int, trace double, squares double, residual double")
 
 
+def svd_batched(blocks: DataFrame) -> DataFrame:
+    """(bi, bj, k, squares, residual) of each block: its rank, the sum of squared singular values, and |M V - U S| over |M|."""
+
+    def run(b: Block) -> tuple:
+        m = b.dense()
+        u, s, vt = np.linalg.svd(m, full_matrices=False)
+        return b.bi, b.bj, int((s > 1e-12 * s[0]).sum()) if len(s) and s[0] > 0 else 0, float((s**2).sum()), float(np.linalg.norm(m @ vt.T - u * s) / (np.linalg.norm(m) or 1.0))
+
+    return B.measured(blocks, run, "bi int, bj int, k int, squares double, residual double")
+
+
 def eigen_ipt(diagonal: DataFrame, rest: DataFrame, eye: DataFrame, tol: float = 1e-12, maxit: int = 30) -> DataFrame:
     """(b, x): eigenvalues of diag + rest by the fixed point V <- I + G o (V diag(W) - W), W = rest V, G_ij = 1 / (d_i - d_j).
 
@@ -274,6 +336,8 @@ def eigen_ipt(diagonal: DataFrame, rest: DataFrame, eye: DataFrame, tol: float =
         change = B.norm_frobenius(B.grouped(_minus(new, v), ["bi", "bj"], lambda bs: [B._sum(bs, TIGHT)])).first()[0]
         v = new
         if not np.isfinite(change) or change <= tol or maxit <= 0 or (before is not None and change > 10 * before):
+            if not change <= tol:
+                _unconverged("eigenvalue iteration", change, maxit)
             break
         before = change
     return combine(1.0, d, 1.0, _diagonal(durable(B.matmul(rest, v), "ipt")))
@@ -297,19 +361,23 @@ def eigen_jacobi(m: DataFrame, tol: float = 1e-9, sweeps: int = 6) -> DataFrame:
     a = durable(m, "jacobi")
     whole = B.norm_frobenius(a).first()[0]
     n = _steps(a)
-    for _ in range(sweeps * max(1, n - 1)):
-        sizes = B.measured(a.where("bi < bj"), lambda b: (b.bi, b.bj, B.norm(b)), "bi int, bj int, s double")
-        ranked = sizes.orderBy(F.desc("s"), "bi", "bj").collect()  # one row for each pair of tiles
-        if sum(r["s"] ** 2 for r in ranked) ** 0.5 * 2**0.5 <= tol * whole:
+    left, steps = 0.0, sweeps * max(1, n - 1)
+    for step in range(steps + 1):
+        sizes = durable(B.measured(a.where("bi < bj"), lambda b: (b.bi, b.bj, B.norm(b)), "bi int, bj int, s double"), "sizes")
+        left = (2 * (sizes.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0)) ** 0.5
+        if left <= tol * whole:
+            break
+        if step == steps:
+            _unconverged("Jacobi sweeps", left / whole, steps)
             break
         used, pairs = set(), []
-        for r in ranked:
+        for r in sizes.orderBy(F.desc("s"), "bi", "bj").limit(4 * n).collect():  # a bounded look at the largest; the others wait
             if not {r["bi"], r["bj"]} & used and r["s"] > 0:
                 used |= {r["bi"], r["bj"]}
                 pairs.append((r["bi"], r["bj"], len(pairs)))
-        where = {b: g for p, q, g in pairs for b in (p, q)}
-        names = F.create_map(*[F.lit(x) for kv in where.items() for x in kv])
-        own = a.withColumn("g", names[F.col("bi")]).where(F.col("g") == names[F.col("bj")])
+        names = F.broadcast(a.sparkSession.createDataFrame([(b, g) for p, q, g in pairs for b in (p, q)], "b int, g int"))  # n rows at most
+        a = a.join(names.select(F.col("b").alias("bi"), F.col("g").alias("_gi")), "bi", "left").join(names.select(F.col("b").alias("bj"), F.col("g").alias("_gj")), "bj", "left")
+        own = a.withColumn("g", F.col("_gi")).where(F.col("g") == F.col("_gj"))
 
         def rotate(pdf: pd.DataFrame) -> pd.DataFrame:
             bs = {(b.bi, b.bj): b for b in (Block.of(r) for r in pdf[B.FIELDS].itertuples())}
@@ -322,7 +390,7 @@ def eigen_jacobi(m: DataFrame, tol: float = 1e-9, sweeps: int = 6) -> DataFrame:
             return B.frame([Block(i, j, offset[i], offset[j], at[i].stop - at[i].start, at[j].stop - at[j].start, d=v[at[i], at[j]]) for i in (p, q) for j in (p, q)])
 
         turn = own.groupBy("g").applyInPandas(rotate, B.SCHEMA)
-        idle = B.each(a.where((F.col("bi") == F.col("bj")) & names[F.col("bi")].isNull()), lambda b: [b.like(d=np.eye(b.nr))])
+        idle = B.each(a.where((F.col("bi") == F.col("bj")) & F.col("_gi").isNull()), lambda b: [b.like(d=np.eye(b.nr))])
         q = durable(turn.unionByName(idle), "rotation")
         a = durable(B.matmul(durable(B.matmul(B.transpose(q), a), "half"), q), "jacobi")
     return _diagonal(a)

@@ -1,7 +1,9 @@
 """Dense tensors as entry tables ten(i0, i1, i2[, i3], v), and as blocks for Tucker forms.
 
-Whole-tensor forms use joins and groupings for products and Gram matrices; only n_d x n_d matrices reach the driver.
-Blockwise forms cut the tensor once and work within tasks.
+Whole-tensor forms use joins and groupings for products and stacked QR for mode bases; only n_d x n_d triangles reach the driver.
+Blockwise forms cut the tensor once and work within tasks. Results are dense where the work is: expanded Tucker forms have
+every cell of the index box, inverse transforms every cell of a 2x2x2 cube with an entry, merged blocks every cell of a block with
+an entry; cells that the input lacks are zeros there.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import codecs
 from tilewright.functions.dense import Acc, trunc_rank
+from tilewright.operators import tall
 from tilewright.sources.storage import durable
 
 
@@ -92,23 +95,24 @@ def idwt3(bands: DataFrame) -> DataFrame:
     return out.select(*[(2 * F.col(f"b{d}") + F.shiftright("p", d).bitwiseAND(1)).cast("int").alias(f"i{d}") for d in range(3)], "v")
 
 
-def mode_gram(t: DataFrame, mode: int) -> np.ndarray:
-    """n_d x n_d Gram matrix of an unfolding, summed on Spark."""
-    names = indices(t)
-    rest = [n for d, n in enumerate(names) if d != mode]
-    right = t.select(*rest, F.col(names[mode]).alias("_k"), F.col("v").alias("_w"))
-    g = t.join(right, rest).groupBy(F.col(names[mode]).alias("a"), F.col("_k").alias("b")).agg(F.sum(F.col("v") * F.col("_w")).alias("g")).collect()
-    n = shape(t)[mode]
-    out = np.zeros((n, n))
-    for r in g:
-        out[r["a"], r["b"]] = r["g"]
-    return (out + out.T) / 2
+#: Modes above this are not for whole-tensor forms, whose n_d x n_d triangles reach the driver; blockwise forms have no such bound.
+MODE_LIMIT = 4096
 
 
 def mode_basis(t: DataFrame, mode: int) -> tuple[np.ndarray, np.ndarray]:
-    """Orthonormal basis (falling singular values) of a mode, and those values."""
-    e, v = np.linalg.eigh(mode_gram(t, mode))
-    return v[:, ::-1], np.sqrt(np.maximum(e[::-1], 0))
+    """Orthonormal basis (falling singular values) of a mode, and those values, by QR of the transposed unfolding.
+
+    Fibers of the mode are rows of a tall matrix, whose triangles are stacked over tasks: no self-join, and no squaring of small values.
+    """
+    names = indices(t)
+    n = shape(t)[mode]
+    if n > MODE_LIMIT:
+        raise ValueError(f"mode {mode} has {n} indices, more than {MODE_LIMIT}")
+    held = t.groupBy(*[x for d, x in enumerate(names) if d != mode]).agg(F.map_from_entries(F.collect_list(F.struct(F.col(names[mode]).cast("int"), F.col("v").cast("double")))).alias("e"))
+    rows = held.select(F.lit(n).alias("m"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.try_element_at("e", j), F.lit(0.0))).alias("x"))
+    found = tall.triangles(rows, []).first()
+    _, s, vt = np.linalg.svd(np.asarray(found["r"], float).reshape(n, n) if found else np.zeros((n, n)))
+    return vt.T, s
 
 
 def hosvd(t: DataFrame, acc: Acc, sequential: bool = False, ranks: Sequence[int] | None = None) -> tuple[DataFrame, list[np.ndarray]]:

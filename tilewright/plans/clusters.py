@@ -108,6 +108,21 @@ def _partition(spark, d):
     return sized.agg(F.sum(F.col("rn") * F.col("cn")).cast("long").alias("area"), (F.count("*") == F.countDistinct("rcid", "ccid")).alias("disjoint"))
 
 
+@query("e16_partition_coverage", f"SELECT CAST(power(count(*), 2) AS BIGINT) AS area, CAST(0 AS BIGINT) AS overlapping FROM ({P})")
+def _coverage(spark, d):
+    t = C.durable(tree(spark, d), "tree")
+    parts = C.durable(C.block_partition(t, C.admissible("weak")), "parts")
+    size = t.select("cid", "n")
+    sized = parts.join(size.select(F.col("cid").alias("rcid"), F.col("n").alias("rn")), "rcid").join(size.select(F.col("cid").alias("ccid"), F.col("n").alias("cn")), "ccid")
+    return sized.agg(F.sum(F.col("rn") * F.col("cn")).cast("long").alias("area")).join(C.overlaps(parts).agg(F.count("*").alias("overlapping")))  # one row each
+
+
+query("w5_multi_level", f"SELECT CAST(l AS INTEGER) AS level, count(*) AS n, CAST(power(2, l) AS BIGINT) AS clusters, CAST(CASE WHEN l = 0 THEN 1 ELSE power(2, p) END AS BIGINT) AS tops FROM ({P}), (VALUES (0, 0), (1, 0), (3, 1)) t(l, p) GROUP BY l, p")(
+    lambda s, d: C.collapsed(C.durable(tree(s, d), "tree"), [0, 1, 3]).where("level <= 3").groupBy("level").agg(F.sum("n").alias("n"), F.countDistinct("cid").alias("clusters"), F.count_distinct(F.coalesce("top", "cid")).alias("tops")))
+query("io9_export_clusters", f"{BOXES} SELECT cid, n, round(x0, 8) + 0.0 AS x0, round(y0, 8) + 0.0 AS y0, round(z0, 8) + 0.0 AS z0, round(x1, 8) + 0.0 AS x1, round(y1, 8) + 0.0 AS y1, round(z1, 8) + 0.0 AS z1 FROM b")(
+    lambda s, d: X.rounded(_grid_boxes(s, d).select("cid", "n", *[F.col(f"bb{m}")[k].alias(f"{a}{e}") for e, m in enumerate(("min", "max")) for k, a in enumerate("xyz")]), 8, *[f"{a}{e}" for e in (0, 1) for a in "xyz"]))
+
+
 @query("j5_range_lookup", f"WITH a AS ({X.A}) SELECT CAST(i // 25 AS BIGINT) AS cid, count(*) AS n, round(sum(v), 2) AS v FROM a GROUP BY 1")
 def _lookup(spark, d):
     a = X.matrix_a(spark, d)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tilewright.functions import kernels
-from tilewright.operators import coo
+from tilewright.functions import dense, kernels
+from tilewright.operators import coo, tall
 from tilewright.plans import fixtures as X
 from tilewright.plans.registry import query
 
@@ -55,11 +56,14 @@ _simple("e12_identity", "SELECT s_suppkey AS i, s_suppkey AS j, CAST(1 AS DOUBLE
 _simple("e14_single_precision", f"SELECT i, j, round(CAST(CAST(v * 1.1 AS FLOAT) AS DOUBLE), 3) + 0.0 AS v FROM ({A})", lambda s, d: coo.to_float(coo.scale(X.matrix_a(s, d), 1.1)), 3)
 
 
+_HALF = "CASE WHEN v = 0 THEN v ELSE round_even(v / step, 0) * step END"
+_simple("e14_half_precision", f"SELECT i, j, round({_HALF}, 4) + 0.0 AS v FROM (SELECT *, power(2.0::DOUBLE, greatest(floor(log2(abs(v))), -14) - 10) AS step FROM (SELECT i, j, v * 1.1::DOUBLE AS v FROM ({A})))", lambda s, d: coo.to_half(coo.scale(X.matrix_a(s, d), 1.1)))
+
+
 @query("e15_check_data", f"SELECT count(*) FILTER (WHERE v IS NULL OR isnan(v) OR isinf(v)) AS bad, count(*) AS n FROM (SELECT i, j, CASE WHEN v > 90 THEN CAST('inf' AS DOUBLE) ELSE v END AS v FROM ({A}))")
 def _check(spark, d):
     a = X.matrix_a(spark, d).withColumn("v", F.when(F.col("v") > 90, F.lit(float("inf"))).otherwise(F.col("v")))
-    bad = F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))
-    return a.agg(F.count(F.when(bad, 1)).alias("bad"), F.count("*").alias("n"))
+    return coo.bad_entries(a).agg(F.count("*").alias("bad")).join(a.agg(F.count("*").alias("n")))  # one row each
 
 
 @query("j1_kernel_entries", f"SELECT a.id AS i, b.id AS j, round(exp(-sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))), 8) AS v FROM ({X.POINTS}) a, ({X.POINTS}) b")
@@ -73,7 +77,7 @@ for _name, _formula in {
     "inverse_multiquadric": "1.0 / sqrt(1.0 + 4.0 * r * r)", "thin_plate": "CASE WHEN r > 1e-12 THEN 4.0 * r * r * ln(2.0 * r) ELSE 0.0 END", "rational_quadratic": "power(1.0 + r * r / (2.0 * 0.5 * 0.5 * 2.0), -2.0)", "helmholtz": "CASE WHEN r > 1e-12 THEN cos(2.0 * r) / r ELSE 0.0 END", "matern_half": "4.0 * exp(-r / 0.5)",
 }.items():
     query(f"k1_{_name}", f"SELECT a.id AS i, round(sum({_formula}), 4) + 0.0 AS v FROM (SELECT a.id, {_DIST} AS r FROM ({X.POINTS}) a, ({X.POINTS}) b) a GROUP BY a.id")(
-        lambda spark, d, k=_name: X.rounded(kernels.entries(X.points(spark, d), k, kernels.DEFAULTS[k]).groupBy("i").agg(F.sum("v").alias("v")), 4)
+        lambda spark, d, k=_name: X.rounded(kernels.sums(X.points(spark, d), k, kernels.DEFAULTS[k]), 4)
     )
 
 
@@ -92,6 +96,14 @@ def _poly(spark, d):
     return X.rounded(coo.expression_matrix(p, _TERMS, F.col("x")[0], F.col("x")[1]), 9)
 
 
+@query("k3_numerical_rank", "SELECT CAST(10 AS INTEGER) AS rank, round(sum(power(power(x, a) * power(y, b), 2)), 5) AS energy FROM (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), (VALUES " + ", ".join(f"({a}, {b})" for a, b in _TERMS) + ") t(a, b)")
+def _poly_rank(spark, d):
+    """Numerical rank of the feature matrix (as many as terms), and its squared norm from the singular values."""
+    p = X.points(spark, d).select(F.col("id").alias("i"), "x")
+    sv = np.linalg.svd(tall.tsqr(coo.expression_matrix(p, _TERMS, F.col("x")[0], F.col("x")[1]), len(_TERMS)), compute_uv=False)
+    return spark.createDataFrame([(dense.trunc_rank(sv, dense.Acc(rel=1e-10, norm="spectral")), round(float((sv**2).sum()), 5))], "rank int, energy double")
+
+
 @query("k4_codec_sizes", "SELECT CAST(event_id AS BIGINT) AS id, CAST(greatest(1, ceil(-log2(e))) AS INTEGER) AS mantissa, CAST(ceil((1 + greatest(1, ceil(-log2(e))) + 11) / 8.0) * 8 AS INTEGER) AS padded FROM (SELECT event_id, power(10.0, -3 - event_id % 8) AS e FROM events)")
 def _codec_sizes(spark, d):
     e = X.table(spark, d, "events").select(F.col("event_id").cast("long").alias("id"), F.pow(F.lit(10.0), F.lit(-3) - F.pmod("event_id", F.lit(8))).alias("e"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,35 +78,34 @@ query("io4_tensor4_round_trip", f"SELECT i0, i1, i2, i3, round(v, 2) AS v FROM (
 @query("io3_raw_tensor", f"SELECT i0, i1, i2, round(v, 2) AS v FROM ({X.T3})")
 def _raw(spark, d):
     """Slabs of the last index become flat column-major float64 data and are read back."""
-    slab = X.tensor3(spark, d).groupBy(F.col("i2").alias("first")).agg(F.collect_list(F.struct("i0", "i1", "v")).alias("cells"))
-
-    @F.udf("binary")
-    def flat(cells):
-        x = np.zeros((8, 8))
-        for c in cells:
-            x[c["i0"], c["i1"]] = c["v"]
-        return S.raw_bytes(x)
-
-    stored = S.round_trip(slab.select("first", flat("cells").alias("content")), "raw")
+    stored = S.round_trip(S.raw_slabs(X.tensor3(spark, d), 8, 8), "raw")
     return X.rounded(S.read_raw_tensor(stored, 8, 8).where("v <> 0"), 2)  # absent entries are stored as zeros
 
 
 query("io6_read_points", f"SELECT id, round(x, 8) + 0.0 AS x, round(y, 8) + 0.0 AS y, round(z, 8) + 0.0 AS z FROM ({X.POINTS})")(lambda s, d: X.rounded(X.points(s, d).select("id", *[F.col("x")[k].alias(n) for k, n in enumerate("xyz")]), 8, "x", "y", "z"))
 
 
-@query("io5_tensor_cube", "SELECT CAST(t.k AS BIGINT) AS id, round(CAST(t.k % n AS DOUBLE) / (n - 1), 9) AS x, round(CAST((t.k // n) % n AS DOUBLE) / (n - 1), 9) AS y, round(CAST(t.k // (n * n) AS DOUBLE) / (n - 1), 9) AS z FROM (SELECT count(*) AS n FROM nation) c, range(25 * 25 * 25) t(k)")
+#: Sides of made cubes: as many cells as parts, about.
+_SIDE = "SELECT CAST(floor(power(count(*), 1 / 3.0) + 0.5) AS BIGINT) + 1 AS n FROM part"
+
+
+def _side(spark, d):
+    return int(X.parts(spark, d).count() ** (1 / 3) + 0.5) + 1
+
+
+@query("io5_tensor_cube", f"SELECT k AS id, round(CAST(k % n AS DOUBLE) / (n - 1), 9) AS x, round(CAST((k // n) % n AS DOUBLE) / (n - 1), 9) AS y, round(CAST(k // (n * n) AS DOUBLE) / (n - 1), 9) AS z FROM (SELECT n, unnest(range(n * n * n)) AS k FROM ({_SIDE}))")
 def _cube(spark, d):
-    n = X.table(spark, d, "nation").count()
-    return X.rounded(R.tensor_cube(spark, n).select("id", *[F.col("x")[k].alias(m) for k, m in enumerate("xyz")]), 9, "x", "y", "z")
+    return X.rounded(R.tensor_cube(spark, _side(spark, d)).select("id", *[F.col("x")[k].alias(m) for k, m in enumerate("xyz")]), 9, "x", "y", "z")
 
 
 for _shape in ("cube", "sphere", "ball", "cylinder", "jitter"):
     query(f"io5_random_{_shape}", "SELECT count(*) AS n, true AS inside FROM supplier")(lambda s, d, g=_shape: R.points_inside(R.random_points(s, g, X.suppliers(s, d).count(), 1), g))
 
 
-for _kind, _f in {"iota": "i0 + n * i1 + n * n * i2", "coulomb": "1 / sqrt(power(i0 + 1.0, 2) + power(i1 + 1.0, 2) + power(i2 + 1.0, 2))", "sincos": "sin(i0 + 1.0) * cos(i1 + 2.0) + sin(i2 * 0.5)", "cp": "cos(i0 * 0.3) * cos(i1 * 0.5) * cos(i2 * 0.7) + sin(i0 + 0.1) * sin(i1 + 0.2) * sin(i2 + 0.3)"}.items():
-    query(f"io8_tensor_{_kind}", f"SELECT CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, round(CAST({_f} AS DOUBLE), 8) + 0.0 AS v FROM (SELECT k % n AS i0, (k // n) % n AS i1, k // (n * n) AS i2, n FROM (SELECT count(*) AS n FROM nation), range(25 * 25 * 25) t(k))")(
-        lambda s, d, k=_kind: X.rounded(R.made_tensor(s, k, X.table(s, d, "nation").count()), 8)
+_CP = " + ".join("(" + " * ".join(f"(((i{m} * 7919 + {104729 * r + 1299709 * m + 31}) % 10007) / 10007.0::DOUBLE)" for m in range(3)) + ")" for r in range(R.CP_RANK))
+for _kind, _f in {"iota": "i0 + n * i1 + n * n * i2", "coulomb": "1 / sqrt(power(i0 + 1.0, 2) + power(i1 + 1.0, 2) + power(i2 + 1.0, 2))", "sincos": "sin(i0 + 1.0) * cos(i1 + 2.0) + sin(i2 * 0.5)", "cp": _CP}.items():
+    query(f"io8_tensor_{_kind}", f"SELECT CAST(i0 AS INTEGER) AS i0, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, round(CAST({_f} AS DOUBLE), 8) + 0.0 AS v FROM (SELECT k % n AS i0, (k // n) % n AS i1, k // (n * n) AS i2, n FROM (SELECT n, unnest(range(n * n * n)) AS k FROM ({_SIDE})))")(
+        lambda s, d, k=_kind: X.rounded(R.made_tensor(s, k, _side(s, d)), 8)
     )
 
 _SV = f"SELECT CAST(i // 25 AS INTEGER) AS b, row_number() OVER (PARTITION BY i // 25 ORDER BY s DESC, i) - 1 AS k, s FROM (SELECT i, sqrt(sum(v * v)) AS s FROM ({A}) GROUP BY i)"

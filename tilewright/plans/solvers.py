@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.dense import TIGHT, Acc
 from tilewright.operators import blocks as B
-from tilewright.operators import coo
+from tilewright.operators import clusters as C
+from tilewright.operators import hmatrix as H
 from tilewright.operators import solvers as S
 from tilewright.plans import fixtures as X
 from tilewright.plans.registry import query
@@ -19,9 +20,9 @@ _PI = "SELECT CAST(vec_id AS BIGINT) AS i, CAST(vec_id % 10 + 1 AS DOUBLE) AS v
 
 
 def side(points):
-    """Tile side: a quarter of the points, at most 512, so that the number of steps stays small."""
+    """Tile side: a quarter of the points, at most 1024, so that the number of steps stays small."""
     n = points.agg(F.max("id")).first()[0] + 1
-    return n, max(1, min(512, -(-n // 4)))
+    return n, max(1, min(1024, -(-n // 4)))
 
 
 def system(spark, d):
@@ -88,21 +89,64 @@ def _f2l(s, d):
     return _out(S.lu_solve(S.lu_blocks(_tlr(m, TIGHT), TIGHT), b), tile)
 
 
+def _hodlr(s, d):
+    """(I + K as a HODLR matrix over clusters, b) for the system's kernel K."""
+    m, tile, _, _, b = _case(s, d)
+    h = H.build(C.bisect(X.points(s, d), 64), C.admissible("offdiag"), Acc(rel=1e-12), lambda x, y: 0.01 * np.exp(-((x[:, None] - y[None]) ** 2).sum(axis=2)))
+    return H.add_identity(h), durable(B.flat(b, tile), "b")
+
+
 @query("f4_lu_hodlr", _PI)
 def _f4(s, d):
-    """Every off-diagonal block low-rank, Schur complements truncated."""
-    m, tile, _, _, b = _case(s, d)
-    return _out(S.lu_solve(S.lu_blocks(_tlr(m, Acc(rel=1e-11)), Acc(rel=1e-11)), b), tile)
+    """2 x 2 recursion over clusters; b comes from the dense blocks."""
+    h, b = _hodlr(s, d)
+    return X.rounded(H.hodlr_solve(H.hodlr_factors(h), b), 4)
+
+
+@query("f9_refine_hodlr", _PI)
+def _f9h(s, d):
+    """A HODLR factorisation of low accuracy corrects the residual of the dense product, step by step."""
+    m, tile, n, _, b = _case(s, d)
+    h = H.build(C.bisect(X.points(s, d), 64), C.admissible("offdiag"), Acc(rel=1e-4), lambda x, y: 0.01 * np.exp(-((x[:, None] - y[None]) ** 2).sum(axis=2)))
+    f = H.hodlr_factors(H.add_identity(h))
+    x, _ = S.refine(lambda v: B.matvec(m, v), lambda r: B.segments(H.hodlr_solve(f, B.flat(r, tile)), tile, n), b, tol=1e-9)
+    return _out(x, tile)
 
 
-@query("f3_ldu", f"SELECT count(*) AS cells, true AS ok FROM ({X.POINTS}) a, ({X.POINTS}) b")
+@query("f3_ldu", f"SELECT count(*) AS cells, 0.0::DOUBLE AS differs FROM ({X.POINTS}) a, ({X.POINTS}) b")
 def _f3(s, d):
     m, _, _ = system(s, d)
     f, diag = S.ldu_blocks(m)
     eye = B.each(diag, lambda b: [b.like(d=np.eye(b.nr))])
     made = B.matmul(durable(B.matmul(f.where("bi > bj").unionByName(eye), diag), "ld"), f.where("bi < bj").unionByName(eye))
     both = B.to_coo(m).join(B.to_coo(made).withColumnRenamed("v", "w"), ["i", "j"])
-    return both.agg(F.count("*").alias("cells"), (F.max(F.abs(F.col("v") - F.col("w"))) < 1e-10).alias("ok"))
+    return both.agg(F.count("*").alias("cells"), F.round(F.max(F.abs(F.col("v") - F.col("w"))), 9).alias("differs"))
+
+
+@query("f6_ldu_solve", _PI)
+def _f6ldu(s, d):
+    m, tile, _, _, b = _case(s, d)
+    return _out(S.ldu_solve(*S.ldu_blocks(m), b), tile)
+
+
+@query("f6_ldu_solve_transposed", _PI)
+def _f6ldut(s, d):
+    m, tile, _, _, b = _case(s, d)
+    return _out(S.ldu_solve(*S.ldu_blocks(m), b, transposed=True), tile)  # the system is symmetric
+
+
+_BLOCKS = "SELECT CAST(vec_id AS BIGINT) AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0 AS v FROM embeddings"
+for _side in ("left", "right"):
+    for _lower in (True, False):
+        @query(f"f5_solve_blocks_{_side}_{'lower' if _lower else 'upper'}", _BLOCKS if _side == "left" else f"SELECT j AS i, i AS j, v FROM ({_BLOCKS})")
+        def _f5b(s, d, side=_side, lower=_lower):
+            """Right sides of 64 columns: all embeddings, multiplied by the triangle and solved again."""
+            m, tile, n = system(s, d)
+            tri = durable(B.each(m, _triangle(lower, False)), "triangle")
+            x = B.to_blocks(X.features(s, d), n, 64, tile, 64)
+            if side == "left":
+                return X.rounded(B.to_coo(S.substitute_blocks(tri, durable(B.matmul(tri, x), "b"), lower, unit=False)), 6)
+            return X.rounded(B.to_coo(S.substitute_right(tri, durable(B.matmul(B.transpose(x), tri), "b"), lower, unit=False)), 6)
 
 
 def _triangle(lower, unit):
@@ -142,28 +186,27 @@ def _f7(s, d):
     return _out(B.matvec(S.invert(m), b), tile)
 
 
-@query("f7_pseudo_invert", f"SELECT DISTINCT CAST(i // 64 AS INTEGER) AS bi, CAST(j // 32 AS INTEGER) AS bj, true AS ok FROM ({X.DENSE})")
+@query("f7_pseudo_invert", f"SELECT CAST(i // 64 AS INTEGER) AS bi, CAST(j // 32 AS INTEGER) AS bj, round(sum(v * v), 6) AS energy FROM ({X.DENSE}) GROUP BY 1, 2")
 def _f7p(s, d):
-    return B.measured(tiles(s, d), lambda b: (b.bi, b.bj, bool(np.allclose(b.d @ np.linalg.pinv(b.d) @ b.d, b.d, atol=1e-9))), "bi int, bj int, ok boolean")
+    """Squared norm of A A^+ A, which is that of A."""
+    return X.rounded(B.measured(tiles(s, d), lambda b: (b.bi, b.bj, float(np.linalg.norm(b.d @ np.linalg.pinv(b.d) @ b.d) ** 2)), "bi int, bj int, energy double"), 6, "energy")
 
 
-@query("f8_inverse_error", f"SELECT count(*) AS n, true AS ok FROM ({X.POINTS})")
+@query("f8_inverse_error", f"SELECT count(*) AS n, 0.5::DOUBLE AS error FROM ({X.POINTS})")
 def _f8(s, d):
     m, tile, n = system(s, d)
-    inv = S.invert(m)
+    inv = durable(B.each(S.invert(m), lambda b: [b.like(d=0.5 * b.d)]), "half")  # of half the inverse, the error is half the identity
     op = lambda x: S.combine(1.0, x, -1.0, B.matvec(m, durable(B.matvec(inv, x), "ax")))
     error = S.spectral_norm(op, op, _truth(s, d, tile, n), maxit=4)
-    return X.points(s, d).agg(F.count("*").alias("n"), F.lit(bool(error < 1e-9)).alias("ok"))
+    return X.points(s, d).agg(F.count("*").alias("n"), F.lit(round(error, 8)).alias("error"))
 
 
 @query("f1_spectral_norm", f"SELECT round(sqrt((SELECT sum(v * v) FROM ({X.SUPP})) * (SELECT sum(v * v) FROM ({X.PART}))) / 1e6, 3) AS norm")
 def _f1(s, d):
-    """Of the outer product of two vectors, whose norm is known: through entry-table products."""
-    u, v = X.suppliers(s, d), X.parts(s, d)
-    a = durable(u.select("i", F.col("v").alias("u")).join(v.select(F.col("i").alias("j"), F.col("v").alias("w")), how="cross").select("i", "j", (F.col("u") * F.col("w")).alias("v")), "outer")
-    pack = lambda t: t.select(F.col("i").cast("int").alias("b"), F.array("v").alias("x"))
-    open_ = lambda t: t.select(F.col("b").cast("long").alias("i"), F.col("x")[0].alias("v"))
-    norm = S.spectral_norm(lambda x: pack(coo.matvec(a, open_(x))), lambda x: pack(coo.matvec(coo.transpose(a), open_(x))), pack(v), tol=1e-13)
+    """Of the outer product of two vectors, whose norm is known, as an operator that is never formed: u (v . x)."""
+    pack = lambda t: durable(t.select(F.col("i").cast("int").alias("b"), F.array("v").alias("x")), "vector")
+    u, v = pack(X.suppliers(s, d)), pack(X.parts(s, d))
+    norm = S.spectral_norm(lambda x: S.combine(S.dot(v, x), u, 0.0, u), lambda y: S.combine(S.dot(u, y), v, 0.0, v), v, tol=1e-13)
     return s.createDataFrame([(round(norm / 1e6, 3),)], "norm double")
 
 
@@ -171,7 +214,7 @@ for _single in (False, True):
     @query(f"f9_refine_{'single' if _single else 'double'}", _PI)
     def _f9(s, d, single=_single):
         m, tile, _, _, b = _case(s, d)
-        f = S.lu_blocks(m)
+        f = S.lu_blocks(m, single=single)
         x, _ = S.refine(lambda v: B.matvec(m, v), lambda r: S.lu_solve(f, r, single=single), b, tol=1e-10)
         return _out(x, tile)
 
@@ -187,10 +230,15 @@ def _u3(s, d):
     return _out(x, tile)
 
 
-@query("f10_eigen_batched", f"WITH g AS (SELECT CAST(a.i // 64 AS INTEGER) AS bi, CAST(a.j // 32 AS INTEGER) AS bj, a.j AS p, b.j AS q, sum(a.v * b.v) AS v FROM ({X.DENSE}) a JOIN ({X.DENSE}) b ON a.i = b.i AND a.j // 32 = b.j // 32 GROUP BY 1, 2, 3, 4) SELECT bi, bj, round(sum(v) FILTER (WHERE p = q), 6) AS trace, round(sum(v * v), 6) AS squares, true AS ok FROM g GROUP BY 1, 2")
+@query("f10_eigen_batched", f"WITH g AS (SELECT CAST(a.i // 64 AS INTEGER) AS bi, CAST(a.j // 32 AS INTEGER) AS bj, a.j AS p, b.j AS q, sum(a.v * b.v) AS v FROM ({X.DENSE}) a JOIN ({X.DENSE}) b ON a.i = b.i AND a.j // 32 = b.j // 32 GROUP BY 1, 2, 3, 4) SELECT bi, bj, round(sum(v) FILTER (WHERE p = q), 6) AS trace, round(sum(v * v), 6) AS squares, 0.0::DOUBLE AS residual FROM g GROUP BY 1, 2")
 def _f10(s, d):
     e = S.eigen_batched(tiles(s, d))
-    return X.rounded(e, 6, "trace", "squares").select("bi", "bj", "trace", "squares", (F.col("residual") < 1e-12).alias("ok"))
+    return X.rounded(X.rounded(e, 6, "trace", "squares"), 11, "residual")
+
+
+@query("f10_svd_batched", f"SELECT CAST(i // 64 AS INTEGER) AS bi, CAST(j // 32 AS INTEGER) AS bj, CAST(least(count(DISTINCT i), count(DISTINCT j)) AS INTEGER) AS k, round(sum(v * v), 6) AS squares, 0.0::DOUBLE AS residual FROM ({X.DENSE}) GROUP BY 1, 2")
+def _f10s(s, d):
+    return X.rounded(X.rounded(S.svd_batched(tiles(s, d)), 6, "squares"), 11, "residual")
 
 
 _EIG = f"SELECT count(*) AS n, round(sum(v) FILTER (WHERE i = j), 4) AS trace, round(sum(v * v) / 1e3, 4) AS squares FROM (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN a.id + 1.0 ELSE 0.05 * exp(-(power(a.x-b.x,2) + power(a.y-b.y,2) + power(a.z-b.z,2))) / n END AS v FROM ({X.POINTS}) a, ({X.POINTS}) b, (SELECT count(*) AS n FROM embeddings))".replace("SELECT count(*) AS n, round", "SELECT CAST(sqrt(count(*)) AS BIGINT) AS n, round")

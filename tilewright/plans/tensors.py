@@ -11,8 +11,15 @@ from tilewright.plans import fixtures as X
 from tilewright.plans.registry import query
 
 T3, T4 = X.T3, X.T4
-WHOLE = f"SELECT i0, i1, i2, round(v / 997.0, 4) + 0.0 AS v FROM ({T3})"
-WHOLE4 = f"SELECT i0, i1, i2, i3, round(v / 997.0, 4) + 0.0 AS v FROM ({T4})"
+def whole(entries: str, modes: int = 3, side: int | None = None) -> str:
+    """SQL of a dense result: every cell of the index box, or of each cube of this side that has an entry; absent ones are zero."""
+    grids = ", ".join(f"g{m} AS (SELECT CAST(unnest(range({f'(max(i{m}) // {side} + 1) * {side}' if side == 2 else f'max(i{m}) + 1'})) AS INTEGER) AS i{m} FROM t)" for m in range(modes))
+    names, of = ", ".join(f"i{m}" for m in range(modes)), ", ".join(f"g{m}" for m in range(modes))
+    held = f" WHERE ({', '.join(f'i{m} // {side}' for m in range(modes))}) IN (SELECT ({', '.join(f'i{m} // {side}' for m in range(modes))}) FROM t)" if side else ""
+    return f"WITH t AS ({entries}), {grids}, g AS (SELECT {names} FROM {of}) SELECT {names}, round(coalesce(v, 0) / 997.0, 4) + 0.0 AS v FROM (SELECT * FROM g{held}) LEFT JOIN t USING ({names})"
+
+
+WHOLE, WHOLE4 = whole(T3), whole(T4, 4)
 
 
 def t3(s, d):
@@ -42,7 +49,7 @@ def _m(s, d):
 query("t3_mode_product", f"SELECT i0, i1, m.i AS i2, round(sum(v / 997.0 * w), 4) AS v FROM ({T3}) t JOIN ({_M}) m ON m.j = t.i2 GROUP BY 1, 2, 3")(lambda s, d: X.rounded(T.mode_product(t3(s, d), _m(s, d), 2)))
 query("t3_mode_product_4d", f"SELECT i0, m.i AS i1, i2, i3, round(sum(v / 997.0 * w), 4) AS v FROM ({T4}) t JOIN ({_M}) m ON m.j = t.i1 GROUP BY 1, 2, 3, 4")(lambda s, d: X.rounded(T.mode_product(t4(s, d), _m(s, d), 1)))
 query("t4_dwt3", f"SELECT CAST(i0 // 2 AS INTEGER) AS b0, CAST(i1 // 2 AS INTEGER) AS b1, CAST(i2 // 2 AS INTEGER) AS b2, CAST(k AS INTEGER) AS band, round(sum(CASE WHEN ((i0 % 2) * (k % 2) + (i1 % 2) * ((k // 2) % 2) + (i2 % 2) * (k // 4)) % 2 = 0 THEN v ELSE -v END / 997.0), 4) + 0.0 AS v FROM ({T3}), range(8) t(k) GROUP BY 1, 2, 3, 4")(lambda s, d: X.rounded(T.dwt3(t3(s, d))))
-query("t4_idwt3", WHOLE)(lambda s, d: X.rounded(T.idwt3(T.dwt3(t3(s, d)))))
+query("t4_idwt3", whole(T3, side=2))(lambda s, d: X.rounded(T.idwt3(T.dwt3(t3(s, d)))))
 _TIGHT = Acc(rel=1e-13)
 query("t5_hosvd", WHOLE)(lambda s, d: _back(T.hosvd(t3(s, d), _TIGHT, ranks=(8, 8, 12))))
 query("t5_hosvd_4d", WHOLE4)(lambda s, d: _back(T.hosvd(t4(s, d), _TIGHT, ranks=(8, 8, 12, 4))))
@@ -94,9 +101,9 @@ def _cp(s, d):
     return X.rounded(T.cp_entries(s, T.cp_als(outer, 1)))
 
 
-query("b5_split_and_merge", WHOLE)(lambda s, d: X.rounded(T.merge_tensor(T.split_tensor(t3(s, d), 5))))
-query("t9_tca_full", WHOLE)(lambda s, d: X.rounded(T.merge_tensor(T.blockwise_tucker(T.split_tensor(t3(s, d), 4), 1e-9, T.local_tca))))
-query("t13_blockwise_tucker", WHOLE)(lambda s, d: X.rounded(T.merge_tensor(T.blockwise_tucker(T.split_tensor(t3(s, d), 4), 1e-9))))
+query("b5_split_and_merge", whole(T3, side=5))(lambda s, d: X.rounded(T.merge_tensor(T.split_tensor(t3(s, d), 5))))
+query("t9_tca_full", whole(T3, side=4))(lambda s, d: X.rounded(T.merge_tensor(T.blockwise_tucker(T.split_tensor(t3(s, d), 4), 1e-9, T.local_tca))))
+query("t13_blockwise_tucker", whole(T3, side=4))(lambda s, d: X.rounded(T.merge_tensor(T.blockwise_tucker(T.split_tensor(t3(s, d), 4), 1e-9))))
 
 
 def _block_error(s, d, f, bound):

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; made here where it is unset)."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir; made here where it is unset and all runs on this machine)."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -29,14 +31,29 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame | None) -> None:
+    """Remove a durable table that nothing reads any more, so that loops do not fill the shared folder."""
+    files = table.inputFiles() if table is not None else []
+    if files:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_triplets(spark: SparkSession, path: str) -> DataFrame:
     """coo from 1-based 'row,col,value' lines after a header line and a line with the number of rows.
 
-    Blank lines are skipped; a line without three fields is an error, raised by the task that meets it.
+    Blank lines are skipped; any other line that is not three numbers is an error, raised by the task that meets it. Each file has its own
+    two lines at the start, which are told by their place.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
+    kept = lines.where(F.trim("value") != "")
+    # a header names columns; the count is the only line of one whole number, and only the first such line of a file is one
+    alone = F.col("value").rlike(r"^\s*[0-9]+\s*$")
+    named = F.col("value").rlike(r"^\s*[A-Za-z#%]")
+    heads = kept.where(alone | named).groupBy("file").agg(F.min_by("at", F.when(alone, F.struct("block", "at"))).alias("count_at"), F.min_by("at", F.when(named, F.struct("block", "at"))).alias("name_at"))
+    data = kept.join(F.broadcast(heads), "file", "left").where(~(F.col("at").eqNullSafe(F.col("count_at")) | F.col("at").eqNullSafe(F.col("name_at"))))
     fields = F.split("value", ",")
-    data = lines.where(F.col("value").rlike(r"^\s*[0-9+-]") & ~F.col("value").rlike(r"^\s*[0-9]+\s*$"))
     checked = F.when(F.size(fields) == 3, fields).otherwise(F.raise_error(F.concat(F.lit("not three fields: "), F.col("value"))).cast("array<string>"))
     f = data.select(checked.alias("f"))
     return f.select((F.trim(F.col("f")[0]).cast("long") - 1).alias("i"), (F.trim(F.col("f")[1]).cast("long") - 1).alias("j"), F.trim(F.col("f")[2]).cast("double").alias("v"))
@@ -53,11 +70,6 @@ def round_trip(a: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return a.sparkSession.read.schema(a.schema).parquet(path)
 
 
-def write_raw_tensor(blocks: DataFrame, path: str) -> None:
-    """One row for each (b2, data): slabs of the last index as little-endian float64, first index fastest."""
-    blocks.select("b2", "data").write.parquet(path)
-
-
 def raw_bytes(values: np.ndarray) -> bytes:
     return np.asarray(values, "<f8").ravel(order="F").tobytes()
 
@@ -77,6 +89,28 @@ def read_raw_tensor(files: DataFrame, n0: int, n1: int, content: str = "content"
     return files.select("first", content).mapInPandas(run, "i0 int, i1 int, i2 int, v double")
 
 
+def raw_slabs(t: DataFrame, n0: int, n1: int) -> DataFrame:
+    """(first, content): a flat column-major float64 slab for each last index of ten3."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((n0, n1))
+        x[pdf["i0"].to_numpy(), pdf["i1"].to_numpy()] = pdf["v"].to_numpy()
+        return pd.DataFrame({"first": [int(pdf["i2"].iloc[0])], "content": [raw_bytes(x)]})
+
+    return t.groupBy("i2").applyInPandas(run, "first int, content binary")
+
+
+def read_raw_files(spark: SparkSession, path: str, n0: int, n1: int, n2: int) -> DataFrame:
+    """ten3 of flat column-major little-endian float64 files, whole tensors of the given shape; the length must match.
+
+    A file is one row of Spark's reader, so it has at most 2 GB; larger tensors come as slabs (read_raw_tensor).
+    """
+    files = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") == 8 * n0 * n1 * n2
+    checked = F.when(fits, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("wrong length: "), F.col("path"))).cast("binary"))
+    return read_raw_tensor(files.select(F.lit(0).alias("first"), checked.alias("content")), n0, n1)
+
+
 def read_bench_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row for each log under path: names from 'app--program--framework--blas.log', and the last value of each line kind.
 
