@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space, and the controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Up to so many edges, a round of the components job broadcasts its sums by node.
+BROADCAST_EDGES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,6 +48,28 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame | None) -> None:
+    """Remove a durable table that nothing reads any more, so that loops do not fill the shared folder."""
+    files = table.inputFiles() if table is not None else []
+    if files:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batch: pa.RecordBatch, column: int | str, rows: int = 256, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and about so many bytes of a column, so that what a part is turned into stays bounded."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and (i - start >= rows or total + n > size):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value as one variable: a Column that is used many times would be computed as often."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -119,19 +145,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     start = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
     start = durable(start, "cc-edges")
-    now, seen = start.where("a <> b"), None
+    now, seen, last = start.where("a <> b"), None, None
+    size = now.count()
     for _ in range(max_rounds):
-        both = now.union(now.select("b", "a")).distinct()
+        held = F.broadcast if size <= BROADCAST_EDGES else (lambda t: t)  # at most twice as many nodes as edges; beyond it, hot nodes are split by adaptive execution
+        both = now.union(now.select("b", "a"))  # twice the same edge does no harm within a round
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", _minimum(F.col("a"), F.col("m")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(held(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        small = down.join(held(least), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         now = durable(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "cc-round")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        forget(last)
+        last = now
         if mark == seen:
             break
-        seen = mark
+        seen, size = mark, mark[0]
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     nodes = start.select("a").union(start.select("b")).distinct().select(F.col("a").alias("node"))

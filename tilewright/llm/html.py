@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tilewright.llm.common import slices
+
 #: Elements that hold no article text; elements that can hold a region; elements of a head, which any other one ends;
 #: inline elements, which do not end a line.
 SKIP = frozenset("nav footer aside form script style noscript template button select textarea iframe svg canvas dialog menu head title object".split())
@@ -250,8 +252,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for batch in slices(whole, html):
                 found = [main_text(x) for x in batch.column(html).to_pylist()]
                 kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "n_chars")}
                 yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*kept, "text", "n_chars"])

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tilewright.llm.common import slices
+
 #: Frame length in samples, also the unit of padding; the padding byte; samples a second.
 FRAME, PAD, RATE = 576, 255, 8000
 BLOCK = 512
@@ -102,8 +104,7 @@ def encode(docs: DataFrame, text: str = "text", slice_rows: int = 256) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(i, slice_rows)
+            for batch in slices(whole, text, slice_rows):
                 raw = [(x or "").encode() for x in batch.column(text).to_pylist()]
                 yield _extend(batch, {
                     "n_bytes": pa.array([len(x) for x in raw], pa.int64()),
@@ -126,8 +127,7 @@ def describe(media: DataFrame, column: str = "media", slice_rows: int = 256) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(i, slice_rows)
+            for batch in slices(whole, column, slice_rows):
                 raw = [from_wav(x) for x in batch.column(column).to_pylist()]
                 found = [fingerprint(np.frombuffer(x, dtype=np.uint8)) for x in raw]
                 yield _extend(batch, {

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import durable
+from tilewright.llm.common import durable, forget
 
 MARGINS = ("_m_source", "_m_lang", "_m_topic")
 MAX_CELLS = 200_000
@@ -224,7 +224,7 @@ def _warn(off: float) -> None:
 def rake_on_spark(cells: DataFrame, goals: list[DataFrame]) -> DataFrame:
     """As rake, for cells(margins, tokens) too many for the driver; goals are (margin, goal) tables."""
     total = cells.agg(F.sum("tokens")).first()[0]
-    x = cells.withColumn("x", F.col("tokens") / F.lit(total))
+    x, last = cells.withColumn("x", F.col("tokens") / F.lit(total)), None
     for _ in range(ROUNDS):
         x = x.withColumn("off", F.lit(0.0))
         for m, goal in zip(MARGINS, goals, strict=True):
@@ -232,6 +232,8 @@ def rake_on_spark(cells: DataFrame, goals: list[DataFrame]) -> DataFrame:
             now = now.select(m, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("f"), F.abs(F.col("now") - F.col("goal")).alias("d"))
             x = x.join(now, m).withColumns({"x": F.col("x") * F.col("f"), "off": F.greatest("off", "d")}).drop("f", "d")
         x = durable(x, "rake")
+        forget(last)
+        last = x
         off = x.agg(F.max("off")).first()[0]
         if off < CLOSE_TO:
             break

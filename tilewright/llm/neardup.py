@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import connected_components, durable
+from tilewright.llm.common import connected_components, durable, slices
 
 SHINGLE, TREES, STEP = 5, 24, 4
 #: Depths of the trees in steps of STEP values; only regions above REGION go beyond the first.
-DEPTHS = (1, 3, 6)
+DEPTHS = (1, 4)
 VALUES = TREES * STEP
 REGION, FEW = 512, 8
 SAMPLE = 512
@@ -155,8 +155,7 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
+            for b in slices(whole, 2, 1024):
                 sets = shingle_sets(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
@@ -343,8 +342,7 @@ def full_sets(need: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for b in slices(whole, 1, 512):
                 sets = shingle_sets(b.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -369,6 +367,8 @@ def second_look(members: DataFrame, parts: DataFrame, classes: DataFrame, docs:
     looked = members.join(parts, members["cls"] == parts["node"], "left").select("region", "cls", "sig", F.coalesce("component", "cls").alias("component"))
     mixed = looked.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi and n > {FEW}").select("region")
     looked = durable(looked.join(mixed, "region", "left_semi"), "mixed")
+    if looked.isEmpty():
+        return looked.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     need = looked.select("cls").distinct().join(classes.select("cls", "doc_id", "text_key"), "cls")
     sets = full_sets(need, docs, key, text)
     return durable(_pairs_of(looked.join(sets, "cls").select("region", "cls", "sig", "component", "members"), lambda s, c, m: _apart(s, c, m, percent)), "links")
@@ -386,7 +386,10 @@ def whole_look(whole: DataFrame, parts: DataFrame, classes: DataFrame, docs: Dat
     size = looked.groupBy("region", "component").agg(F.count("*").alias("n"))
     largest = size.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     largest = largest.where("n > most").select("region", "main", F.ceil(F.col("n") / half).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / half).cast("int").alias("groups"))
-    mixed = durable(looked.join(sized(durable(largest, "largest")), "region"), "mixed")
+    largest = durable(largest, "largest")
+    if largest.isEmpty():
+        return looked.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    mixed = durable(looked.join(sized(largest), "region"), "mixed")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     ask = mixed.where("component <> main").select("region", "cls", "component", F.lit(True).alias("asks"), mine("groups").alias("g"), all_of("blocks").alias("b"))
@@ -398,8 +401,11 @@ def whole_look(whole: DataFrame, parts: DataFrame, classes: DataFrame, docs: Dat
     return durable(_pairs_of(rows, lambda s, c, m, q: _apart(s, c, m, percent, q)), "links")
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+def placed(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, chosen) for each row of docs; chosen: the row is its group's one, or like it in id and text.
+
+    A group's one is the row of the smallest id (a null id comes last), among texts of one id the one of the smallest hash.
+    """
     rows = signed(docs, key, text)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "sig")).alias("m"), F.count("*").alias("copies"))
     classes = durable(classes.select("cls", "m.doc_id", "m.text_key", "m.sig", "copies"), "classes")
@@ -414,9 +420,33 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
         more = more.union(whole_look(whole, parts, classes, docs, key, text, percent))
     if not more.isEmpty():
         parts = connected_components(links.union(more))
-    named = classes.join(parts, classes["cls"] == parts["node"], "left").select("cls", "doc_id", "copies", "component")
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = named.join(least, "component", "left").where("copies > 1 or component is not null")
-    named = named.select("cls", F.coalesce("least", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(parts, classes["cls"] == parts["node"], "left").select("cls", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("own"), "copies", "component")
+    least = named.where("component is not null").groupBy("component").agg(F.min("own").alias("least"))
+    named = named.join(least, "component", "left").where("copies > 1 or component is not null").select("cls", F.coalesce("least", "own").alias("one"))
+    out = rows.select("doc_id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
+    same = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_key") == F.col("one.text_key"))
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("one.doc_id", "doc_id").alias("component_id"), (F.col("one").isNull() | same).alias("chosen"))
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    out = placed(docs, key, text, percent).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """docs with one row of each group. Rows of one id with different texts are told apart, of repeated rows one stays, and a null id
+    is an id like others; rows without words are in no group and stay. Inner columns are named `_n_*`."""
+    found = durable(placed(docs, key, text, percent).select("doc_id", "text_key", "n_shingles", "chosen"), "placed")
+    gone = durable(found.where("not chosen").select("doc_id", "text_key").distinct(), "gone")
+    twice = durable(found.where("chosen and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "twice")
+    rows = docs.withColumns({"_n_id": F.col(key).cast("long"), "_n_text": F.xxhash64(text)})
+
+    def meets(keys: DataFrame, how: str) -> DataFrame:
+        k = sized(keys.select(F.col("doc_id").alias("_n_key_id"), F.col("text_key").alias("_n_key_text")))
+        return rows.join(k, F.col("_n_id").eqNullSafe(F.col("_n_key_id")) & (F.col("_n_text") == F.col("_n_key_text")), how)
+
+    if not twice.isEmpty():
+        again = meets(twice, "left_semi").dropDuplicates([key, text])
+        rows = meets(twice, "left_anti").unionByName(again)
+    return meets(gone, "left_anti").drop("_n_id", "_n_text")
