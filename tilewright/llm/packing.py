@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tilewright.llm.common import durable
+from tilewright.llm.common import durable, slices
 
 #: The window of a sequence and the closing id of a document.
 WINDOW, CLOSE = 1024, 0
@@ -42,22 +42,38 @@ def byte_names() -> dict[str, int]:
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _ranked_bytes(spec: dict, special: dict) -> bool:
+    """Whether a file says what the fast encoder assumes: bytes as listed, split by the pattern of byte-level files, merges in the order of ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    vocab = model.get("vocab", {})
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+    if model.get("type", "BPE") != "BPE" or not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    first = sorted((t for t in vocab if t not in special), key=vocab.get)[: len(vocab) - len(merged) - sum(t in special for t in vocab)]
+    return set(first) == set(byte_names()) and [vocab[t] for t in merged] == list(range(len(first), len(first) + len(merged)))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """texts -> list of uint32 arrays, as the tokenizers library gives from the file at path.
 
-    The file's vocabulary has its merges in rank order, so a byte-pair encoder over the same ranks gives the same ids
-    several times faster; what that one refuses goes to the tokenizers library itself.
+    A byte-level vocabulary with its merges in rank order can be encoded by a byte-pair encoder over the same ranks, which gives the
+    same ids several times faster; what that one refuses, and any file of another kind, goes to the tokenizers library itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    whole = Tokenizer.from_file(path)
+    by_library = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    if not _ranked_bytes(spec, special):
+        return by_library
     names = byte_names()
     ranks = {bytes(names[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast, whole = tiktoken.Encoding("pack", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special), Tokenizer.from_file(path)
+    fast = tiktoken.Encoding("pack", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
         try:
@@ -65,7 +81,7 @@ def encoder(path: str):
         except BaseException as e:  # the encoder's panics derive from BaseException
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return by_library(text)
 
     return encode
 
@@ -81,8 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
+            for batch in slices(whole, 1, 512):
                 take, out = [], {n: [] for n in ("start", "length", "doc_tokens", "ids", "_k_rank")}
                 for row, x in enumerate(batch.column(1).to_pylist()):
                     ids = np.append(encode(x or ""), np.uint32(CLOSE)).astype("<u4")
