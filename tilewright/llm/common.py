@@ -57,6 +57,11 @@ def forget(table: DataFrame | None) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(small: DataFrame, most: int = 200_000) -> DataFrame:
+    """For a broadcast only if it is counted and has at most so many rows; else a shuffle join, whose hot keys adaptive execution splits."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def slices(batch: pa.RecordBatch, column: int | str, rows: int = 256, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most so many rows and about so many bytes of a column, so that what a part is turned into stays bounded."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

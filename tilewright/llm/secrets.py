@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import durable, match_spans, spans_text
+from tilewright.llm.common import durable, match_spans, sized, spans_text
 
 #: The base kinds in the order of the contract, then those that this scanner adds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -65,11 +65,13 @@ def scanned(blobs: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
 def unseen(docs: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_VERSION, text: str = "text") -> DataFrame:
     """(blob, text) once for each blob of docs that the ledger has not scanned with these rules.
 
-    Known blobs leave before texts move; the texts of the rest are met by hash, one row for each blob and task.
+    Names alone meet the ledger; only texts of new blobs move, one for each blob and task.
     """
     named = docs.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if ledger is not None:
-        named = named.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
+        new = durable(named.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+        named = named.join(sized(new), "blob", "left_semi")
     return named.dropDuplicates(["blob"])
 
 
@@ -83,5 +85,5 @@ def findings(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSIO
     """Every row of docs as (path, blob) with its blob's findings; blobs without any are not joined."""
     hits = ledger.where((F.col("rule_version") == rule_version) & (F.col("spans") != "")).drop("rule_version")
     named = docs.select(F.col(path), blob_id(F.col(text)).alias("blob"))
-    out = named.join(hits, "blob", "left")
+    out = named.join(sized(hits), "blob", "left")
     return out.select(path, "blob", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE_KINDS], F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))
