@@ -120,6 +120,17 @@ def test_hypergeometric_draws():
     assert m.sum(axis=1).tolist() == [10, 0, 7] and m.sum(axis=0).tolist() == [6, 6, 5]
 
 
+def test_communication_matrix_is_that_of_a_uniform_shuffle():
+    """Means and variances of its entries against multivariate hypergeometric draws."""
+    lanes, shards = [30, 50, 20], [40, 35, 25]
+    got = np.array([sharding.communication_matrix(lanes, shards, seed) for seed in range(3000)])
+    n = sum(lanes)
+    for i, a in enumerate(lanes):
+        for j, b in enumerate(shards):
+            mean, var = a * b / n, a * b / n * (n - a) / n * (n - b) / (n - 1)
+            assert abs(got[:, i, j].mean() - mean) < 5 * (var / 3000) ** 0.5 and abs(got[:, i, j].var() / var - 1) < 0.15
+
+
 def shingles(x):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in x or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -171,6 +182,17 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 100 for i in range(100, 161)} | {5: 5, 6: 5, 9: 9} | {i: 1000 for i in range(1000, 1080)}
 
 
+def brute_fingerprint(samples):
+    """Peaks by sums over each frame, and pairs by loops."""
+    taper, wave, strongest = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(576) / 575), np.exp(-2j * np.pi * np.outer(np.arange(289), np.arange(576)) / 576), []
+    for frame in samples.reshape(-1, 576).astype(float):
+        power = np.abs(wave @ ((frame - frame.mean()) * taper)) ** 2
+        tops = [k for k in range(1, 288) if power[k] > power[k - 1] and power[k] >= power[k + 1] and power[k] > 1e-3]
+        strongest.append(sorted(tops, key=lambda k: (-power[k], k))[:3])
+    found = sorted((t, a << 20 | b << 4 | d) for t, here in enumerate(strongest) for d in (1, 2, 3) if t + d < len(strongest) for a in here for b in strongest[t + d])
+    return [t for t, _ in found], [c for _, c in found]
+
+
 def test_media(spark, hard, sf):
     out = media.describe(media.encode(hard)).collect()
     assert len(out) == hard.count()
@@ -179,6 +201,10 @@ def test_media(spark, hard, sf):
         whole = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, bytes(r.tail)) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), whole[-32:])
         assert media.from_wav(bytes(r.media)) == whole and len(r.times) == len(r.codes) and list(r.times) == sorted(r.times)
+    rng = np.random.default_rng(5)
+    for frames in (1, 2, 7):
+        x = rng.integers(0, 256, 576 * frames).astype(np.uint8)
+        assert list(brute_fingerprint(x)) == [v.tolist() for v in media.fingerprint(x)]
     tone = (127 + 100 * np.sin(np.arange(576 * 4) * 2 * np.pi * 40 / 576)).astype(np.uint8)
     assert (media.peaks(tone)[:, 0] == 40).all()
     got = queries.op4_wav_fingerprints(spark, sf).collect()
@@ -347,7 +373,11 @@ def test_packing(spark, hard, sf):
             assert np.concatenate([by[d][k] for k in sorted(by[d])]).tolist() == want
         for s in seq.values():
             assert list(np.cumsum([0, *[s[k] for k in sorted(s)]]))[:-1] == sorted(s) and sum(s.values()) <= 1024
+        full = sum(sum(s.values()) for s in seq.values())
+        assert 1024 * len(seq) - full < max(4 * 1024, 0.01 * full)  # less than four sequences or one percent is padding
     assert packing.pack(hard.limit(0), path).count() == 0
+    other = public_tokenizers.path("word_bpe_49k.json")  # a file of another kind goes to the library
+    assert packing.encoder(other)("Some words, a few.").tolist() == Tokenizer.from_file(other).encode("Some words, a few.", add_special_tokens=False).ids
     h = np.zeros(1025, int)
     h[[1024, 700, 324, 100]] = [3, 5, 7, 11]
     used = np.zeros(1025, int)

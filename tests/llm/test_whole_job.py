@@ -37,6 +37,20 @@ def test_neardup_pairs_in_large_regions(spark, monkeypatch):
     assert {x.doc_id: (x.component_id, x.n_shingles) for x in got} == want
 
 
+def test_neardup_keeps_one_row_of_each_group(spark):
+    """Rows of one id with different texts, rows without an id, repeated rows, and rows without words."""
+    a, b, near = prose(60, 80), prose(60, 81), prose(60, 80) + " tail"
+    rows = [(1, a, "x"), (1, near, "x"), (1, b, "x"), (2, a, "x"), (None, near, "x"), (None, prose(60, 82), "x"), (None, prose(60, 82), "x"), (3, b, "y"), (3, b, "y"), (4, None, "x"), (4, "", "x"), (4, "", "x"), (5, prose(60, 83), "z"), (5, prose(60, 83), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k_id string")
+    got = neardup.deduplicated(docs).collect()
+    one = [r for r in got if r.text in (a, near)]
+    assert len(one) == 1 and one[0].doc_id == 1
+    assert [r.doc_id for r in got if r.text == b] == [1]
+    assert sum(r.text == prose(60, 82) for r in got) == 1 == sum(r.text == prose(60, 83) for r in got)
+    assert sum(not r.text for r in got) == 3 and len(got) == 7 and got[0].asDict().keys() == {"doc_id", "text", "_k_id"}
+    assert neardup.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_raking_on_spark_ends_by_the_same_rule(spark):
     """Correlated margins need more than a dozen rounds."""
     rows = [("a", "x", "t", 400), ("a", "y", "t", 60), ("b", "x", "t", 60), ("b", "y", "t", 400), ("b", "y", "u", 30)]
