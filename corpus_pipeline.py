@@ -19,8 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one whose id names the group."""
-    gone = neardup.components(docs, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(neardup.sized(gone), docs["doc_id"] == F.col("gone"), "left_anti").select(COLUMNS)
+    return neardup.deduplicated(docs, percent=80).select(COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
