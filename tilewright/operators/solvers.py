@@ -41,8 +41,8 @@ def kernel_system(points: DataFrame, tile: int, entry: Callable[[np.ndarray, np.
 
 def _lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unpivoted LU of one tile; L has a unit diagonal."""
-    u, n = a.astype(float).copy(), len(a)
-    low = np.eye(n)
+    u, n = a.astype(a.dtype if a.dtype == np.float32 else float), len(a)
+    low = np.eye(n, dtype=u.dtype)
     for k in range(n - 1):
         if u[k, k] == 0:
             raise ZeroDivisionError("zero pivot")
