@@ -184,7 +184,7 @@ def _weights(h):
 
 
 def _hmatrix(spark, d, adm=None, **how):
-    return H.build(C.bisect(X.points(spark, d), 32), C.admissible("strong") if adm is None else adm, **how)
+    return H.build(C.bisect(X.points(spark, d), 64), C.admissible("strong") if adm is None else adm, **how)
 
 
 def _product(h):
