@@ -97,6 +97,17 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob")
 
 
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tilewright.llm import bpe
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), file).drop("text"), file)
+    digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
