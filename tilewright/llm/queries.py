@@ -97,6 +97,12 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob")
 
 
+def op11_branch_and_bound_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import conversations
+
+    return conversations.digests(_table(spark, sf_dir, "conversations"))
+
+
 def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
