@@ -114,6 +114,13 @@ def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import importance
+
+    out = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -171,5 +178,31 @@ FROM c LEFT JOIN d ON c.plain = d.plain
 """
 
 
+#: CRC-32 by its table of 256 entries, a step for each byte of every w of the table `{0}`.
+_CRC = r"""
+crc_table AS (SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+crc_hex AS (SELECT w, hex(encode(w)) AS x FROM {0}),
+crc_steps AS (SELECT w, x, 0 AS k, 4294967295::BIGINT AS c FROM crc_hex
+  UNION ALL SELECT w, x, k + 1, xor(c >> 8, v) FROM crc_steps JOIN crc_table ON i = xor(c & 255, 16 * (strpos('0123456789ABCDEF', substr(x, 2 * k + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, 2 * k + 2, 1)) - 1) WHERE 2 * k < length(x)),
+crc AS (SELECT w, xor(c, 4294967295::BIGINT) AS crc FROM crc_steps WHERE 2 * k = length(x))"""
+
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS w FROM benchmark),
+every AS (SELECT w FROM dw UNION SELECT w FROM bw),
+{_CRC.format("every")},
+db AS (SELECT doc_id, crc % 10000 AS b FROM dw JOIN crc USING (w)),
+s AS (SELECT b, count(*) AS s FROM db GROUP BY 1), t AS (SELECT crc % 10000 AS b, count(*) AS t FROM bw JOIN crc USING (w) GROUP BY 1),
+a AS (SELECT (SELECT count(*) FROM dw) AS s, (SELECT count(*) FROM bw) AS t),
+g AS (SELECT s.b, CAST(floor(1000 * ln(((coalesce(t.t, 0) + 1) * (a.s + 10000))::DOUBLE / ((s.s + 1) * (a.t + 10000))::DOUBLE)) AS BIGINT) AS gain FROM a, s LEFT JOIN t ON s.b = t.b),
+v AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS total FROM db JOIN g USING (b) GROUP BY 1),
+n AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CASE WHEN len(ws) > 0 THEN (total - ((total % len(ws)) + len(ws)) % len(ws)) // len(ws) ELSE 0 END AS weight FROM d LEFT JOIN v USING (doc_id)),
+h AS (SELECT *, list_reduce([0::BIGINT] || list_transform(range(1, 9), lambda k: strpos('0123456789abcdef', substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), k, 1)) - 1), lambda x, y: 16 * x + y) AS h FROM n),
+sc AS (SELECT *, CAST(weight AS BIGINT) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM sc)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM r
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_lsh_forest": OP3, "op5_redirect_verdicts": OP5}
+    return {"op1_quality_rules": OP1, "op3_lsh_forest": OP3, "op5_redirect_verdicts": OP5, "op13_importance_resampling": OP13}
