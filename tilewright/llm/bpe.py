@@ -313,7 +313,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, at, size=1 << 24):
+            for batch in slices(whole, at, size=1 << 22):
                 found = to_ids([x or "" for x in batch.column(at).to_pylist()])
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
