@@ -6,10 +6,12 @@ and how far above or below they are is their worth.
 The cluster selects regions: every article and main element if one of them has a line of the cluster, or else the container
 whose lines have the largest worth in all, so that parts of low ratio stay outside and short lines within stay in. A region gives
 all its lines in page order, less those inside parts that are no content by their element or class (menus, notices, adverts,
-forms, comments, scripts).
+forms, comments, scripts). Inside an article a listed word beside others that do not belong to page furniture ("related-work")
+is only a hint: such a part stays if one of its lines, outside links, is in the content cluster.
 
 Null or empty html gives empty text. Broken markup never fails: unclosed elements end with their parents, unclosed comments,
-scripts and declarations with the page, and the cost stays in proportion to the page. Repeated rows
+scripts and declarations with the page, an attribute's quote that never closes is no quote, after a tag without an end outside quotes
+no quote counts any more, and the cost stays in proportion to the page. Repeated rows
 are kept, ties between regions go to the inner or last one, an empty table gives an empty result, and all input columns pass through;
 existing columns named text or n_chars are replaced.
 """
@@ -41,50 +43,64 @@ NO_CONTENT = frozenset(
 )
 #: First parts of class names that tell of a part elsewhere ("has-sidebar"); class names of articles that are comments.
 MODIFIERS, REMARKS = frozenset("has no with without not".split()), frozenset("comment reply".split())
+#: Words for what readers write.
+OTHERS = frozenset("comment comments disqus reply replies".split())
+#: Words that go with those above in names of page furniture.
+FURNITURE = frozenset(
+    "a all area article articles bar block body bottom box btn button buttons center col column container content count entry feed field fixed form group head heading home i icon icons id img inner input item items "
+    "label latest left link links list main media more mini module news note outer page panel post posts primary right row secondary section signup slot sticky story stories tag tags text thread title top unit video wrap wrapper".split()
+)
 WIDTH = 1.5
 _TOKEN = re.compile(r"[A-Za-z]+")
 
 
-def _no_content(tag: str, attrs: list, in_article: bool) -> bool:
+def _no_content(tag: str, attrs: list, in_article: bool) -> int:
+    """1 if a part is no content by its element or name, 2 if its name leaves that to the ratios, else 0."""
     if tag in SKIP or (tag == "header" and not in_article):
-        return True
+        return 1
     named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower().split()
     if tag in ("html", "body", "main", "article"):
-        return tag == "article" and any(x in REMARKS for x in named)
+        return int(tag == "article" and any(x in REMARKS for x in named))
     if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
-        return True
-    parts = [_TOKEN.findall(x) for x in named]
-    return any(x in NO_CONTENT for p in parts if p and p[0] not in MODIFIERS for x in p)
+        return 1
+    listed = [p for p in map(_TOKEN.findall, named) if p and p[0] not in MODIFIERS and any(x in NO_CONTENT for x in p)]
+    if not listed:
+        return 0
+    return 1 if not in_article or any(not OTHERS.isdisjoint(p) or all(x in NO_CONTENT or x in FURNITURE for x in p) for p in listed) else 2
 
 
-#: A quoted attribute may run on for so many characters; a tag beyond that ends at its first '>'.
-LONGEST_TAG = 1 << 16
 _OPEN = re.compile(r"<(?:[A-Za-z/!?])")
-_STOP = re.compile("[>\"']")
+_STOP = re.compile(r"=\s*[\"']|>")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
 _RAW_START = re.compile(r"<(script|style)(?=[\s/>])", re.I)
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Where the tag that starts at `at` ends: the next '>' outside quoted attribute values; -1 if there is no '>'."""
-    j, limit = at + 1, at + LONGEST_TAG
-    while m := _STOP.search(page, j, limit):
-        k = m.start()
-        if page[k] == ">":
-            return k + 1
-        j = k + 1
-        if page[at:k].rstrip().endswith("=") if k - at < 256 else page[k - 256 : k].rstrip().endswith("="):
-            close = page.find(page[k], k + 1, limit)
-            j = close + 1 if close >= 0 else j
+def _tag_end(page: str, at: int, never: set[str]) -> int:
+    """Where the tag that starts at `at` ends: the next '>' outside quoted attribute values; -1 if there is no '>'.
+
+    never: quotes that occur no more from some place on, so that each is sought in vain only once in a page.
+    """
+    j = at + 1
+    while m := _STOP.search(page, j):
+        j, quote = m.end(), page[m.end() - 1]
+        if quote == ">":
+            return j
+        if quote not in never:
+            close = page.find(quote, j)
+            if close < 0:
+                never.add(quote)
+            else:
+                j = close + 1
+    never.update("\"'")
     return page.find(">", at) + 1 or -1
 
 
 def pieces(page: str) -> Iterator[tuple[bool, str]]:
     """(is a tag, string) of a page in order, without comments, declarations, scripts and styles; what never ends runs to the end.
 
-    Every search starts behind the last one's end or is bounded, so runs of opened and never closed things cost no more than others.
+    Every search starts behind the last one's end or fails once, so runs of opened and never closed things cost no more than others.
     """
-    at = 0
+    at, never = 0, set()
     while at < len(page):
         m = _OPEN.search(page, at)
         start = m.start() if m else len(page)
@@ -103,7 +119,7 @@ def pieces(page: str) -> Iterator[tuple[bool, str]]:
             if end:
                 at = page.find(">", at) + 1 or len(page)
         else:
-            end = _tag_end(page, start)
+            end = _tag_end(page, start, never)
             if end < 0:
                 yield False, page[start:]
                 return
@@ -124,6 +140,7 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # tag, container, no content
         self.count: dict[str, int] = {}
         self.dark = self.articles = self.tags = 0
+        self.doubtful: list[int] = []  # containers whose names leave it to the ratios
         self.forms: list[int] = []  # places in open of forms that are no content
         self.text: list[str] = []
         self.link = self.prose = False  # in a link of this line; text outside links in this line
@@ -160,9 +177,12 @@ class _Lines(HTMLParser):
             self.link = "href" in names or not names & {"id", "name"}
         self.tags += 1
         void = tag in ("br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "embed", "source", "track", "param")
-        off = not void and (_no_content(tag, attrs, self.articles > 0) if self.hints else tag in UNSEEN)
-        if tag in CONTAINERS or off:
+        verdict = 0 if void else _no_content(tag, attrs, self.articles > 0) if self.hints else tag in UNSEEN
+        off = verdict == 1
+        if tag in CONTAINERS or verdict:
             at = self.open[-1][1] if self.open else 0
+            if verdict == 2:
+                self.doubtful.append(len(self.tree))
             self.tree.append((at, tag))
             self.open.append((tag, len(self.tree) - 1, off))
             self.count[tag] = self.count.get(tag, 0) + 1
@@ -233,6 +253,15 @@ def main_text(html: str | None, hints: bool = True) -> str:
     prose = np.array([x for *_, x, _ in p.lines])
     if not light.any():
         return ""
+    if p.doubtful:
+        said = _inside(p.tree, at, (light & prose & (worth >= 0)).astype(float))
+        shut = np.zeros(len(p.tree), bool)
+        shut[[i for i in p.doubtful if not said[i]]] = True
+        for i in range(1, len(p.tree)):  # parents come before their sons
+            shut[i] |= shut[p.tree[i][0]]
+        light = light & ~shut[at]
+        if not light.any():
+            return ""
     hit = light & (worth >= 0)
     hit = hit & prose if (hit & prose).any() else hit if hit.any() else light
     inside, lit = _inside(p.tree, at, hit.astype(float)), _inside(p.tree, at, np.where(light & prose, worth, np.minimum(worth, 0)))  # no content and links alone add nothing
