@@ -109,6 +109,16 @@ def test_triplets_with_one_number_in_the_midst_fail(spark, tmp_path):
             storage.read_triplets(spark, str(path)).collect()
 
 
+def test_triplet_heads_are_told_by_place(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    for text, wrong in (("1,1,5\nabc\n2,2,6\n7\n3,3,1\n", "no header"), ("row,col,value\n1,1,5\n3\n", "no header"), ("row,col,value\n3\n1,1,5\nabc\n", "not three fields"), ("3\n3\n3\n", "not three fields")):
+        path.write_text(text)
+        with pytest.raises(Exception, match=wrong):
+            storage.read_triplets(spark, str(path)).collect()
+    path.write_text("\n7 rows,\n2\n2,2,4\n")  # the first line is the header, whatever it says
+    assert values(storage.read_triplets(spark, str(path))) == {(1, 1): 4.0}
+
+
 def test_raw_tensor_files(spark, tmp_path):
     x = np.arange(24.0).reshape(4, 3, 2)
     (tmp_path / "t.bin").write_bytes(storage.raw_bytes(x))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import codecs
 from tilewright.functions.dense import APPROX, TIGHT, Acc, column_basis, lowrank_singular_values, sum_lowrank, sum_lowrank_pairwise, svd_lowrank, truncate
 from tilewright.operators import tall
+from tilewright.operators.arrays import summed
 from tilewright.sources.storage import durable
 
 TILE = 4096
@@ -239,8 +240,7 @@ def matvec(blocks: DataFrame, x: DataFrame) -> DataFrame:
 
 def sum_segments(parts: DataFrame) -> DataFrame:
     """Sum of arrays by b, entry-wise, combined before they move."""
-    flat_sum = parts.select("b", F.posexplode("x").alias("p", "v")).groupBy("b", "p").agg(F.sum("v").alias("v"))
-    return flat_sum.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("x"))
+    return summed(parts, ["b"])
 
 
 def matvec_joined(blocks: DataFrame, x: DataFrame) -> DataFrame:

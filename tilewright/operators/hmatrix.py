@@ -19,6 +19,7 @@ from tilewright.functions import dense, kernels
 from tilewright.operators import blocks as B
 from tilewright.operators import clusters as C
 from tilewright.operators import tall
+from tilewright.operators.arrays import mapped_sum, summed
 from tilewright.sources.storage import durable
 
 #: Far blocks of more points on a side are not made from their own rows and columns; such pairs are split first.
@@ -208,21 +209,14 @@ def vector(h: HMatrix, segs: DataFrame) -> DataFrame:
     return h.leaves.join(segs, "leaf").select(F.explode(F.arrays_zip("ids", "x")).alias("e")).select(F.col("e.ids").alias("i"), F.col("e.x").alias("v"))
 
 
-def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of arrays x by key: within partitions first, then by key and place."""
-    part = rows.select(*keys, F.posexplode("x").alias("_at", "_v")).groupBy(*keys, "_at").agg(F.sum("_v").alias("_v"))
-    held = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_s"))
-    return held.select(*keys, F.transform("_s", lambda s: s["_v"]).alias("x"))
-
-
 def apply_segments(h: HMatrix, segs: DataFrame) -> DataFrame:
     """Segments of H X for segments of X: coefficients of far blocks are summed over their leaves, then spread over the other side's."""
     near = _mapped(h.near.join(segs.withColumnRenamed("leaf", "cleaf"), "cleaf"), lambda r: [(r.rleaf, r.m, (_array(r.d, r.nr, r.nc) @ _array(r.x, r.nc, r.m)).ravel())], SEGMENT)
     down = h.far.where("side = 'c'").join(segs, "leaf")
-    coef = _summed(_mapped(down, lambda r: [(r.rcid, r.ccid, r.m, (_array(r.f, r.n, r.k).T @ _array(r.x, r.n, r.m)).ravel())], "rcid long, ccid long, m int, x array<double>"), ["rcid", "ccid", "m"])
+    coef = mapped_sum(down, lambda r: [(r.rcid, r.ccid, r.m, (_array(r.f, r.n, r.k).T @ _array(r.x, r.n, r.m)).ravel())], "rcid long, ccid long, m int, x array<double>")
     up = h.far.where("side = 'r'").join(coef, ["rcid", "ccid"])
     far = _mapped(up, lambda r: [(r.leaf, r.m, (_array(r.f, r.n, r.k) @ _array(r.x, r.k, r.m)).ravel())], SEGMENT)
-    return _summed(near.unionByName(far), ["leaf", "m"])
+    return summed(near.unionByName(far), ["leaf", "m"])
 
 
 def matvec(h: HMatrix, x: DataFrame, transposed: bool = False) -> DataFrame:
@@ -285,9 +279,9 @@ def _compressed(leaves: DataFrame, near: DataFrame, far: DataFrame, rank: int, a
         met = near.withColumnsRenamed({"rleaf": "leaf", "cleaf": "to"} if flip else {"cleaf": "leaf", "rleaf": "to"}).join(segs, by)
         a = _mapped(met, lambda r: [(r.tr, r.tc, r.to, r.m, ((_array(r.d, r.nr, r.nc).T if flip else _array(r.d, r.nr, r.nc)) @ _array(r.x, -1, r.m)).ravel())], keys)
         down = _mapped(far.where(F.col("side") == into).join(segs, by), lambda r: [(r.tr, r.tc, r.rcid, r.ccid, r.m, (_array(r.f, r.n, r.k).T @ _array(r.x, r.n, r.m)).ravel())], "tr long, tc long, rcid long, ccid long, m int, x array<double>")
-        coef = _summed(down, ["rcid", "ccid", "m"])
+        coef = summed(down, ["rcid", "ccid", "m"])
         b = _mapped(far.where(F.col("side") == out).join(coef, ["rcid", "ccid"]), lambda r: [(r.tr, r.tc, r.leaf, r.m, (_array(r.f, r.n, r.k) @ _array(r.x, r.k, r.m)).ravel())], keys)
-        return durable(_summed(a.unionByName(b), ["tr", "tc", "leaf", "m"]), "range")
+        return durable(summed(a.unionByName(b), ["tr", "tc", "leaf", "m"]), "range")
 
     sample = _mapped(leaves, lambda r: [(r.leaf, width, np.random.default_rng([seed, r.leaf]).standard_normal((len(r.ids), width)).ravel())], SEGMENT)
     y = product(sample, "c", "r", ["leaf"])
@@ -398,7 +392,7 @@ def _leaf_solved(rows: DataFrame, inverse: DataFrame) -> DataFrame:
 def _core(own: DataFrame, cols: DataFrame) -> DataFrame:
     """(p, k0, k1, s): inverse of [I, V0^T W1; V1^T W0, I], where W0, W1 are the left factors on the first and second son."""
     met = cols.select("p", "half", "leaf", "k", "f").join(own.select("p", "leaf", F.col("half").alias("other"), F.col("k").alias("m"), F.col("f").alias("x")), ["p", "leaf"])
-    got = _summed(_mapped(met, lambda r: [(r.p, r.half, r.k, r.m, (_array(r.f, -1, r.k).T @ _array(r.x, -1, r.m)).ravel())], "p long, half int, k int, m int, x array<double>"), ["p", "half", "k", "m"])
+    got = mapped_sum(met, lambda r: [(r.p, r.half, r.k, r.m, (_array(r.f, -1, r.k).T @ _array(r.x, -1, r.m)).ravel())], "p long, half int, k int, m int, x array<double>")
     sizes = own.groupBy("p").agg(F.coalesce(F.max(F.when(F.col("half") == 0, F.col("k"))), F.lit(0)).alias("k0"), F.coalesce(F.max(F.when(F.col("half") == 1, F.col("k"))), F.lit(0)).alias("k1"))
     held = sizes.join(got.groupBy("p").agg(F.collect_list(F.struct("half", "x")).alias("of")), "p", "left")
 
@@ -419,7 +413,7 @@ def _changed(rows: DataFrame, level: tuple, keys: list[str]) -> DataFrame:
     own, cols, core = level
     kind = ", ".join(f"{c} {dict(rows.dtypes)[c].replace('bigint', 'long')}" for c in keys)
     seen = _mapped(cols.join(rows, "leaf"), lambda r: [(r.p, r.half, r.k, *(getattr(r, c) for c in keys), r.m, (_array(r.f, -1, r.k).T @ _array(r.x, -1, r.m)).ravel())], f"p long, half int, k int, {kind}, m int, x array<double>")
-    seen = _summed(seen, ["p", "half", "k", *keys, "m"]).groupBy("p", *keys, "m").agg(F.collect_list(F.struct("half", "x")).alias("of"))
+    seen = summed(seen, ["p", "half", "k", *keys, "m"]).groupBy("p", *keys, "m").agg(F.collect_list(F.struct("half", "x")).alias("of"))
 
     def solve(r) -> Iterator[tuple]:
         y = np.zeros((r.k0 + r.k1, r.m))
@@ -434,7 +428,7 @@ def _changed(rows: DataFrame, level: tuple, keys: list[str]) -> DataFrame:
     coef = _mapped(seen.join(core, "p"), solve, f"p long, half int, {kind}, c array<double>")
     met = own.join(coef, ["p", "half"])
     less = _mapped(met, lambda r: [(*(getattr(r, k) for k in keys), r.leaf, len(r.c) // r.k, -(_array(r.f, -1, r.k) @ _array(r.c, r.k, -1)).ravel())], f"{kind}, {SEGMENT}")
-    return _summed(rows.select(*keys, "leaf", "m", "x").unionByName(less), [*keys, "leaf", "m"])
+    return summed(rows.select(*keys, "leaf", "m", "x").unionByName(less), [*keys, "leaf", "m"])
 
 
 def hodlr_solve(factors: HodlrFactors, b: DataFrame) -> DataFrame:
@@ -467,16 +461,16 @@ def matvec_nested(leaves: DataFrame, rule: Column, x: DataFrame, kernel: Callabl
     for level in range(deepest, 0, -1):
         sons = every.where(F.col("level") == level).select("cid", "x").join(family, "cid")
         lifted = _mapped(sons, lambda r: [(r.level - 1, r.parent, (dense.lagrange(dense.grid_points(grid(r.bbmin, r.bbmax)), grid(r.pmin, r.pmax)).T @ np.asarray(r.x)).ravel())], "level int, cid long, x array<double>")
-        every = durable(every.unionByName(_summed(lifted, ["level", "cid"])), "up")
+        every = durable(every.unionByName(summed(lifted, ["level", "cid"])), "up")
     far = h.parts.where("adm").join(C.boxes(h.tree, "r"), "rcid").join(C.boxes(h.tree, "c"), "ccid").join(every.select(F.col("cid").alias("ccid"), "x"), "ccid")
     met = _mapped(far, lambda r: [(r.rcid, (f(dense.grid_points(grid(r.rmin, r.rmax)), dense.grid_points(grid(r.cmin, r.cmax))) @ np.asarray(r.x)).ravel())], "cid long, x array<double>")
-    down = durable(_summed(met, ["cid"]).join(tree.select("cid", "level"), "cid").select("level", "cid", "x"), "down")
+    down = durable(summed(met, ["cid"]).join(tree.select("cid", "level"), "cid").select("level", "cid", "x"), "down")
     for level in range(1, deepest + 1):
         parents = down.where(F.col("level") == level - 1).select(F.col("cid").alias("parent"), "x").join(family, "parent")
         lowered = _mapped(parents, lambda r: [(r.level, r.cid, (dense.lagrange(dense.grid_points(grid(r.bbmin, r.bbmax)), grid(r.pmin, r.pmax)) @ np.asarray(r.x)).ravel())], "level int, cid long, x array<double>")
-        down = durable(_summed(down.unionByName(lowered), ["level", "cid"]), "down")
+        down = durable(summed(down.unionByName(lowered), ["level", "cid"]), "down")
     out = _mapped(points.join(down.select(F.col("cid").alias("leaf"), "x"), "leaf"), lambda r: [(r.leaf, 1, (dense.lagrange(_array(r.xs, -1, r.dim), grid(r.bbmin, r.bbmax)) @ np.asarray(r.x)).ravel())], SEGMENT)
-    return vector(h, _summed(apply_segments(h, segs).unionByName(out), ["leaf", "m"]))
+    return vector(h, summed(apply_segments(h, segs).unionByName(out), ["leaf", "m"]))
 
 
 # Sparse matrices and geometry studies.

@@ -41,14 +41,24 @@ def kernel_system(points: DataFrame, tile: int, entry: Callable[[np.ndarray, np.
 
 def _lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unpivoted LU of one tile; L has a unit diagonal."""
-    u, n = a.astype(a.dtype if a.dtype == np.float32 else float), len(a)
-    low = np.eye(n, dtype=u.dtype)
+    a = a.astype(a.dtype if a.dtype == np.float32 else float)
+    n = len(a)
+    if n > 32:  # halves: two triangular solves and one product, the rest by the same rule
+        h = n // 2
+        l1, u1 = _lu(a[:h, :h])
+        if not np.diag(u1).all():
+            raise ZeroDivisionError("zero pivot")
+        right, below = np.linalg.solve(l1, a[:h, h:]), np.linalg.solve(u1.T, a[h:, :h].T).T
+        l2, u2 = _lu(a[h:, h:] - below @ right)
+        zero = np.zeros((h, n - h), dtype=a.dtype)
+        return np.block([[l1, zero], [below, l2]]), np.block([[u1, right], [zero.T, u2]])
+    low = np.eye(n, dtype=a.dtype)
     for k in range(n - 1):
-        if u[k, k] == 0:
+        if a[k, k] == 0:
             raise ZeroDivisionError("zero pivot")
-        low[k + 1 :, k] = u[k + 1 :, k] / u[k, k]
-        u[k + 1 :, k:] -= np.outer(low[k + 1 :, k], u[k, k:])
-    return low, np.triu(u)
+        low[k + 1 :, k] = a[k + 1 :, k] / a[k, k]
+        a[k + 1 :, k:] -= np.outer(low[k + 1 :, k], a[k, k:])
+    return low, np.triu(a)
 
 
 def _steps(blocks: DataFrame) -> int:

@@ -1,7 +1,7 @@
 """Tall matrices held by rows or pieces of rows: QR by stacked R factors, bases, truncation, randomised singular values.
 
 rows(keys..., m, x): x holds one or several rows of m columns, row by row; any number of matrices side by side, one for each key.
-Only m x m factors meet: within partitions first, then in groups of FAN.
+Only m x m factors meet: within partitions first, then in FAN groups, then once more.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import dense
+from tilewright.operators.arrays import summed
 from tilewright.sources.storage import durable
 
 FAN = 64
@@ -61,19 +62,14 @@ def triangles(rows: DataFrame, keys: list[str]) -> DataFrame:
                 held.clear()
         yield out()
 
-    parts = durable(rows.select(*keys, "m", "x").mapInPandas(local, schema), "triangles")
-    while True:
-        count = durable(parts.groupBy(*keys).agg(F.count("*").alias("_n")), "counted")
-        if (count.agg(F.max("_n")).first()[0] or 1) <= 1:
-            break
+    def stack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = int(pdf["m"].iloc[0])
+        r = np.linalg.qr(np.concatenate([np.asarray(x, float).reshape(-1, m) for x in pdf["r"]]), mode="r")
+        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), m, r.ravel())], columns=names)
 
-        def stack(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = int(pdf["m"].iloc[0])
-            r = np.linalg.qr(np.concatenate([np.asarray(x, float).reshape(-1, m) for x in pdf["r"]]), mode="r")
-            return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), m, r.ravel())], columns=names)
-
-        parts = parts.join(count, keys).withColumn("_g", F.pmod(F.xxhash64("r"), F.ceil(F.col("_n") / FAN)))
-        parts = durable(parts.groupBy(*keys, "_g").applyInPandas(stack, schema), "triangles")
+    # two rounds: FAN stacks for each matrix, then one; a stack has a FANth of the tasks' triangles
+    parts = rows.select(*keys, "m", "x").mapInPandas(local, schema).withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    parts = parts.groupBy(*keys, "_g").applyInPandas(stack, schema).groupBy(*keys).applyInPandas(stack, schema)
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -191,10 +187,8 @@ def product(u: DataFrame, v: DataFrame) -> DataFrame:
 def _times(a: DataFrame, by: str, x: DataFrame) -> DataFrame:
     """Rows of A X (by 'j') or A^T X (by 'i') for rows x(i, m, x)."""
     other = "i" if by == "j" else "j"
-    met = a.join(x.select(F.col("i").alias(by), "m", "x"), by).select(F.col(other).alias("_to"), "v", "m", F.posexplode("x").alias("_at", "_x"))
-    sums = met.groupBy("_to", "m", "_at").agg(F.sum(F.col("v") * F.col("_x")).alias("_v"))
-    held = sums.groupBy("_to", "m").agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_s"))
-    return durable(held.select(F.col("_to").alias("i"), "m", F.transform("_s", lambda s: s["_v"]).alias("x")), "times")
+    met = a.join(x.select(F.col("i").alias(by), "m", "x"), by).select(F.col(other).alias("i"), "m", F.transform("x", lambda y: y * F.col("v")).alias("x"))
+    return durable(summed(met, ["i", "m"]), "times")
 
 
 def randsvd(a: DataFrame, rank: int, power: int = 1, over: int = 8, seed: int = 5) -> tuple[DataFrame, DataFrame]:

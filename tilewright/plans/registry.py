@@ -6,7 +6,7 @@ import importlib
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-MODULES = ("entries", "reports", "clusters", "lowrank", "solvers", "tensors")
+MODULES = ("entries", "reports", "clusters", "lowrank", "solvers", "tensors", "hierarchical")
 
 
 def query(name: str, sql: str | None = None):

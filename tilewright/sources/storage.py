@@ -43,16 +43,18 @@ def forget(table: DataFrame | None) -> None:
 def read_triplets(spark: SparkSession, path: str) -> DataFrame:
     """coo from 1-based 'row,col,value' lines after a header line and a line with the number of rows.
 
-    Blank lines are skipped; any other line that is not three numbers is an error, raised by the task that meets it. Each file has its own
-    two lines at the start, which are told by their place.
+    The header is the first line of a file that is not blank, and the count the second; both are told by their place alone. A file whose second
+    line is no whole number, or whose header is a line of data, is an error, as is any later line that is not three numbers, raised by
+    the task that meets it. Blank lines are skipped.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("at"))
     kept = lines.where(F.trim("value") != "")
-    # a header names columns; the count is the only line of one whole number, and only the first such line of a file is one
-    alone = F.col("value").rlike(r"^\s*[0-9]+\s*$")
-    named = F.col("value").rlike(r"^\s*[A-Za-z#%]")
-    heads = kept.where(alone | named).groupBy("file").agg(F.min_by("at", F.when(alone, F.struct("block", "at"))).alias("count_at"), F.min_by("at", F.when(named, F.struct("block", "at"))).alias("name_at"))
-    data = kept.join(F.broadcast(heads), "file", "left").where(~(F.col("at").eqNullSafe(F.col("count_at")) | F.col("at").eqNullSafe(F.col("name_at"))))
+    first = kept.groupBy("file").agg(F.min(F.struct("at", "value")).alias("head"))
+    second = kept.join(F.broadcast(first), "file").where(F.col("at") > F.col("head.at")).groupBy("file", "head").agg(F.min(F.struct("at", "value")).alias("count"))  # a row for each file
+    number = r"\s*[-+]?[0-9.]+([eE][-+]?[0-9]+)?\s*"
+    bad = F.col("head.value").rlike(f"^({number},){{2}}{number}$") | ~F.col("count.value").rlike(r"^\s*[0-9]+\s*$")
+    start = F.when(bad, F.raise_error(F.concat(F.lit("no header line and count at the start of "), F.col("file"))).cast("struct<block:bigint,at:bigint>")).otherwise(F.col("count.at"))
+    data = kept.join(F.broadcast(second.select("file", start.alias("start"))), "file").where(F.col("at") > F.col("start"))
     fields = F.split("value", ",")
     checked = F.when(F.size(fields) == 3, fields).otherwise(F.raise_error(F.concat(F.lit("not three fields: "), F.col("value"))).cast("array<string>"))
     f = data.select(checked.alias("f"))
