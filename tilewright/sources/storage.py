@@ -62,7 +62,18 @@ def read_triplets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_triplets(a: DataFrame, path: str) -> None:
-    a.select(F.concat_ws(",", F.col("i") + 1, F.col("j") + 1, F.col("v")).alias("value")).write.text(path)
+    """coo as 'row,col,value' lines; each file starts with a header and the number of rows of the matrix."""
+    rows = (a.agg(F.max("i")).first()[0] or 0) + 1
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        for t in batches:
+            if first and len(t):
+                yield pd.DataFrame({"value": ["row,col,value", str(rows)]})
+                first = False
+            yield t
+
+    a.select(F.concat_ws(",", F.col("i") + 1, F.col("j") + 1, F.col("v")).alias("value")).mapInPandas(headed, "value string").write.text(path)
 
 
 def round_trip(a: DataFrame, name: str, by: str | None = None) -> DataFrame:
