@@ -57,9 +57,11 @@ def forget(table: DataFrame | None) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(small: DataFrame, most: int = 200_000) -> DataFrame:
-    """For a broadcast only if it is counted and has at most so many rows; else a shuffle join, whose hot keys adaptive execution splits."""
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+def sized(small: DataFrame, most: int = 200_000, size: int = 1 << 26) -> DataFrame:
+    """For a broadcast only if its rows and the bytes of its strings are counted and few; else a shuffle join, whose hot keys adaptive execution splits."""
+    long = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in small.dtypes if kind in ("string", "binary")]
+    rows, text = small.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(sum(long, F.lit(0).cast("long"))), F.lit(0))).first()
+    return F.broadcast(small) if rows <= most and text <= size else small
 
 
 def slices(batch: pa.RecordBatch, column: int | str, rows: int = 256, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:

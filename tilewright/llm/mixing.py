@@ -2,7 +2,7 @@
 
 Tokens are summed by cell (source, language, topic). Raking scales the cells until the sums over each source, language
 and topic meet their targets; a document's probability is its cell's weight over the largest weight, so the expected
-tokens of the sample have the target shares in all three margins. A document is sampled if a hash of its id and text, as
+tokens of the sample have the target shares in all three margins; a wanted number of tokens can be given instead. A document is sampled if a hash of its id and text, as
 a number in [0, 1), is below its probability.
 
 Texts are read once, by measured(): tokens, that hash, and a sketch of the words (DIMS counters, a word adds or takes one in the
@@ -38,6 +38,8 @@ MAX_CELLS = 200_000
 TEMPER = 0.7
 ROUNDS, CLOSE_TO = 200, 1e-10
 SEED = 7
+#: Scales tried in one pass over the cells, and passes, when a budget of tokens is given.
+TRIES, PASSES = 64, 4
 DIMS, PLANES = 64, 3
 #: Bytes of text whose words are hashed at once.
 BLOCK = 1 << 22
@@ -102,21 +104,21 @@ def sketches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def measured(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """docs with tokens, _m_source, _m_lang, _m_unit (the number that the probability meets) and _m_sketch (bytes)."""
+    """docs with tokens, _m_source, _m_lang, _m_unit (the number that the probability meets), _m_sketch (bytes) and _m_blank (no words)."""
 
-    @F.arrow_udf("struct<tokens:bigint,sketch:binary>")
+    @F.arrow_udf("struct<tokens:bigint,sketch:binary,blank:boolean>")
     def read(texts: pa.Array) -> pa.Array:
         parts = []
         for i in range(0, len(texts), 1024):
             n, x = sketches(texts.slice(i, 1024).to_pylist())
-            parts.append(pa.StructArray.from_arrays([pa.array(np.maximum(n, 1)), pa.array([r.tobytes() for r in x], pa.binary())], names=["tokens", "sketch"]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("tokens", pa.int64()), ("sketch", pa.binary())]))
+            parts.append(pa.StructArray.from_arrays([pa.array(np.maximum(n, 1)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(n == 0)], names=["tokens", "sketch", "blank"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("tokens", pa.int64()), ("sketch", pa.binary()), ("blank", pa.bool_())]))
 
     rows = docs.drop("topic", "tokens", "weight", "probability", "sampled").withColumns({
         "_m_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_m_lang": F.coalesce(F.col(lang).cast("string"), F.lit("")),
         "_m_unit": F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, text), 11) / F.lit(float(1 << 53)), "_m_read": read(F.col(text)),
     })
-    return rows.withColumns({"tokens": F.col("_m_read.tokens"), "_m_sketch": F.col("_m_read.sketch")}).drop("_m_read")
+    return rows.withColumns({"tokens": F.col("_m_read.tokens"), "_m_sketch": F.col("_m_read.sketch"), "_m_blank": F.col("_m_read.blank")}).drop("_m_read")
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -173,9 +175,8 @@ def with_topics(rows: DataFrame) -> DataFrame:
         return pa.array(list(_vectors(sketch) @ planes.T), pa.list_(pa.float64()))
 
     sides = sum((F.when(F.col("_m_at")[k] > F.col("_m_mid")[k], 1 << k).otherwise(0) for k in range(PLANES)), F.lit(0))
-    blank = F.col("_m_sketch") == F.lit(bytearray(DIMS))
     out = rows.withColumn("_m_at", placed("_m_sketch")).join(sized(middle), "_m_lang")
-    return out.withColumn("topic", F.when(blank, "none").otherwise(F.concat(F.lit("t"), sides.cast("string")))).drop("_m_at", "_m_mid")
+    return out.withColumn("topic", F.when(F.col("_m_blank"), "none").otherwise(F.concat(F.lit("t"), sides.cast("string")))).drop("_m_at", "_m_mid")
 
 
 def sized(small: DataFrame) -> DataFrame:
@@ -271,10 +272,37 @@ def cell_weights(rows: DataFrame, given: dict[str, dict] | None = None, max_cell
     return rake_on_spark(cells, goals).select(*MARGINS, "weight")
 
 
-def mixed(rows: DataFrame, given: dict[str, dict] | None = None) -> DataFrame:
-    """rows of measured() with topic, tokens, weight, probability and sampled; texts are not looked at, so rows should be durable."""
+def scale_for(cells: DataFrame, budget: float) -> float:
+    """c such that the sum of min(1, c weight) tokens over cells(weight, tokens) is the budget, or all that can be had.
+
+    Each pass over the cells tries TRIES scales at once and keeps the interval that holds the answer.
+    """
+    some = cells.where("weight > 0 and tokens > 0")
+    low, high, all_tokens = some.agg(F.sum(F.col("weight") * F.col("tokens")), F.min("weight"), F.sum("tokens")).first()
+    if not all_tokens or budget <= 0:
+        return 0.0
+    low, high = budget / low, 1 / high
+    if budget >= all_tokens or low >= high:
+        return high
+    for _ in range(PASSES):
+        tries = np.geomspace(low, high, TRIES)
+        got = some.agg(*[F.sum(F.least(F.col("weight") * F.lit(float(c)), F.lit(1.0)) * F.col("tokens")) for c in tries]).first()
+        k = int(np.clip(np.searchsorted(np.array(got), budget), 1, TRIES - 1))
+        low, high = float(tries[k - 1]), float(tries[k])
+    return high
+
+
+def mixed(rows: DataFrame, given: dict[str, dict] | None = None, budget: float | None = None) -> DataFrame:
+    """rows of measured() with topic, tokens, weight, probability and sampled; texts are not looked at, so rows should be durable.
+
+    Without a budget the largest weight has probability 1, and the margins meet their targets. With one, probabilities are min(1, c weight),
+    where c makes the expected tokens of the sample meet it; cells at probability 1 then fall short of their targets.
+    """
     named = with_topics(rows).withColumn("_m_topic", F.col("topic"))
     weights = durable(cell_weights(named, given), "weights")
-    top = weights.agg(F.max("weight")).first()[0] or 1.0
-    out = named.join(sized(weights), list(MARGINS), "left").withColumn("probability", F.least(F.col("weight") / F.lit(top), F.lit(1.0)))
-    return out.withColumn("sampled", F.col("_m_unit") < F.col("probability")).drop(*MARGINS, "_m_unit", "_m_sketch")
+    if budget is None:
+        scale = 1 / (weights.agg(F.max("weight")).first()[0] or 1.0)
+    else:
+        scale = scale_for(durable(named.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).join(sized(weights), list(MARGINS)).select("weight", "tokens"), "budget"), budget)
+    out = named.join(sized(weights), list(MARGINS), "left").withColumn("probability", F.least(F.col("weight") * F.lit(scale), F.lit(1.0)))
+    return out.withColumn("sampled", F.col("_m_unit") < F.col("probability")).drop(*MARGINS, "_m_unit", "_m_sketch", "_m_blank")

@@ -6,8 +6,8 @@ prefix there form a region. Within a region, candidates are neighbours in the so
 longest, and the member nearest to the region's consensus with each other member. Regions above REGION members go
 deeper, to the DEPTHS in turn, where their members already have a candidate with a common centre. Confirmed links give components; a second
 look at each region then counts the shared shingles of members that are still apart with all others, so that no link is lost
-that the forest can see. Regions above REGION are looked at whole too, whatever their depth: members outside the region's largest
-component meet blocks of all its members.
+that the forest can see. Regions above REGION are looked at whole too, whatever their depth: their members are posted under their
+rarest shingles, so many that every pair at the threshold shares one, and those of different components meet there.
 
 At a similarity of 0.85 a tree of depth 4 misses a pair with probability 0.48, all 24 with 2e-8; at 0.8 with 0.59 and 3e-6.
 Candidates need as many equal values of the 96 as a pair at the threshold has but with a probability of some 1e-6 (64 for 0.85,
@@ -36,6 +36,9 @@ DEPTHS = (1, 4)
 VALUES = TREES * STEP
 REGION, FEW = 512, 8
 SAMPLE = 512
+#: Shingles are counted by the leading bits of their hashes; sets of sizes within a factor WIDER form a size class.
+BUCKETS, WIDER = 1 << 18, 1.06
+_BUCKET = np.uint64(64 - 18)
 BROADCAST_KEYS = 200_000
 #: Bytes of text that are hashed at once; longer texts are hashed in parts that end with a word.
 BLOCK = 1 << 22
@@ -374,29 +377,109 @@ def second_look(members: DataFrame, parts: DataFrame, classes: DataFrame, docs:
     return durable(_pairs_of(looked.join(sets, "cls").select("region", "cls", "sig", "component", "members"), lambda s, c, m: _apart(s, c, m, percent)), "links")
 
 
+def commonness(sets: DataFrame) -> np.ndarray:
+    """How many of sets(cls, members) hold a shingle of each of BUCKETS buckets; counted within tasks, then by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) >> _BUCKET, minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for bucket, n in sets.select("members").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
+        out[bucket] = n
+    return out
+
+
+def _size_class(n: int) -> int:
+    return int(np.floor(np.log(n) / np.log(WIDER) + 1e-9))
+
+
+def _prefixes(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(smaller size class, larger one, so many of the first shingles) for each class of sizes that a set of n can be linked with.
+
+    A pair at the threshold shares at least percent (n + m) / (100 + percent) shingles, so in any common order the first n less that, plus one,
+    of each side meet.
+    """
+    mine, out = _size_class(n), []
+    for c in range(_size_class(max(1, -(-percent * n // 100))), _size_class(100 * n // percent) + 1):
+        m = max(int(np.ceil(WIDER**c - 1e-9)), -(-percent * n // 100), 1)
+        shared = max(1, -(-percent * (n + m) // (100 + percent)))
+        if n >= shared:
+            out.append((min(mine, c), max(mine, c), n - shared + 1))
+    return out
+
+
+def postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(region, side, cls): each class under its rarest shingles, so many that every pair at the threshold shares one; region names shingle and two
+    size classes, and side says in which of them the class is (2: both are the same).
+
+    The order is by the count of a shingle's bucket and then by its hash: the same for all sets, whatever their sizes.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(commonness(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                names, keys, sides = [], [], []
+                for cls, x in zip(b.column(0).to_pylist(), _column(pa.Table.from_batches([b]), 1), strict=True):
+                    x = x.view(np.uint64)
+                    if len(x) not in known:
+                        known[len(x)] = _prefixes(len(x), percent)
+                    x = x[np.lexsort((x, held.value[x >> _BUCKET]))]
+                    for lo, hi, n in known[len(x)]:
+                        keys.append(_mix(x[:n] ^ _mix(np.array([(lo << 20) + hi + 1], np.uint64))).view(np.int64))
+                        names += [cls] * n
+                        sides += [2 if lo == hi else int(hi == _size_class(len(x)))] * n
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(sides, pa.int32()), pa.array(names, pa.binary())], names=["region", "side", "cls"])
+
+    return sets.select("cls", "members").mapInArrow(run, "region long, side int, cls binary")
+
+
 def whole_look(whole: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Links between components within regions above REGION, none of whose pairs is left out.
 
-    Of two components one is not the region's largest, so its members ask: in blocks of REGION / 2 they meet each block of the
-    region's members in a cell of its own. Rows grow with askers times blocks, which is much only where a large region is
-    many components.
+    The regions' members are posted under their rarest shingles; a posting matters if it has members of two components. There the members
+    outside its largest component ask all, or, for two classes of sizes, those of the smaller side ask the other. Where many share one posting,
+    askers, in blocks of REGION / 2, meet each block of members in a cell of its own.
     """
     half = max(1, REGION // 2)
-    looked = durable(whole.join(parts, whole["cls"] == parts["node"], "left").select("region", "cls", F.coalesce("component", "cls").alias("component")), "whole")
-    size = looked.groupBy("region", "component").agg(F.count("*").alias("n"))
-    largest = size.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    largest = largest.where("n > most").select("region", "main", F.ceil(F.col("n") / half).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / half).cast("int").alias("groups"))
-    largest = durable(largest, "largest")
-    if largest.isEmpty():
-        return looked.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    mixed = durable(looked.join(sized(largest), "region"), "mixed")
+    looked = whole.join(parts, whole["cls"] == parts["node"], "left").select("region", "cls", F.coalesce("component", "cls").alias("component"))
+    ends = looked.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
+    mixed = durable(looked.join(sized(ends), "region", "left_semi").select("cls", "component").distinct(), "mixed")
+    nothing = mixed.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    if mixed.isEmpty():
+        return nothing
+    sets = full_sets(mixed.select("cls").join(classes.select("cls", "doc_id", "text_key"), "cls"), docs, key, text)
+    posted = durable(postings(sets, percent).join(mixed, "cls"), "posted")
+    of = lambda side: F.count(F.when(F.col("side") == side, 1))
+    ends = posted.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"))
+    ends = ends.where("lo <> hi and (n2 > 0 or (n0 > 0 and n1 > 0))").select("region", "n0", "n1")
+    looked = durable(posted.join(sized(ends), "region"), "looked")
+    if looked.isEmpty():
+        return nothing
+    # of one size class, all outside the posting's largest component ask; of two, the side of fewer members asks the other
+    size = looked.where("side = 2").groupBy("region", "component").agg(F.count("*").alias("n"))
+    largest = durable(size.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")), "largest")
+    parted = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / half)).cast("int")
+    same = looked.where("side = 2").join(sized(largest), "region").withColumn("askers", F.col("n") - F.col("most"))
+    same = same.select("region", "cls", "component", (F.col("component") != F.col("main")).alias("asks"), F.lit(True).alias("hears"), "n", parted("n").alias("blocks"), parted("askers").alias("groups"))
+    asks = F.col("side") == F.when(F.col("n0") <= F.col("n1"), 0).otherwise(1)
+    cross = looked.where("side < 2").withColumns({"few": F.least("n0", "n1"), "many": F.greatest("n0", "n1")})
+    cross = cross.select("region", "cls", "component", asks.alias("asks"), (~asks).alias("hears"), (F.col("n0") + F.col("n1")).alias("n"), parted("many").alias("blocks"), parted("few").alias("groups"))
+    met = same.unionByName(cross)
+    few = met.where(F.col("n") <= REGION).select("region", "cls", "component", "asks")
+    many = met.where(F.col("n") > REGION)
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    ask = mixed.where("component <> main").select("region", "cls", "component", F.lit(True).alias("asks"), mine("groups").alias("g"), all_of("blocks").alias("b"))
-    hear = mixed.select("region", "cls", "component", F.lit(False).alias("asks"), all_of("groups").alias("g"), mine("blocks").alias("b"))
-    cells = ask.union(hear).select(F.xxhash64("region", "g", "b").alias("region"), "cls", "component", "asks")
-    need = mixed.select("cls").distinct().join(classes.select("cls", "doc_id", "text_key"), "cls")
-    data = full_sets(need, docs, key, text).join(classes.select("cls", "sig"), "cls")
+    ask = many.where("asks").select("region", "cls", "component", F.lit(True).alias("asks"), mine("groups").alias("g"), all_of("blocks").alias("b"))
+    hear = many.where("hears").select("region", "cls", "component", F.lit(False).alias("asks"), all_of("groups").alias("g"), mine("blocks").alias("b"))
+    cells = few.unionByName(ask.union(hear).select(F.xxhash64("region", "g", "b").alias("region"), "cls", "component", "asks"))
+    data = sets.join(classes.select("cls", "sig"), "cls")
     rows = cells.join(data, "cls").select("region", "cls", "sig", "component", "members", "asks")
     return durable(_pairs_of(rows, lambda s, c, m, q: _apart(s, c, m, percent, q)), "links")
 

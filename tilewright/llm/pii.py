@@ -307,7 +307,10 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs whose text has [EMAIL], [IP], [CARD] or [PHONE] for each span; where spans overlap, the first names the gap."""
-    out = detect(docs.select("*", F.col(text).alias("_r_text")), "_r_text").drop("n_email", "n_ip", "n_card", "n_phone", "base", "spans")
+    made = [*(f"n_{k}" for k in KINDS), "base", "spans", "pii_spans", "_r_text"]
+    held = {c: f"_r_held_{i}" for i, c in enumerate(docs.columns) if c.lower() in made and c != text}  # columns of the input that results are named like
+    out = detect(docs.withColumnsRenamed(held).select("*", F.col(text).alias("_r_text")), "_r_text")
+
     def pieces(spans: Column) -> Column:
         end = F.struct(F.length("_r_text").alias("start"), F.lit(0).alias("rank"), F.length("_r_text").alias("end"), F.lit(None).cast("string").alias("kind"))
         tag = lambda s: F.coalesce(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")), F.lit(""))
@@ -315,4 +318,5 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         return scanned(F.concat(spans, F.array(end)), F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.when(s["start"] < at, "").otherwise(cut(at, s)), "string")
 
     body = F.array_join(pieces(F.array_sort("pii_spans")), "")
-    return out.withColumn(text, F.when(F.size("pii_spans") > 0, body).otherwise(F.col("_r_text"))).drop("_r_text", "pii_spans")
+    body = F.when(F.size("pii_spans") > 0, body).otherwise(F.col("_r_text"))
+    return out.select(*[body.alias(c) if c == text else F.col(held.get(c, c)).alias(c) for c in docs.columns])

@@ -86,13 +86,17 @@ def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
     from tilewright.llm import secrets
+    from tilewright.llm.common import shared_folder
 
     docs = _table(spark, sf_dir, "documents")
     # sources are delivered in two parts; the second is scanned against the ledger that the first has left
     part = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(2))
-    ledger = secrets.scan_incrementally(docs.where(part == 0))
-    ledger = secrets.scan_incrementally(docs.where(part == 1), ledger)
+    path = f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    secrets.scan_into(docs.where(part == 0), path)
+    ledger = secrets.scan_into(docs.where(part == 1), path)
     found = secrets.findings(docs, ledger)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "blob")
 

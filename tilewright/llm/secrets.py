@@ -11,7 +11,7 @@ Null text is the empty text. Repeated rows and copies share one scan; every row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import durable, match_spans, sized, spans_text
@@ -75,12 +75,29 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_V
     return named.dropDuplicates(["blob"])
 
 
+def kept_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at a path, None if there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(LEDGER).parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
 def scan_incrementally(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION, text: str = "text") -> DataFrame:
-    """The new ledger: the old rows and one for each unseen blob, as a durable table."""
+    """The new ledger of one session: the old rows and one for each unseen blob, as a durable table. For many increments see scan_into."""
     new = durable(scanned(unseen(docs, ledger, rule_version, text), rule_version), "ledger")
     return new if ledger is None else ledger.select(new.columns).unionByName(new)
 
 
+def scan_into(docs: DataFrame, path: str, rule_version: int = RULE_VERSION, text: str = "text") -> DataFrame:
+    """The ledger at `path`, to which a row for each unseen blob is added first.
+
+    One Parquet table with a folder for each rule version, so plans stay as they are however many increments there were. Rows of a
+    run that fails are not committed; the next run finds their blobs unseen and scans them again.
+    """
+    new = scanned(unseen(docs, kept_ledger(docs.sparkSession, path), rule_version, text), rule_version)
+    new.write.mode("append").partitionBy("rule_version").parquet(path)
+    return kept_ledger(docs.sparkSession, path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of docs as (path, blob) with its blob's findings; blobs without any are not joined."""
     hits = ledger.where((F.col("rule_version") == rule_version) & (F.col("spans") != "")).drop("rule_version")
