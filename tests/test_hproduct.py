@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import dense
 from tilewright.operators import clusters as C
-from tilewright.operators import hbases, hlu
+from tilewright.operators import hbases, hcodes, hlu
 from tilewright.operators import hmatrix as H
 from tilewright.operators import hproduct as P
 
@@ -105,3 +105,26 @@ def test_bases(spark, pair):
     assert hbases.rank_info(u).where("max_rank < min_rank or avg_rank < min_rank").count() == 0 < hbases.rank_info(nested).count()
     coarse = hbases.to_nested(hbases.to_uniform(b, dense.Acc(rel=1e-2)), dense.Acc(rel=1e-2))
     assert 1e-6 < np.abs(as_array(hbases.matvec_nested(coarse, vec(spark, v))) - want).max() < 0.1 * np.abs(want).max()
+
+
+def test_encoded_columns(spark, pair):
+    """U S V factors are orthonormal with falling singular values; products of the encoded table err as asked, in fewer bytes."""
+    _, b, _, kb = pair
+    v = np.random.default_rng(10).standard_normal(N)
+    orth, sigma = hcodes.usv(b)
+    s = {(r.rcid, r.ccid): np.array(r.s) for r in sigma.collect()}
+    held = {}
+    for r in orth.far.orderBy("leaf").collect():
+        held.setdefault((r.rcid, r.ccid, r.side), []).append(np.array(r.f).reshape(r.n, r.k))
+    for (rcid, ccid, _), parts in held.items():
+        x = np.vstack(parts)
+        assert np.allclose(x.T @ x, np.eye(x.shape[1]), atol=1e-6) and (np.diff(s[rcid, ccid]) <= 1e-12).all()
+    sizes = []
+    for delta in (1e-3, 1e-8):
+        e = hcodes.encode(b, delta)
+        assert np.abs(as_array(hcodes.matvec(e, vec(spark, v))) - kb @ v).max() < 10 * delta * np.abs(kb @ v).max() + 1e-7
+        rows = hcodes.bytes_by_level(e).collect()
+        assert {r.kind for r in rows} == {"far", "near"}
+        sizes.append(sum(r.coded_bytes for r in rows if r.kind == "near"))
+        assert sizes[-1] < 0.8 * sum(r.full_bytes for r in rows if r.kind == "near")
+    assert sizes[0] < sizes[1]
