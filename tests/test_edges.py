@@ -133,3 +133,21 @@ def test_half_precision(spark):
     rows = coo.to_half(spark.createDataFrame([(i, 0, v) for i, v in enumerate(values_)], "i long, j long, v double")).collect()
     with np.errstate(over="ignore"):
         assert {r.i: r.v for r in rows} == {i: float(np.float16(v)) for i, v in enumerate(values_)}
+
+
+@pytest.mark.parametrize("how", ["ipt", "jacobi", "swept"])
+def test_eigenvectors(spark, how):
+    """M V = V E with orthonormal V, for tiles that do not divide the size; the swept form starts far from diagonal."""
+    r = np.random.default_rng(6).standard_normal((10, 10))
+    m = np.diag(np.arange(10) + 1.0) + (0.002 if how == "ipt" else 0.3) * (r + r.T)
+    t = lambda a: B.to_blocks(table(spark, [(i, j, float(a[i, j])) for i in range(10) for j in range(10) if a[i, j]]), 10, 10, 4, 4)
+    if how == "ipt":
+        diag = B.segments(spark.createDataFrame([(i, float(m[i, i])) for i in range(10)], "i long, v double"), 4, 10)
+        e, v = S.eigen_ipt_vectors(diag, t(m - np.diag(np.diag(m))), t(np.eye(10)))
+    else:
+        e, v = (S.eigen_jacobi_vectors if how == "jacobi" else S.eigen_swept)(t(m))
+    vectors, found = np.zeros((10, 10)), np.concatenate([x["x"] for x in e.orderBy("b").collect()])
+    for r in B.to_coo(v).collect():
+        vectors[r.i, r.j] = r.v
+    assert np.allclose(m @ vectors, vectors * found, atol=1e-7) and np.allclose(vectors.T @ vectors, np.eye(10), atol=1e-7)
+    assert np.allclose(sorted(found), np.linalg.eigvalsh(m), atol=1e-8)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.dense import TIGHT, Acc
 from tilewright.operators import blocks as B
+from tilewright.operators.arrays import summed
 from tilewright.operators.blocks import Block
 from tilewright.sources.storage import durable, forget
 
@@ -322,6 +323,35 @@ def eigen_ipt(diagonal: DataFrame, rest: DataFrame, eye: DataFrame, tol: float =
 
     Stops on tol, on a value that is not finite, or when the change grows tenfold.
     """
+    return _ipt(diagonal, rest, eye, tol, maxit)[0]
+
+
+def eigen_ipt_vectors(diagonal: DataFrame, rest: DataFrame, eye: DataFrame, tol: float = 1e-12, maxit: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(eigenvalues (b, x), eigenvector blocks with columns of length one) by the same iteration."""
+    values, v = _ipt(diagonal, rest, eye, tol, maxit)
+    return values, unit_columns(v)
+
+
+def unit_columns(blocks: DataFrame) -> DataFrame:
+    """Blocks with each column of the whole matrix scaled to length one."""
+    squares = B.measured(blocks, lambda b: (b.bj, (b.dense() ** 2).sum(axis=0)), "b int, x array<double>")
+    lengths = durable(summed(squares, ["b"]), "lengths")
+    return durable(B.scale_columns(blocks, lengths.select("b", F.transform("x", lambda q: F.when(q > 0, 1 / F.sqrt(q)).otherwise(0.0)).alias("x"))), "unit")
+
+
+def eigen_swept(m: DataFrame, dominance: float = 1e-3, tol: float = 1e-12, sweeps: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(eigenvalues, eigenvector blocks) of a symmetric block matrix: Jacobi rounds until what is off the diagonal blocks is below dominance, one
+    rotation within each diagonal block, then the fixed point."""
+    a, q = _jacobi(m, dominance, sweeps, True)
+    own = durable(B.each(a.where("bi = bj"), lambda b: [b.like(d=np.linalg.eigh((b.dense() + b.dense().T) / 2)[1])]), "own")
+    a, q = durable(B.matmul(durable(B.matmul(B.transpose(own), a), "half"), own), "swept"), durable(B.matmul(q, own), "rotation")
+    rest = durable(B.each(a, lambda b: [b.like(d=b.dense() - np.diag(np.diag(b.dense())))] if b.bi == b.bj else [b]), "rest")
+    eye = B.each(a.where("bi = bj"), lambda b: [b.like(d=np.eye(b.nr))])
+    values, v = _ipt(_diagonal(a), rest, eye, tol, 30)
+    return values, unit_columns(durable(B.matmul(q, v), "vectors"))
+
+
+def _ipt(diagonal: DataFrame, rest: DataFrame, eye: DataFrame, tol: float, maxit: int) -> tuple[DataFrame, DataFrame]:
     v, before = durable(eye, "ipt"), None
     d = durable(diagonal, "diag")
     while True:
@@ -350,7 +380,7 @@ def eigen_ipt(diagonal: DataFrame, rest: DataFrame, eye: DataFrame, tol: float =
                 _unconverged("eigenvalue iteration", change, maxit)
             break
         before = change
-    return combine(1.0, d, 1.0, _diagonal(durable(B.matmul(rest, v), "ipt")))
+    return combine(1.0, d, 1.0, _diagonal(durable(B.matmul(rest, v), "ipt"))), v
 
 
 def _diagonal(blocks: DataFrame) -> DataFrame:
@@ -368,7 +398,18 @@ def _with_segments(blocks: DataFrame, segs: DataFrame, key: str, name: str) -> D
 def eigen_jacobi(m: DataFrame, tol: float = 1e-9, sweeps: int = 6) -> DataFrame:
     """(b, x): eigenvalues of a symmetric block matrix by block Jacobi: each round solves disjoint pairs of block indices, the
     pairs with the largest off-diagonal blocks first, and applies the rotations from both sides."""
+    return _diagonal(_jacobi(m, tol, sweeps, False)[0])
+
+
+def eigen_jacobi_vectors(m: DataFrame, tol: float = 1e-9, sweeps: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(eigenvalues (b, x), orthonormal eigenvector blocks): the rotations of all rounds, multiplied."""
+    a, v = _jacobi(m, tol, sweeps, True)
+    return _diagonal(a), v
+
+
+def _jacobi(m: DataFrame, tol: float, sweeps: int, vectors: bool) -> tuple[DataFrame, DataFrame | None]:
     a = durable(m, "jacobi")
+    turned = durable(B.each(a.where("bi = bj"), lambda b: [b.like(d=np.eye(b.nr))]), "vectors") if vectors else None
     whole = B.norm_frobenius(a).first()[0]
     n = _steps(a)
     left, steps = 0.0, sweeps * max(1, n - 1)
@@ -403,4 +444,5 @@ def eigen_jacobi(m: DataFrame, tol: float = 1e-9, sweeps: int = 6) -> DataFrame:
         idle = B.each(a.where((F.col("bi") == F.col("bj")) & F.col("_gi").isNull()), lambda b: [b.like(d=np.eye(b.nr))])
         q = durable(turn.unionByName(idle), "rotation")
         a = durable(B.matmul(durable(B.matmul(B.transpose(q), a), "half"), q), "jacobi")
-    return _diagonal(a)
+        turned = durable(B.matmul(turned, q), "vectors") if vectors else None
+    return a, turned

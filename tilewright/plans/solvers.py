@@ -271,3 +271,26 @@ def _f11(s, d):
 @query("f12_eigen_jacobi", _EIG)
 def _f12(s, d):
     return _spectrum(S.eigen_jacobi(_near_diagonal(s, d, "all")[0]))
+
+
+_AGAIN = f"SELECT i, round(sum(v * (j % 7 + 1)), 4) AS v FROM (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN a.id + 1.0 ELSE 0.05 * exp(-(power(a.x-b.x,2) + power(a.y-b.y,2) + power(a.z-b.z,2))) / n END AS v FROM ({X.POINTS}) a, ({X.POINTS}) b, (SELECT count(*) AS n FROM embeddings)) GROUP BY i"
+
+
+def _rebuilt(s, d, values, vectors, tile, n):
+    """V diag(E) V^T x for a vector that is not constant: equals M x only if vectors and values belong together and V is orthonormal."""
+    x = B.segments(X.points(s, d).select(F.col("id").alias("i"), (F.pmod("id", F.lit(7)) + 1).cast("double").alias("v")), tile, n)
+    seen = durable(B.matvec(B.transpose(vectors), x), "seen").join(values.withColumnRenamed("x", "e"), "b")
+    return _out(B.matvec(vectors, seen.select("b", F.zip_with("x", "e", lambda a, b: a * b).alias("x"))), tile)
+
+
+@query("f11_eigenvectors_ipt", _AGAIN)
+def _f11v(s, d):
+    rest, tile, n = _near_diagonal(s, d, "rest")
+    diag = B.segments(X.points(s, d).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v")), tile, n)
+    return _rebuilt(s, d, *S.eigen_ipt_vectors(diag, rest, _near_diagonal(s, d, "eye")[0]), tile, n)
+
+
+@query("f12_eigenvectors_jacobi", _AGAIN)
+def _f12v(s, d):
+    m, tile, n = _near_diagonal(s, d, "all")
+    return _rebuilt(s, d, *S.eigen_jacobi_vectors(m), tile, n)
