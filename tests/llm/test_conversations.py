@@ -128,3 +128,16 @@ def test_one_shuffle(spark, sf):
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert {r.conv_id: tuple(r)[1:] for r in queries.op11_branch_and_bound_repair(spark, sf).collect()} == plain(rows)
+
+
+def test_sql(sf):
+    """The query's SQL on the given rows and on the hard ones."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("hard", pd.DataFrame(ROWS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    for source in (f"'{sf}/conversations.parquet'", "hard"):
+        con.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM {source}")
+        rows = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+        assert {r[0]: r[1:] for r in con.execute(queries.oracle_sql()["op11_branch_and_bound_repair"]).fetchall()} == plain(rows)

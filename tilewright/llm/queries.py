@@ -208,5 +208,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score
 SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM r
 """
 
+#: The cheapest (cost, audit) from each state (start, after system, after user, after assistant) and row, from the last row back.
+OP11 = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS w FROM conversations),
+every AS (SELECT DISTINCT w FROM c),
+{_CRC.format("every")},
+d AS (SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role, CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN crc % 20 = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c JOIN crc USING (w) WHERE crc % 20 <> 0),
+p AS (SELECT coalesce(conv_id::VARCHAR, '') AS k, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS before FROM p),
+h AS (SELECT DISTINCT k, n AS i, {{'c': 0, 'a': ''}} AS h0, {{'c': 10, 'a': 'II'}} AS h1, {{'c': 5, 'a': 'I'}} AS h2, {{'c': 0, 'a': ''}} AS h3 FROM f
+  UNION ALL SELECT k, i, list_min([x0, {{'c': x2.c + 5, 'a': 'I' || x2.a}}]), list_min([x1, {{'c': x2.c + 5, 'a': 'I' || x2.a}}]), list_min([x2, {{'c': x3.c + 5, 'a': 'I' || x3.a}}]), list_min([x3, {{'c': x2.c + 5, 'a': 'I' || x2.a}}])
+  FROM (SELECT k, i, list_min([b0, {{'c': b2.c + 5, 'a': 'I' || b2.a}}]) AS x0, list_min([b1, {{'c': b2.c + 5, 'a': 'I' || b2.a}}]) AS x1, list_min([b2, {{'c': b3.c + 5, 'a': 'I' || b3.a}}]) AS x2, list_min([b3, {{'c': b2.c + 5, 'a': 'I' || b2.a}}]) AS x3
+  FROM (SELECT h.k, h.i - 1 AS i,
+    list_min([{{'c': h0.c + 2, 'a': 'D' || h0.a}}, {{'c': CASE WHEN ok AND ini = 's' THEN h1.c + t WHEN ok AND ini = 'u' THEN h2.c + t ELSE 1000000000 END, 'a': 'K' || CASE WHEN ini = 's' THEN h1.a ELSE h2.a END}}, {{'c': CASE WHEN ok THEN h2.c + t + 1 ELSE 1000000000 END, 'a': 'R' || h2.a}}]) AS b0,
+    list_min([{{'c': h1.c + 2, 'a': 'D' || h1.a}}, {{'c': CASE WHEN ok AND ini = 'u' THEN h2.c + t ELSE 1000000000 END, 'a': 'K' || h2.a}}, {{'c': CASE WHEN ok THEN h2.c + t + 1 ELSE 1000000000 END, 'a': 'R' || h2.a}}]) AS b1,
+    list_min([{{'c': h2.c + 2, 'a': 'D' || h2.a}}, {{'c': CASE WHEN ok AND ini = 'a' THEN h3.c + t ELSE 1000000000 END, 'a': 'K' || h3.a}}, {{'c': CASE WHEN ok THEN h3.c + t + 1 ELSE 1000000000 END, 'a': 'R' || h3.a}}]) AS b2,
+    list_min([{{'c': h3.c + 2, 'a': 'D' || h3.a}}, {{'c': CASE WHEN ok AND ini = 'u' THEN h2.c + t ELSE 1000000000 END, 'a': 'K' || h2.a}}, {{'c': CASE WHEN ok THEN h2.c + t + 1 ELSE 1000000000 END, 'a': 'R' || h2.a}}]) AS b3
+    FROM h JOIN (SELECT k, i, ini, fault IN ('', 'truncated') AS ok, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS t FROM f) r ON r.k = h.k AND r.i = h.i))),
+best AS (SELECT k, h0.c AS cost, h0.a AS audit FROM h WHERE i = 0),
+letters AS (SELECT k, g, substr(audit, g::INTEGER, 1) AS e FROM (SELECT k, audit, unnest(range(1, length(audit) + 1)) AS g FROM best)),
+placed AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER (PARTITION BY k ORDER BY g) AS i, count(*) FILTER (WHERE e <> 'D') OVER (PARTITION BY k ORDER BY g) AS o FROM letters),
+made AS (SELECT placed.k, o, e, role, text, ini, max(CASE WHEN o = 1 AND e = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.k) AS s FROM placed LEFT JOIN f ON f.k = placed.k AND f.i = placed.i AND e <> 'I' WHERE e <> 'D'),
+rep AS (SELECT k, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY o)) AS sha FROM made GROUP BY k),
+g AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY k)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+  coalesce(sha, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS k FROM conversations) LEFT JOIN g USING (k) LEFT JOIN best USING (k) LEFT JOIN rep USING (k)
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_lsh_forest": OP3, "op5_redirect_verdicts": OP5, "op13_importance_resampling": OP13}
+    return {"op1_quality_rules": OP1, "op3_lsh_forest": OP3, "op5_redirect_verdicts": OP5, "op11_branch_and_bound_repair": OP11, "op13_importance_resampling": OP13}
