@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tilewright.functions import dense
 from tilewright.operators import blocks as B
 from tilewright.operators import clusters as C
 from tilewright.operators import coo
@@ -151,3 +152,14 @@ def test_eigenvectors(spark, how):
         vectors[r.i, r.j] = r.v
     assert np.allclose(m @ vectors, vectors * found, atol=1e-7) and np.allclose(vectors.T @ vectors, np.eye(10), atol=1e-7)
     assert np.allclose(sorted(found), np.linalg.eigvalsh(m), atol=1e-8)
+
+
+def test_dense_joins_are_bounded(spark):
+    r = np.random.default_rng(1).standard_normal((16, 16))
+    t = B.to_blocks(table(spark, [(i, j, float(r[i, j])) for i in range(16) for j in range(16)]), 16, 16, 2, 2)
+    got = B.coarsened(t, dense.Acc(rel=1e-12), 4, most=8)
+    assert {(b.nr, b.nc) for b in got.collect()} == {(8, 8)}
+    back = np.zeros((16, 16))
+    for e in B.to_coo(got).collect():
+        back[e.i, e.j] = e.v
+    assert np.allclose(back, r)

@@ -258,8 +258,9 @@ def matvec_joined(blocks: DataFrame, x: DataFrame) -> DataFrame:
     return both.groupBy("bi").applyInPandas(run, "b int, x array<double>")
 
 
-def coarsened(blocks: DataFrame, acc: Acc, levels: int, dense_joins: bool = True) -> DataFrame:
+def coarsened(blocks: DataFrame, acc: Acc, levels: int, dense_joins: bool = True, most: int = TILE) -> DataFrame:
     """Bottom-up compression: leaves take the smaller form; where all sons of a parent are low-rank, a merged low-rank block replaces them if it is not larger.
+    Dense sons join as long as no side is above `most`.
 
     One shuffle a level by the parent's key; levels end where nothing merged.
     """
@@ -270,7 +271,7 @@ def coarsened(blocks: DataFrame, acc: Acc, levels: int, dense_joins: bool = True
             nr, nc = max(b.r0 + b.nr for b in bs) - r0, max(b.c0 + b.nc for b in bs) - c0
             full = sum(b.nr * b.nc for b in bs) == nr * nc and len(bs) > 1
             at = Block(bs[0].bi >> 1, bs[0].bj >> 1, r0, c0, nr, nc)
-            if full and dense_joins and all(b.d is not None for b in bs):
+            if full and dense_joins and max(nr, nc) <= most and all(b.d is not None for b in bs):
                 d = np.zeros((nr, nc))
                 for b in bs:
                     d[b.r0 - r0 : b.r0 - r0 + b.nr, b.c0 - c0 : b.c0 - c0 + b.nc] = b.d
