@@ -110,7 +110,7 @@ def test_rarest_shingles_meet_at_every_link(spark, percent):
         rows.append((1000 + k, " ".join(words[cut:] + [f"end{k}"] * int(rng.integers(0, 3)))))
     names = [str(d).encode() for d, _ in rows]
     sets = [(n, s.view(np.int64).tolist()) for n, s in zip(names, neardup.shingle_sets([x for _, x in rows]), strict=True) if len(s)]
-    table = spark.createDataFrame(sets, "cls binary, members array<long>").repartition(3)
+    table = spark.createDataFrame(sets, "cls binary, members array<long>").withColumn("component", F.col("cls")).repartition(3)
     held = {}
     for r in neardup.postings(table, percent).collect():
         held.setdefault(r.region, []).append((r.side, int(bytes(r.cls))))

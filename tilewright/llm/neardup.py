@@ -413,7 +413,7 @@ def _prefixes(n: int, percent: int) -> list[tuple[int, int, int]]:
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(region, side, cls): each class under its rarest shingles, so many that every pair at the threshold shares one; region names shingle and two
+    """(region, side, cls, component) of sets(cls, members, component): each class under its rarest shingles, so many that every pair at the threshold shares one; region names shingle and two
     size classes, and side says in which of them the class is (2: both are the same).
 
     The order is by the count of a shingle's bucket and then by its hash: the same for all sets, whatever their sizes.
@@ -425,8 +425,8 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                names, keys, sides = [], [], []
-                for cls, x in zip(b.column(0).to_pylist(), _column(pa.Table.from_batches([b]), 1), strict=True):
+                names, keys, sides, parts = [], [], [], []
+                for cls, x, part in zip(b.column(0).to_pylist(), _column(pa.Table.from_batches([b]), 1), b.column(2).to_pylist(), strict=True):
                     x = x.view(np.uint64)
                     if len(x) not in known:
                         known[len(x)] = _prefixes(len(x), percent)
@@ -434,10 +434,11 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
                     for lo, hi, n in known[len(x)]:
                         keys.append(_mix(x[:n] ^ _mix(np.array([(lo << 20) + hi + 1], np.uint64))).view(np.int64))
                         names += [cls] * n
+                        parts += [part] * n
                         sides += [2 if lo == hi else int(hi == _size_class(len(x)))] * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(sides, pa.int32()), pa.array(names, pa.binary())], names=["region", "side", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(sides, pa.int32()), pa.array(names, pa.binary()), pa.array(parts, pa.binary())], names=["region", "side", "cls", "component"])
 
-    return sets.select("cls", "members").mapInArrow(run, "region long, side int, cls binary")
+    return sets.select("cls", "members", "component").mapInArrow(run, "region long, side int, cls binary, component binary")
 
 
 def whole_look(whole: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -455,7 +456,7 @@ def whole_look(whole: DataFrame, parts: DataFrame, classes: DataFrame, docs: Dat
     if mixed.isEmpty():
         return nothing
     sets = full_sets(mixed.select("cls").join(classes.select("cls", "doc_id", "text_key"), "cls"), docs, key, text)
-    posted = durable(postings(sets, percent).join(mixed, "cls"), "posted")
+    posted = durable(postings(sets.join(mixed, "cls"), percent), "posted")
     of = lambda side: F.count(F.when(F.col("side") == side, 1))
     ends = posted.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"))
     ends = ends.where("lo <> hi and (n2 > 0 or (n0 > 0 and n1 > 0))").select("region", "n0", "n1")
