@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.functions import dense
 from tilewright.operators import blocks as B
@@ -163,3 +164,21 @@ def test_dense_joins_are_bounded(spark):
     for e in B.to_coo(got).collect():
         back[e.i, e.j] = e.v
     assert np.allclose(back, r)
+
+
+def test_log_lines_keep_their_order_when_sorts_spill(spark, tmp_path):
+    """The last value of each kind counts, so lines must be written by event, whatever the writer's sort does."""
+    from tilewright.plans import registry
+
+    key = "spark.shuffle.spill.numElementsForceSpillThreshold"
+    t = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.lit("view").alias("event_type"), (F.col("id") * 3).alias("user_id"), (F.col("id") / 4).alias("value")
+    )
+    t.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf()  # sorts of a local session read it there
+    env.set(key, "50")
+    try:
+        got = {r["blas"]: (r["time"], r["mem"]) for r in registry.queries()["io10_read_bench_logs"](spark, str(tmp_path)).collect()}
+    finally:
+        env.remove(key)
+    assert got == {str(k): ((2996 + k) / 4, (996 + k) * 1000) for k in range(4)}
