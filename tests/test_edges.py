@@ -182,3 +182,44 @@ def test_log_lines_keep_their_order_when_sorts_spill(spark, tmp_path):
     finally:
         env.remove(key)
     assert got == {str(k): ((2996 + k) / 4, (996 + k) * 1000) for k in range(4)}
+
+
+def test_frames_of_tasks_are_bounded():
+    """However many rows a batch has, what a task makes of them leaves in frames of bounded size."""
+    from tilewright.operators import arrays
+
+    half = arrays.FRAME_NUMBERS // 2
+    blocks = (B.Block(0, j, 0, 0, 1, half, d=np.zeros((1, half))) for j in range(7))
+    assert [len(f) for f in B.frames(blocks)] == [2, 2, 2, 1]
+
+
+def test_blocks_made_in_tasks_solve_like_stored_ones(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((11, 3))
+    p = spark.createDataFrame([(i, x[i].tolist()) for i in range(11)], "id long, x array<double>")
+    k = S.kernel_blocks(p, 4, lambda i, j, a, b: (i[:, None] == j[None, :]) + 0.1 * a[:, None, 0] * b[None, :, 1])
+    a = np.eye(11) + 0.1 * x[:, :1] * x[:, 1][None]
+    v = B.segments(spark.createDataFrame([(i, float(i + 1)) for i in range(11)], "i long, v double"), 4, 11)
+    right = B.to_blocks(spark.createDataFrame([(i, j, float(i + 2 * j + 1)) for i in range(11) for j in range(3)], "i long, j long, v double"), 11, 3, 4, 3)
+    flat = lambda t: np.concatenate([r["x"] for r in sorted(t.collect())])
+    assert np.allclose(flat(k.matvec(v)), a @ np.arange(1, 12)) and k.stored().count() == 9 and k.diagonal().count() == 3
+    for lower in (True, False):
+        part = k.cut(lambda b, lower=lower: (b if b.bi != b.bj else b.like(d=np.tril(b.d) if lower else np.triu(b.d))) if (b.bi >= b.bj if lower else b.bi <= b.bj) else None)
+        t = np.tril(a) if lower else np.triu(a)
+        for transposed in (False, True):
+            m = t.T if transposed else t
+            assert np.allclose(flat(S.substitute(part, v, lower, transposed, unit=False)), np.linalg.solve(m, np.arange(1, 12)))
+            got = values(B.to_coo(S.substitute_blocks(part, right, lower, transposed, unit=False)))
+            want = np.linalg.solve(m, np.add.outer(np.arange(11), 2 * np.arange(3)) + 1.0)
+            assert got == pytest.approx({(i, j): want[i, j] for i in range(11) for j in range(3)})
+
+
+def test_sums_of_many_products(spark):
+    """Products of a long inner index are summed as they come, and low-rank sums stay as thin as their side."""
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((90, 3))
+    t = B.to_blocks(table(spark, [(i, j, float(a[i, j])) for i in range(90) for j in range(3)]), 90, 3, 2, 3)
+    for left, right in ((t, t), (B.lowrank(t), t), (B.lowrank(t), B.lowrank(t))):
+        made = B.matmul(B.transpose(left), right)
+        assert np.allclose(list(values(B.to_coo(made)).values()), list({(i, j): (a.T @ a)[i, j] for i in range(3) for j in range(3)}.values()))
+        assert all(r["k"] is None or r["k"] <= 3 for r in made.collect())
