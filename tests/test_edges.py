@@ -223,3 +223,18 @@ def test_sums_of_many_products(spark):
         made = B.matmul(B.transpose(left), right)
         assert np.allclose(list(values(B.to_coo(made)).values()), list({(i, j): (a.T @ a)[i, j] for i in range(3) for j in range(3)}.values()))
         assert all(r["k"] is None or r["k"] <= 3 for r in made.collect())
+
+
+def test_all_pairs_meet_once_on_all_cores(spark):
+    from tilewright.functions import kernels
+
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 3))
+    p = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "id long, x array<double>").coalesce(1)
+    assert kernels._pairs(p, 4).select(F.spark_partition_id().alias("p")).distinct().count() == spark.sparkContext.defaultParallelism
+    n = kernels._pairs(p, 4).count()
+    tiles = round(n**0.5)
+    assert kernels._pairs(p, 4, once=True).count() == tiles * (tiles + 1) // 2 < n
+    want = kernels.array("exponential", x, x, eps=2.0).sum(axis=1)
+    got = {r["i"]: r["v"] for r in kernels.sums(p, "exponential", {"eps": 2.0}).collect()}
+    assert got == pytest.approx(dict(enumerate(want)))
