@@ -1,5 +1,7 @@
 """Edge cases of the operators on small made tables."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +240,20 @@ def test_all_pairs_meet_once_on_all_cores(spark):
     want = kernels.array("exponential", x, x, eps=2.0).sum(axis=1)
     got = {r["i"]: r["v"] for r in kernels.sums(p, "exponential", {"eps": 2.0}).collect()}
     assert got == pytest.approx(dict(enumerate(want)))
+
+
+def test_filled_is_not_shuffled(spark):
+    """All pairs of indices, copies and nulls as a join gives them, and no exchange of the dense result."""
+    a = table(spark, [(0, 1, 2.0), (0, 1, 3.0), (2, 4099, None), (2, 7, 4.0), (9, 1, 5.0), (None, 1, 6.0)])
+    rows = spark.createDataFrame([(0,), (2,), (2,), (None,)], "i long")
+    cols = spark.createDataFrame([(1,), (7,), (7,), (4099,), (None,)], "j long")
+    want = rows.join(cols, how="cross").join(a, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+    got = coo.filled(a, rows, cols)
+    order = lambda t: sorted(map(str, t.collect()))
+    assert order(got) == order(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = coo.filled(a, rows, cols)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(i#\d+L?, j#", plan)  # pairs would move by their names
