@@ -95,3 +95,24 @@ def test_lagrange_reproduces_polynomials(count):
     for power in range(count):
         at = dense.grid_points([axis, axis])
         assert np.allclose(dense.lagrange(x, [axis, axis]) @ (at[:, 0] ** power * at[:, 1]) if count > 1 else dense.lagrange(x, [axis, axis])[:, 0], x[:, 0] ** power * x[:, 1] if count > 1 else 1.0, atol=1e-5)
+
+
+def test_sparse_blocks_stay_entries_where_factors_would_be_larger(spark):
+    """Random blocks have full rank: with a rank of at most 3 they were cut, and with a high one factors were many times the entries."""
+    rng = np.random.default_rng(8)
+    n = 96
+    a = np.where(rng.random((n, n)) < 0.04, rng.standard_normal((n, n)), 0.0)
+    a[48:72, 72:96] = np.outer(rng.random(24) + 1, rng.random(24) + 1)  # one block of rank 1
+    rows = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, v double")
+    points = spark.range(n).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    h = H.from_entries(rows, C.bisect(points, 12), C.admissible("offdiag", dim=1), 3, dense.Acc(rel=1e-12))
+    assert [(r.rcid, r.ccid, r.k) for r in h.far.select("rcid", "ccid", "k").distinct().collect()] == [(6, 7, 1)]
+    assert h.light.select(F.sum(F.size("v"))).first()[0] + h.near.count() * 12 <= np.count_nonzero(a) + 8 * 12 * 12
+    v = rng.standard_normal(n)
+    x = durable(spark.createDataFrame([(i, float(z)) for i, z in enumerate(v)], "i long, v double"), "x")
+    for made, want in ((H.matvec(h, x), a @ v), (H.matvec(h, x, transposed=True), a.T @ v), (H.matvec(H.with_dense_tiles(h), x), a @ v)):
+        got = dict(made.collect())
+        assert np.allclose([got.get(i, 0.0) for i in range(n)], want, atol=1e-9)
+    dense_form = H.converted(h, 60, dense.Acc(rel=1e-12))
+    got = dict(H.matvec(dense_form, x).collect())
+    assert np.allclose([got.get(i, 0.0) for i in range(n)], a @ v, atol=1e-7)
