@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -9,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import dense, kernels
+from tilewright.operators import blocks as B
 from tilewright.operators import clusters as C
 from tilewright.operators import hmatrix as H
+from tilewright.operators import solvers as S
 from tilewright.sources.storage import durable
 
 
@@ -116,3 +119,72 @@ def test_sparse_blocks_stay_entries_where_factors_would_be_larger(spark):
     dense_form = H.converted(h, 60, dense.Acc(rel=1e-12))
     got = dict(H.matvec(dense_form, x).collect())
     assert np.allclose([got.get(i, 0.0) for i in range(n)], a @ v, atol=1e-7)
+
+
+def _triangle_made(spark, monkeypatch, lower):
+    """(triangle in tiles of 7 and pieces of 3 whose entries refuse larger ones, the same as an array)."""
+    monkeypatch.setattr(S, "PIECE", 3, raising=False)
+    monkeypatch.setattr(S, "ACROSS", 2, raising=False)
+    x = np.random.default_rng(11).random((45, 3))
+    points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "id long, x array<double>")
+
+    def entry(i, j, a, b):
+        assert max(len(i), len(j)) <= 3, "a block is made as a whole"
+        return (i[:, None] == j[None, :]) + 0.1 * a[:, None, 0] * b[None, :, 1]
+
+    def part(b):
+        if b.bi == b.bj:
+            return b.like(d=np.tril(b.d) if lower else np.triu(b.d))
+        return b if (b.bi > b.bj) == lower else None
+
+    whole = np.eye(45) + 0.1 * x[:, :1] * x[:, 1][None]
+    return S.kernel_blocks(points, 7, entry).cut(part, "lower" if lower else "upper"), np.tril(whole) if lower else np.triu(whole)
+
+
+@pytest.mark.parametrize("lower", [True, False])
+def test_made_blocks_are_never_whole(spark, monkeypatch, lower):
+    """Products and solves make blocks piece by piece; right sides may lack blocks or be of low rank."""
+    made, t = _triangle_made(spark, monkeypatch, lower)
+    x = durable(B.segments(spark.createDataFrame([(i, i + 1.0) for i in range(45)], "i long, v double"), 7, 45), "x")
+    flat = lambda s: np.concatenate([r["x"] for r in sorted(s.collect())])
+    right = np.add.outer(np.arange(45.0), np.arange(3.0)) ** 2
+    right[14:28] = 0.0
+    dense = durable(B.to_blocks(spark.createDataFrame([(i, j, float(right[i, j])) for i in range(45) for j in range(3) if right[i].any()], "i long, j long, v double"), 45, 3, 7, 2), "right")
+    assert dense.count() == 10
+    for flip in (False, True):
+        m, a = (made.transposed(), t.T) if flip else (made, t)
+        assert np.allclose(flat(m.matvec(x)), a @ np.arange(1, 46))
+        assert np.allclose(flat(S.substitute(made, x, lower, flip, unit=False)), np.linalg.solve(a, np.arange(1, 46)))
+        for b in (dense, B.lowrank(dense)):
+            for got, want in ((m.matmul(b), a @ right), (S.substitute_blocks(made, b, lower, flip, unit=False), np.linalg.solve(a, right))):
+                seen = np.zeros((45, 3))
+                for r in B.to_coo(got).collect():
+                    seen[r.i, r.j] += r.v
+                assert np.allclose(seen, want)
+
+
+def test_tasks_of_made_products_meet_few_tiles(spark, monkeypatch):
+    """All pairs of tiles with their right sides went through as many tasks as there are cores, in batches that grew with their square."""
+    made = _triangle_made(spark, monkeypatch, True)[0]
+    x = durable(B.segments(spark.createDataFrame([(i, 1.0) for i in range(45)], "i long, v double"), 7, 45), "x")
+    met = made.pairs(x.select(F.col("b").alias("bj"), F.col("x").alias("z"))).select("bi", "bj", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.bi, r.bj) for r in met) == [(i, j) for i in range(7) for j in range(i + 1)]
+    tasks = {}
+    for r in met:
+        tasks.setdefault(r.task, []).append(r)
+    assert all(len({r.bi for r in rows}) == 1 and len(rows) <= 2 * S.ACROSS for rows in tasks.values())
+
+
+def test_steps_of_a_solve_do_not_shuffle(spark, monkeypatch):
+    made = _triangle_made(spark, monkeypatch, True)[0]
+    x = durable(B.segments(spark.createDataFrame([(i, 1.0) for i in range(45)], "i long, v double"), 7, 45), "x")
+    plans = []
+
+    def run(df, name="step"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return durable(df, name)
+
+    monkeypatch.setattr(S, "durable", run)
+    S.substitute(made, x, lower=True, unit=False)
+    steps = [plan for name, plan in plans if name in ("own", "rhs")][1:]
+    assert len(steps) == 7 + 6 and not any(re.search(r"Exchange (hash|range|round)", plan) for plan in steps)
