@@ -188,3 +188,32 @@ def test_steps_of_a_solve_do_not_shuffle(spark, monkeypatch):
     S.substitute(made, x, lower=True, unit=False)
     steps = [plan for name, plan in plans if name in ("own", "rhs")][1:]
     assert len(steps) == 7 + 6 and not any(re.search(r"Exchange (hash|range|round)", plan) for plan in steps)
+
+
+@pytest.mark.parametrize("kernel", sorted(kernels.DEFAULTS))
+def test_expanded_squares_lose_no_digits(kernel):
+    """Far from the origin, with copies, near copies and points out of range, strips of expanded squares give what differences give."""
+    rng = np.random.default_rng(4)
+    x = rng.random((150, 3)) + 1000.0
+    y = np.vstack([x[:5], x[5:9] + 1e-7, rng.random((120, 3)) + 1000.0])
+    for a, b in ((x, y), (x[:3], x[:3]), (np.vstack([x, [[1e200, 0.0, 0.0]]]), y)):
+        square, want = kernels.expanded(a, b), kernels.array(kernel, a, b, **kernels.DEFAULTS[kernel])
+        for at in range(0, len(a), kernels.STRIP):
+            rows = slice(at, at + kernels.STRIP)
+            got = kernels.of_squares(kernel, square(rows), **kernels.DEFAULTS[kernel])
+            assert np.allclose(got, want[rows], rtol=1e-11, atol=1e-12, equal_nan=True)
+
+
+def test_sums_take_squares_by_products(spark, monkeypatch):
+    """Differences, nine passes over a block, are left to close points."""
+    x = np.random.default_rng(6).random((300, 3))
+    p = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], "id long, x array<double>")
+    want = kernels.array("gaussian", x, x, eps=2.0).sum(axis=1)
+    monkeypatch.setattr(kernels, "squares", None)
+    tile = type("Row", (), {"t": 0, "u": 1, "dim": 3, "xs": x[:150].ravel(), "ys": x[150:].ravel()})
+    seen = {}
+    monkeypatch.setattr(kernels, "mapped_sum", lambda rows, f, schema: seen.update(f=f) or rows.sparkSession.createDataFrame([], schema))
+    kernels.sums(p, "gaussian", {"eps": 2.0})
+    (_, rows), (_, cols) = seen["f"](tile)
+    some = kernels.of_squares("gaussian", ((x[:150, None] - x[None, 150:]) ** 2).sum(axis=2), eps=2.0)
+    assert np.allclose(rows, some.sum(axis=1)) and np.allclose(cols, some.sum(axis=0)) and (want[:150] > rows).all()
