@@ -190,6 +190,32 @@ def test_steps_of_a_solve_do_not_shuffle(spark, monkeypatch):
     assert len(steps) == 7 + 6 and not any(re.search(r"Exchange (hash|range|round)", plan) for plan in steps)
 
 
+@pytest.mark.parametrize("lower", [True, False])
+def test_steps_of_a_solve_take_several_tiles(spark, monkeypatch, lower):
+    """A step for each of 23 tiles wrote 45 tables of many files; the last step may be shorter, right sides may lack blocks, be mixed or of low rank."""
+    base, t = _triangle_made(spark, monkeypatch, lower)
+    points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(np.random.default_rng(11).random((45, 3)))], "id long, x array<double>")
+    made, written = S.kernel_blocks(points, 2, base.entry).cut(base.part, base.half), []
+    right = np.add.outer(np.arange(45.0), np.arange(3.0)) ** 2
+    right[6:11] = 0.0
+    dense = durable(B.to_blocks(spark.createDataFrame([(i, j, float(right[i, j])) for i in range(45) for j in range(3) if right[i].any()], "i long, j long, v double"), 45, 3, 2, 2), "right")
+    low = B.lowrank(dense)
+
+    def run(df, name="step"):
+        written.append(name)
+        return durable(df, name)
+
+    monkeypatch.setattr(S, "durable", run)
+    for flip, b in ((False, dense), (True, low), (False, dense.where("bi % 2 = 0").unionByName(low.where("bi % 2 = 1")))):
+        m, a = (made.transposed(), t.T) if flip else (made, t)
+        written.clear()
+        seen = np.zeros((45, 3))
+        for r in B.to_coo(S.substitute_blocks(made, b, lower, flip, unit=False)).collect():
+            seen[r.i, r.j] += r.v
+        assert np.allclose(seen, np.linalg.solve(a, right)) and m.steps == 23
+        assert written.count("own") == 8 and written.count("rhs") == 8
+
+
 @pytest.mark.parametrize("kernel", sorted(kernels.DEFAULTS))
 def test_expanded_squares_lose_no_digits(kernel):
     """Far from the origin, with copies, near copies and points out of range, strips of expanded squares give what differences give."""
