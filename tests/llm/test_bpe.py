@@ -91,3 +91,16 @@ def test_tables(spark, hard, sf, library):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_one_worker_encodes_and_decodes(spark, hard, sf):
+    """Two passes had two workers for each task, each with the automaton, and texts went through both."""
+    plan = queries.op12_backtracking_bpe(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    got = bpe.round_trip(hard, FILE)
+    want = bpe.decode(bpe.encode(hard, FILE).drop("text"), FILE)
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == hard.count()
+    assert bpe.round_trip(hard.limit(0), FILE).count() == 0
+    for column in ("ids", "DECODED"):
+        with pytest.raises(ValueError, match="already"):
+            bpe.round_trip(hard.selectExpr("text", f"1 AS {column}"), FILE)

@@ -305,6 +305,21 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
+def _encoded(whole: pa.RecordBatch, at: int, to_ids: Encoder, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(whole, at, size=1 << 22):
+        found = to_ids([x or "" for x in batch.column(at).to_pylist()])
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
+
+
+def _decoded(whole: pa.RecordBatch, at: int, table: Merges, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for start in range(0, whole.num_rows, 256):
+        batch = whole.slice(start, 256)
+        texts = [table.decode(np.asarray(x.values if x.is_valid else [], dtype=np.int64)) for x in batch.column(at)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the array of token ids of each whole text."""
     at = docs.columns.index(text)
@@ -313,11 +328,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, at, size=1 << 22):
-                found = to_ids([x or "" for x in batch.column(at).to_pylist()])
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
+            yield from _encoded(whole, at, to_ids, schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -330,9 +341,23 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merges(tokenizer)
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                texts = [table.decode(np.asarray(x.values if x.is_valid else [], dtype=np.int64)) for x in batch.column(at)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            yield from _decoded(whole, at, table, schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs without the text, but with its ids and their text: encode and decode in one pass, so that a task has one worker with one automaton, and
+    neither texts nor ids go back and forth between them."""
+    at, kept = docs.columns.index(text), [c for c in docs.columns if c != text]
+    longer = _with(docs, ids, T.ArrayType(T.IntegerType(), False))
+    schema = T.StructType([*docs.select(kept).schema.fields, longer[ids], T.StructField(decoded, T.StringType())])
+    _with(docs, decoded, T.StringType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids = encoder(tokenizer)
+        for whole in batches:
+            for batch in _encoded(whole, at, to_ids, longer.names):
+                yield from _decoded(batch.select([*kept, ids]), len(kept), to_ids.merges, schema.names)
+
+    return docs.mapInArrow(run, schema)

@@ -113,7 +113,7 @@ def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import bpe
 
     file = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), file).drop("text"), file)
+    out = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), file)
     digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
