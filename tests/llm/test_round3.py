@@ -139,3 +139,16 @@ def test_templates_grow_in_proportion(spark, monkeypatch):
         assert all(got[10_000 + k] == k * 7 for k in range(20)) and sum(d != c for d, c in got.items()) == 20
         seen.append(0) if len(seen) < (1 if n == 1000 else 2) else None
     assert max(seen) < 3000
+
+
+def test_one_worker_stores_and_describes_media(spark, hard, sf):
+    """Two passes had two workers for each task, and media went through both."""
+    from tilewright.llm import media, queries
+
+    plan = queries.op4_wav_fingerprints(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    got, want = media.stored_and_described(hard, slice_rows=2), media.describe(media.encode(hard).drop("text"))
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == hard.count()
+    clash = hard.selectExpr("text", "1 AS media", "2 AS codes")
+    assert media.stored_and_described(clash).exceptAll(media.describe(media.encode(clash).drop("text"))).count() == 0
+    assert media.stored_and_described(hard.limit(0)).count() == 0

@@ -99,43 +99,67 @@ def _extend(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*kept.values(), *columns.values()], names=[*kept, *columns])
 
 
+_STORED = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
+_FOUND = [
+    T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail", T.BinaryType()),
+    T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("codes", T.ArrayType(T.LongType())),
+]
+
+
+def _stored(whole: pa.RecordBatch, text: str, slice_rows: int, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    for batch in slices(whole, text, slice_rows, size):
+        raw = [(x or "").encode() for x in batch.column(text).to_pylist()]
+        yield _extend(batch, {
+            "n_bytes": pa.array([len(x) for x in raw], pa.int64()),
+            "media": pa.array([to_wav(padded(x)) for x in raw], pa.binary()),
+        })
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def _described(whole: pa.RecordBatch, column: str, slice_rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(whole, column, slice_rows):
+        raw = [from_wav(x) for x in batch.column(column).to_pylist()]
+        found = [fingerprint(np.frombuffer(x, dtype=np.uint8)) for x in raw]
+        yield _extend(batch, {
+            "payload_bytes": pa.array([len(x) for x in raw], pa.int64()),
+            "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+            "tail": pa.array([x[-32:] for x in raw], pa.binary()),
+            "times": _lists([f[0] for f in found], pa.int32()),
+            "codes": _lists([f[1] for f in found], pa.int64()),
+        })
+
+
 def encode(docs: DataFrame, text: str = "text", slice_rows: int = 256) -> DataFrame:
     """docs with n_bytes (long) and media (binary, a WAV file of the padded UTF-8 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text, slice_rows):
-                raw = [(x or "").encode() for x in batch.column(text).to_pylist()]
-                yield _extend(batch, {
-                    "n_bytes": pa.array([len(x) for x in raw], pa.int64()),
-                    "media": pa.array([to_wav(padded(x)) for x in raw], pa.binary()),
-                })
+            yield from _stored(whole, text, slice_rows)
 
-    return docs.mapInArrow(run, _added(docs.schema, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+    return docs.mapInArrow(run, _added(docs.schema, _STORED))
 
 
 def describe(media: DataFrame, column: str = "media", slice_rows: int = 256) -> DataFrame:
     """media with payload_bytes, payload_sha256, tail (its last 32 bytes), and the fingerprint's times and codes."""
-    more = [
-        T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail", T.BinaryType()),
-        T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("codes", T.ArrayType(T.LongType())),
-    ]
 
-    def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            yield from _described(whole, column, slice_rows)
+
+    return media.mapInArrow(run, _added(media.schema, _FOUND))
+
+
+def stored_and_described(docs: DataFrame, text: str = "text", slice_rows: int = 256) -> DataFrame:
+    """docs without the text, with what encode and describe add: both in one pass, so that a task has one worker and media do not go back and forth."""
+    kept = _added(T.StructType([f for f in docs.schema.fields if f.name != text]), _STORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, column, slice_rows):
-                raw = [from_wav(x) for x in batch.column(column).to_pylist()]
-                found = [fingerprint(np.frombuffer(x, dtype=np.uint8)) for x in raw]
-                yield _extend(batch, {
-                    "payload_bytes": pa.array([len(x) for x in raw], pa.int64()),
-                    "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
-                    "tail": pa.array([x[-32:] for x in raw], pa.binary()),
-                    "times": lists([f[0] for f in found], pa.int32()),
-                    "codes": lists([f[1] for f in found], pa.int64()),
-                })
-
-    return media.mapInArrow(run, _added(media.schema, more))
+            for batch in _stored(whole, text, slice_rows, 1 << 22):
+                yield from _described(batch.select(kept.names), "media", slice_rows)
+
+    return docs.mapInArrow(run, _added(kept, _FOUND))

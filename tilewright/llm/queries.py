@@ -39,7 +39,7 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm import media
 
-    out = media.describe(media.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    out = media.stored_and_described(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     pairs = F.concat_ws(",", F.transform(F.arrays_zip("times", "codes"), lambda p: F.concat_ws(":", p["times"].cast("string"), p["codes"].cast("string"))))
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").alias("tail_crc32"),
