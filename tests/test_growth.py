@@ -103,3 +103,21 @@ def test_eigenvalue_iteration_keeps_one_step(spark, tmp_path, monkeypatch):
     assert np.allclose(sorted(got.values()), np.linalg.eigvalsh(a), atol=1e-10) and dropped
     v = _matrix(vectors, n)
     assert np.allclose(a @ v, v * np.array([got[i] for i in range(n)]), atol=1e-9)
+
+
+@pytest.mark.parametrize("far", ["hca", "interpolation"])
+def test_a_product_writes_no_blocks(spark, monkeypatch, far):
+    """Near blocks and factors are made where they meet the vector; they were written before, many times the points."""
+    seen = []
+    monkeypatch.setattr(H, "durable", lambda df, name="step", under="": seen.append(name) or durable(df, name, under))
+    x, _, leaves = _cloud(spark, 260)
+    h = H.build(leaves, C.admissible("strong", eta=4.0), dense.Acc(rel=1e-9), far=far)
+    w = spark.range(260).select(F.col("id").alias("i"), (F.col("id") % 3 + 1.0).alias("v"))
+    got, flipped = dict(H.matvec(h, w).collect()), dict(H.matvec(h, w, transposed=True).collect())
+    want = np.exp(-_square(x, x)) @ (np.arange(260) % 3 + 1.0)
+    assert h.parts.where("adm").count() and "pivots" in seen and not {"near", "far"} & set(seen)
+    assert np.allclose([got[i] for i in range(260)], want, rtol=1e-7) and np.allclose([flipped[i] for i in range(260)], want, rtol=1e-7)
+    one = h.far.where("side = 'c'")._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("MapInPandas") == 1
+    kept = H.stored(h)
+    assert sorted(H.stored(kept).far.inputFiles()) == sorted(kept.far.inputFiles()) != []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import dense
 from tilewright.operators import tall
 from tilewright.operators.arrays import mapped_sum, summed
-from tilewright.operators.hmatrix import PIECE, SEGMENT, HMatrix, _array, _depth, _mapped, apply_segments, nearfield, segments, vector, with_dense_tiles
+from tilewright.operators.hmatrix import PIECE, SEGMENT, HMatrix, _array, _depth, _mapped, apply_segments, nearfield, segments, vector, stored, with_dense_tiles
 from tilewright.sources.storage import durable
 
 BASIS = "side string, cid long, leaf long, m int, x array<double>"
@@ -55,7 +55,7 @@ def _sided(far: DataFrame) -> DataFrame:
 
 def shared_bases(h: HMatrix, acc: dense.Acc = dense.Acc(rel=1e-8)) -> DataFrame:
     """BASIS rows: for each row ('r') and column ('c') cluster of a far block an orthonormal basis of the range of all its blocks, up to the accuracy."""
-    h = with_dense_tiles(h)
+    h = stored(with_dense_tiles(h))
     far = _sided(h.far).where("k > 0")
     pieces = far.select("rcid", "ccid", "side", "cid", "leaf", "n", F.col("k").alias("m"), F.col("f").alias("x"))
     # the weight of a block's factor is the triangle of its other factor
@@ -86,7 +86,7 @@ def _ranges(rows: DataFrame, keys: list[str], acc: dense.Acc) -> DataFrame:
 
 
 def to_uniform(h: HMatrix, acc: dense.Acc = dense.Acc(rel=1e-8)) -> Uniform:
-    h = with_dense_tiles(h)
+    h = stored(with_dense_tiles(h))
     bases = shared_bases(h, acc)
     met = _sided(h.far).join(bases.select("side", "cid", "leaf", F.col("m").alias("kb"), "x"), ["side", "cid", "leaf"])
     seen = mapped_sum(met, lambda t: [(t.rcid, t.ccid, t.side, t.kb, t.k, (_array(t.x, t.n, t.kb).T @ _array(t.f, t.n, t.k)).ravel())], "rcid long, ccid long, side string, kb int, k int, x array<double>")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import codecs, dense
 from tilewright.operators import tall
 from tilewright.operators.arrays import mapped_sum, summed
-from tilewright.operators.hmatrix import PIECE, SEGMENT, HMatrix, _array, _depth, _mapped, segments, vector, with_dense_tiles
+from tilewright.operators.hmatrix import PIECE, SEGMENT, HMatrix, _array, _depth, _mapped, segments, vector, stored, with_dense_tiles
 from tilewright.sources.storage import durable
 
 KEYS = ["rcid", "ccid"]
@@ -38,7 +38,7 @@ class Encoded:
 
 def usv(h: HMatrix, acc: dense.Acc = dense.Acc(rel=1e-12)) -> tuple[HMatrix, DataFrame]:
     """h with orthonormal factors on both sides of each far block, and sigma(rcid, ccid, s): the block is U diag(s) V^T; columns beyond the accuracy go."""
-    h = with_dense_tiles(h)
+    h = stored(with_dense_tiles(h))
     side = lambda s: h.far.where((F.col("side") == s) & (F.col("k") > 0)).select(*KEYS, "leaf", F.col("k").alias("m"), F.col("f").alias("x"))
     u, v = side("r"), side("c")
     q = tall.orthonormal(tall.orthonormal(v, KEYS), KEYS)
@@ -68,7 +68,7 @@ def usv(h: HMatrix, acc: dense.Acc = dense.Acc(rel=1e-12)) -> tuple[HMatrix, Dat
 
 def encode(h: HMatrix, delta: float = 1e-6, codec: str = "aflp") -> Encoded:
     """Far blocks err by about delta of their sum of singular values, near blocks by delta of each value."""
-    h = with_dense_tiles(h)
+    h = stored(with_dense_tiles(h))
     orth, sigma = usv(h, dense.Acc(rel=delta / 8))
 
     def columns(r) -> Iterator[tuple]:

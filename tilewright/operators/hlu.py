@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import dense
 from tilewright.operators import tall
 from tilewright.operators.arrays import mapped_sum, summed
-from tilewright.operators.hmatrix import PIECE, SEGMENT, HMatrix, HodlrFactors, _array, _changed, _depth, _leaf_solved, _mapped, _parts_of, hodlr_factors, segments, vector, with_dense_tiles
+from tilewright.operators.hmatrix import PIECE, SEGMENT, HMatrix, HodlrFactors, _array, _changed, _depth, _leaf_solved, _mapped, _parts_of, hodlr_factors, segments, vector, stored, with_dense_tiles
 from tilewright.operators.solvers import _lu
 from tilewright.sources.storage import durable
 
@@ -144,7 +144,7 @@ def _on_leaves(state: DataFrame, diagonal: DataFrame, transposed: bool) -> DataF
 
 def factorise(h: HMatrix, acc: dense.Acc = dense.Acc(rel=1e-12)) -> HodlrLU:
     """L and U of a HODLR matrix (see converted); Schur updates are truncated to the accuracy."""
-    h = with_dense_tiles(h)
+    h = stored(with_dense_tiles(h))
     factors = hodlr_factors(h)
     deepest = len(factors.levels) - 1
     changes = durable(_mapped(h.leaves.where(F.lit(False)), lambda r: [], CHANGE), "changes")
